@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from folioframe.llm import bpe, chat
+from folioframe.llm import bpe, chat, tokenfiles
+from folioframe.llm.runtime import parts_for, persisted, scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,14 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True, with_ids=False)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = f"{scratch_dir(spark)}-tokens"
+    tokenfiles.write_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"), 2, parts_for(docs))
+    # The files are unpacked once; only the rows of counts are read again for the shards' offsets.
+    return tokenfiles.with_starts(persisted(tokenfiles.read_files(spark, folder), "counts"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = "</s>[INST] ok [/INST]"
@@ -56,6 +65,7 @@ FROM e GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_token_files": op2_token_files,
     "op9_chat_format": op9_chat_format,
 }
 
