@@ -16,6 +16,8 @@ _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Separators of loose words: all ASCII but letters and digits.
+LOOSE = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -78,11 +80,11 @@ def slices(offsets: np.ndarray, most: int = CHUNK):
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of texts: byte ranges `start`, `end`, and `first`, the n + 1 word offsets of texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE):
         self.data, self.offsets = data, offsets
         n = len(data)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~_SPACE[data]
+        inside[1:-1] = ~separators[data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         body = inside[1:-1]
@@ -95,7 +97,11 @@ class Words:
 
     def hashes(self, fold: bool = False, which: int = 0) -> np.ndarray:
         """A 64-bit hash of each word; fold: A-Z count as a-z."""
-        out = np.empty(len(self.start), U64)
+        return self.prefix_hashes((0,), fold, which)[0]
+
+    def prefix_hashes(self, lengths: tuple[int, ...], fold: bool = False, which: int = 0) -> list[np.ndarray]:
+        """For each length a hash of that many first bytes of each word (0: the word); shorter words: of the word."""
+        outs = [np.empty(len(self.start), U64) for _ in lengths]
         table = _TABLES[which][_FOLD] if fold else _TABLES[which]
         lo = 0
         while lo < len(self.start):
@@ -107,9 +113,11 @@ class Words:
             total[0] = 0
             np.cumsum(table[self.data[base:stop]] * up[: stop - base], dtype=U64, out=total[1:])
             s, e = self.start[lo:hi] - base, self.end[lo:hi] - base
-            out[lo:hi] = (total[e] - total[s]) * down[s] + (e - s).astype(U64)
+            for k, out in zip(lengths, outs, strict=True):
+                t = np.minimum(e, s + k) if k else e
+                out[lo:hi] = (total[t] - total[s]) * down[s] + (t - s).astype(U64)
             lo = hi
-        return mix(out)
+        return [mix(out) for out in outs]
 
     def docs(self) -> np.ndarray:
         """The text number of each word."""
