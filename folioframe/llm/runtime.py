@@ -36,7 +36,7 @@ def persisted(df: DataFrame, label: str = "t") -> DataFrame:
 
 def stored_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the plan; for scans, the size of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame) -> int:
