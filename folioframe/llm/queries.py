@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from folioframe.llm import bpe, chat, tokenfiles
+from folioframe.llm import bpe, chat, tokenfiles, toxicity
 from folioframe.llm.runtime import parts_for, persisted, scratch_dir
 
 
@@ -30,6 +30,20 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.with_starts(persisted(tokenfiles.read_files(spark, folder), "counts"))
 
 
+#: The chain's categories, in order; low_quality is 1 - quality.
+TOXIC_CHAIN = ["low_quality", "toxic"]
+
+
+def toxic_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.train(docs, labels, TOXIC_CHAIN)
+
+
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxic_chain(spark, docs, sf_dir))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = "</s>[INST] ok [/INST]"
@@ -66,6 +80,7 @@ FROM e GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_files": op2_token_files,
+    "op7_toxicity_chain": op7_toxicity_chain,
     "op9_chat_format": op9_chat_format,
 }
 
