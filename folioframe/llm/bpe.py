@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_CHARS = 500_000
+SLICE_CHARS = 2_000_000
 CACHE_PIECES = 400_000
 LONG_PIECE = 400
-PIECES_A_QUERY = 20_000
+PIECES_A_QUERY = 60_000
 SHIFT = 20
 
 _RECURSIVE = """
