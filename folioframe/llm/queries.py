@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from folioframe.llm import bpe, chat, decontaminate, tokenfiles, toxicity
+from folioframe.llm import bpe, chat, decontaminate, substring, tokenfiles, toxicity
 from folioframe.llm.runtime import parts_for, persisted, scratch_dir
 
 
@@ -39,6 +39,10 @@ def toxic_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.C
     return toxicity.train(docs, labels, TOXIC_CHAIN)
 
 
+def op5_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_words(table(spark, sf_dir, "documents"), window=13)
+
+
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxic_chain(spark, docs, sf_dir))
@@ -84,6 +88,7 @@ FROM e GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_files": op2_token_files,
+    "op5_substring_words": op5_substring_words,
     "op7_toxicity_chain": op7_toxicity_chain,
     "op8_decontaminate": op8_decontaminate,
     "op9_chat_format": op9_chat_format,

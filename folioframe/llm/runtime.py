@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of stored input that one partition of a packed exchange should take.
 TARGET_BYTES = 12 << 20
+#: Estimates from here on mean that Catalyst does not know.
+UNKNOWN_BYTES = 1 << 60
 #: Largest number of partitions of a packed exchange (blocks between two steps grow with its square).
 MAX_PARTS = 20_000
 
@@ -43,7 +45,10 @@ def parts_for(df: DataFrame) -> int:
     """Partitions for `df`: the session's shuffle partitions, or more where the stored size asks for more."""
     spark = spark_of(df)
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, least, min(MAX_PARTS, -(-stored_bytes(df) // TARGET_BYTES)))
+    size = stored_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return max(1, least)
+    return max(1, least, min(MAX_PARTS, -(-size // TARGET_BYTES)))
 
 
 def bucketed(df: DataFrame, key: str, extra: str, parts: int, name: str = "src") -> DataFrame:
