@@ -172,3 +172,90 @@ def runs_cover(starts_flag: np.ndarray, width: int, first: np.ndarray) -> np.nda
     edge[at] += 1
     np.add.at(edge, at + width, -1)
     return np.cumsum(edge[:n]) > 0
+
+
+class HashIndex:
+    """An open-addressing table from 64-bit keys to 0, 1, 2, ... in order of arrival, vectorised."""
+
+    def __init__(self, bits: int = 16):
+        self.bits = bits
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self.keys = np.zeros(1 << bits, U64)
+        self.size = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        todo, slot = np.arange(len(keys)), (keys >> U64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            at = self.slots[slot]
+            hit = at >= 0
+            same = hit & (self.keys[at] == keys[todo])
+            out[todo[same]] = at[same]
+            go = hit & ~same
+            todo, slot = todo[go], (slot[go] + 1) & (len(self.slots) - 1)
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Add distinct keys that are not there yet."""
+        if 2 * (self.size + len(keys)) > len(self.slots):
+            old = self.keys[: self.size]
+            bits = int(4 * (self.size + len(keys))).bit_length()
+            self.__init__(bits)
+            self._put(old)
+        self._put(keys)
+
+    def _put(self, keys: np.ndarray) -> None:
+        self.keys[self.size : self.size + len(keys)] = keys
+        number = np.arange(self.size, self.size + len(keys))
+        slot = (keys >> U64(64 - self.bits)).astype(np.int64)
+        while len(number):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.slots[slot[won]] = number[won]
+            go = np.ones(len(number), bool)
+            go[won] = False
+            number, slot = number[go], (slot[go] + 1) & (len(self.slots) - 1)
+        self.size += len(keys)
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the byte ranges start..end, whose starts ascend."""
+    out = np.empty(len(start), U64)
+    lo = 0
+    while lo < len(start):
+        base = start[lo]
+        hi = max(lo + 1, int(np.searchsorted(start, base + CHUNK, "left")))
+        stop = int(end[lo:hi].max())
+        up, down = powers(int(stop - base), which)
+        total = np.empty(stop - base + 1, U64)
+        total[0] = 0
+        np.cumsum(_TABLES[which][data[base:stop]] * up[: stop - base], dtype=U64, out=total[1:])
+        s, e = start[lo:hi] - base, end[lo:hi] - base
+        out[lo:hi] = (total[e] - total[s]) * down[s] + (e - s).astype(U64)
+        lo = hi
+    return mix(out)
+
+
+def byte_grams(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k bytes at every position but the last k - 1."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    out = np.empty(n, U64)
+    for lo in range(0, n, CHUNK):
+        hi = min(n, lo + CHUNK)
+        up, down = powers(hi - lo + k, 0)
+        total = np.empty(hi - lo + k, U64)
+        total[0] = 0
+        np.cumsum(_TABLES[0][data[lo : hi + k - 1]] * up[: hi - lo + k - 1], dtype=U64, out=total[1:])
+        out[lo:hi] = (total[k:] - total[: hi - lo]) * down[: hi - lo]
+    return mix(out)
+
+
+def expand(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... (lens[i] of them) for all i, end to end."""
+    ends = np.cumsum(lens)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(start - (ends - lens), lens)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from folioframe.llm import bpe, chat, decontaminate, substring, tokenfiles, toxicity
+from folioframe.llm import bpe, chat, decontaminate, substring, suffix_dedup, tokenfiles, toxicity
 from folioframe.llm.runtime import parts_for, persisted, scratch_dir
 
 
@@ -43,6 +43,10 @@ def op5_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(table(spark, sf_dir, "documents"), window=13)
 
 
+def op6_suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"), width=50)
+
+
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxic_chain(spark, docs, sf_dir))
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_files": op2_token_files,
     "op5_substring_words": op5_substring_words,
+    "op6_suffix_bytes": op6_suffix_bytes,
     "op7_toxicity_chain": op7_toxicity_chain,
     "op8_decontaminate": op8_decontaminate,
     "op9_chat_format": op9_chat_format,

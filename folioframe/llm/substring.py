@@ -38,13 +38,6 @@ COVER = (0, 1, 3)
 NO_DOC = np.iinfo(np.int64).max
 
 
-def first_of(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-    """The first row of each key of sorted keys."""
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    return [keys[new], *(c[new] for c in columns)]
-
-
 def bucket_texts(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices (i, j, doc_ids, bytes, offsets) of a bucket's documents. A null doc_id reads NO_DOC."""
     table = table.sort_by([("doc_id", "ascending")]).combine_chunks()
@@ -93,7 +86,8 @@ def least_doc(table: pa.Table) -> pa.Table:
     new[1:] = (keys[1:] != keys[:-1]) | (second[1:] != second[:-1])
     group = np.cumsum(new) - 1
     least = doc[new][group]
-    keep = (np.bincount(group, minlength=group[-1] + 1 if len(group) else 0) + np.bincount(group, weights=many, minlength=group[-1] + 1 if len(group) else 0))[group] > 1 if len(group) else np.zeros(0, bool)
+    size = np.bincount(group) + np.bincount(group, weights=many) if len(group) else np.zeros(0)
+    keep = size[group] > 1
     keys, second, least, at = keys[keep], second[keep], least[keep], at[keep]
     back = np.argsort(at, kind="stable")
     keys, second, least, at = keys[back], second[back], least[back], at[back]
@@ -104,23 +98,31 @@ def least_doc(table: pa.Table) -> pa.Table:
     return rows([dst] * len(have), [got[k][0] for k in have], [0] * len(have), load)
 
 
-def pair_lookup(keys: np.ndarray, second: np.ndarray, table: list[np.ndarray]) -> np.ndarray:
-    """The least doc_id of each (key, second) by a table of (keys, second, least), sorted by key and second; NO_DOC
-    where it is not there. Keys that occur with several second halves are looked up in turn."""
-    hs, ss, least = table
-    out = np.full(len(keys), NO_DOC)
-    at = lookup(keys, hs)
-    todo = np.flatnonzero(at >= 0)
-    p = np.searchsorted(hs, keys[todo], "left") if len(todo) else todo
+def pair_place(keys: np.ndarray, second: np.ndarray, table_keys: np.ndarray, table_second: np.ndarray) -> np.ndarray:
+    """The place of each (key, second) in a table sorted by both, or -1."""
+    out = np.full(len(keys), -1, np.int64)
+    todo = np.flatnonzero(lookup(keys, table_keys) >= 0)
+    p = np.searchsorted(table_keys, keys[todo], "left")
     while len(todo):
-        same = hs[p] == keys[todo]
-        good = same & (ss[p] == second[todo])
-        out[todo[good]] = least[p[good]]
-        go = same & ~good & (p + 1 < len(hs))
+        same = table_keys[p] == keys[todo]
+        good = same & (table_second[p] == second[todo])
+        out[todo[good]] = p[good]
+        go = same & ~good & (p + 1 < len(table_keys))
         todo, p = todo[go], p[go] + 1
     return out
 
 
+def send_keys(src: int, keys: list[np.ndarray], docs: list[np.ndarray], parts: int) -> pa.Table:
+    """Blocks of the distinct keys (63 bits) of a bucket, with a lowest bit for keys of two of its documents."""
+    k, d = np.concatenate(keys), np.concatenate(docs)
+    k, d = k[d != NO_DOC], d[d != NO_DOC]
+    order = np.argsort(k, kind="stable")
+    k, d = k[order], d[order]
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    many = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start) if len(k) else np.zeros(0, bool)
+    return scatter(src, (k[start] << U64(1)) | many.astype(U64), (), parts)
+
+
 class Anchors:
     """The three steps on one bucket of documents."""
 
@@ -141,22 +143,9 @@ class Anchors:
         for _, _, ids, data, offsets in bucket_texts(table):
             w = Words(data, offsets)
             at, k = self._anchors(w.hashes(), w.first)
-            d = ids[np.searchsorted(w.first, at, "right") - 1]
-            # Within a slice a document counts a key once.
-            order = np.lexsort((d, k))
-            k, d = k[order], d[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-            new &= d != NO_DOC
-            keys.append(k[new])
-            docs.append(d[new])
-        k, d = np.concatenate(keys), np.concatenate(docs)
-        order = np.lexsort((d, k))
-        k, d = k[order], d[order]
-        start = np.flatnonzero(np.diff(k, prepend=k[:1] + U64(1)) != 0) if len(k) else np.zeros(0, np.int64)
-        stop = np.append(start[1:], len(k)) - 1 if len(k) else start
-        many = d[start] != d[stop]
-        return scatter(src, (k[start] << U64(1)) | many.astype(U64), (), self.parts)
+            keys.append(k)
+            docs.append(ids[np.searchsorted(w.first, at, "right") - 1])
+        return send_keys(src, keys, docs, self.parts)
 
     def _candidates(self, w: Words, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions and both hashes of the windows that have a found anchor."""
@@ -221,9 +210,9 @@ class Anchors:
                 at = at[lookup(g[at], found[0]) >= 0]
                 if len(at):
                     other, _ = grams(w.hashes(which=1), w.first, self.window, which=1)
-                    least = pair_lookup(g[at], other[at].view(np.int64), found)
+                    p = pair_place(g[at], other[at].view(np.int64), found[0], found[1])
                     d = ids[np.searchsorted(w.first, at, "right") - 1]
-                    flag[at[(least < d) & (d != NO_DOC)]] = True
+                    flag[at[(p >= 0) & (found[2][p] < d) & (d != NO_DOC)]] = True
             gone = runs_cover(flag, self.window, w.first)
             kept_bytes = _joined(w, ~gone)
             raw = kept_bytes[0].tobytes()
