@@ -31,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioframe.llm.bpe import gathered
+from folioframe.llm.kernels import HashIndex, Words, slices, text_bytes
+
 MAGIC = b"FFTK1\x01"
 FRAME_END = "\n"
 BLOCK = 4096
 FRAME_IDS = 1 << 20
 HEAD = len(MAGIC) + 8 * 8
-CACHE_WORDS = 400_000
+CACHE_WORDS = 2_000_000
+_ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
 NULL_KEY = -(2**63)
 
 
@@ -111,10 +115,11 @@ def frames(data: bytes) -> Iterator[Frame]:
 
 
 class WordEncoder:
-    """A `tokenizers` file whose normaliser and pre-tokeniser never look across white space, applied to whole texts by
-    way of their distinct words. Words of letters are coded many at a time, one text with single spaces: each of them is
-    one pre-token, which ends at an id that carries the end-of-word mark. Other words are coded each for itself, and a
-    word of letters with one `.` or `,` after it as the two pre-tokens that it is."""
+    """A `tokenizers` file whose normaliser and pre-tokeniser never look across ASCII white space and fold A-Z, applied
+    to whole texts by way of their distinct words. A `.` or `,` after an ASCII letter or digit is a pre-token of its own
+    and counts as a word. New words of letters are coded many at a time, as a text with single spaces: each of them is
+    one pre-token, which ends at an id that carries the end-of-word mark. Other words are coded each for itself. Words
+    are known by 64-bit hashes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -126,79 +131,75 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for word, i in vocab.items():
             self.ends[i] = word.endswith("</w>")
+        self.marks = {ord(m): np.array(self._encode([m])[0], np.int32) for m in ".,"}
+        self.split_marks = all(len(x) == 1 for x in self.marks.values())
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.index = HashIndex()
         self.ids = np.zeros(1 << 20, np.int32)
-        self.at: list[int] = [0]
+        self.at = np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _add(self, word: str, ids: np.ndarray) -> None:
-        base = self.at[-1]
-        if base + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[:base], np.zeros(max(len(self.ids), len(ids)), np.int32)])
-        self.ids[base : base + len(ids)] = ids
-        self.at.append(base + len(ids))
-        self.known[word] = len(self.at) - 2
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        stems, marked, other = set(), [], []
-        for w in new:
-            if w.isalpha():
-                stems.add(w)
-            elif w[-1] in ".," and w[:-1].isalpha():
-                marked.append(w)
-                if w[:-1] not in self.known:
-                    stems.add(w[:-1])
-            else:
-                other.append(w)
-        for m in ".,":
-            if m not in self.known and marked:
-                other.append(m)
-        todo = list(stems)
-        for lo in range(0, len(todo), 2000):
-            part = todo[lo : lo + 2000]
-            ids = np.array(self._encode([" ".join(part)])[0], np.int32)
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and counts of the words."""
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        found: list = [None] * len(words)
+        groups = [plain[lo : lo + 200] for lo in range(0, len(plain), 200)]
+        other = [i for i, w in enumerate(words) if not w.isalpha()]
+        for group, ids in zip(groups, self._encode([" ".join([words[i] for i in g]) for g in groups]) if groups else [], strict=True):
+            ids = np.array(ids, np.int32)
             cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part):
-                start = 0
-                for w, stop in zip(part, cut.tolist(), strict=True):
-                    self._add(w, ids[start:stop])
-                    start = stop
+            if len(cut) == len(group):
+                for i, part in zip(group, np.split(ids, cut[:-1]), strict=True):
+                    found[i] = part
             else:  # a letter that the file treats otherwise
-                other.extend(part)
-        for w, ids in zip(other, self._encode(other) if other else [], strict=True):
-            self._add(w, np.array(ids, np.int32))
-        for w in marked:
-            a, b = self.known[w[:-1]], self.known[w[-1]]
-            self._add(w, np.concatenate([self.ids[self.at[a] : self.at[a + 1]], self.ids[self.at[b] : self.at[b + 1]]]))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts and each text's count."""
-        from folioframe.llm.bpe import gathered
-
-        plain = [not any(c in t for c in "\x1c\x1d\x1e\x1fΣİ") for t in texts]
-        cut = [t.lower().split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        if len(self.known) > CACHE_WORDS:
-            self._clear()
-        self.learn({w for words in cut for w in words})
-        k = np.array([i for words in cut for i in map(self.known.__getitem__, words)], np.int64)
-        at = np.array(self.at, np.int64)
-        n = at[k + 1] - at[k]
-        flat = gathered(self.ids, at[k], n) if len(k) else np.zeros(0, np.int32)
-        edge = np.concatenate([[0], np.cumsum([len(w) for w in cut])]).astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(n)])
-        lens = total[edge[1:]] - total[edge[:-1]]
-        if all(plain):
-            return flat, lens
-        parts, at_id = [], np.concatenate([[0], np.cumsum(lens)])
-        for i, ok in enumerate(plain):
-            parts.append(flat[at_id[i] : at_id[i + 1]] if ok else np.array(self._encode([texts[i]])[0], np.int32))
-        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+                other += group
+        for i, ids in zip(other, self._encode([words[i] for i in other]) if other else [], strict=True):
+            found[i] = np.array(ids, np.int32)
+        return np.concatenate(found) if found else np.zeros(0, np.int32), np.array([len(x) for x in found], np.int64)
+
+    def _learn(self, w: Words, h: np.ndarray, which: np.ndarray) -> None:
+        """Add the words at the places `which`, whose hashes are distinct and not known."""
+        raw, start, end = w.data.tobytes(), w.start[which].tolist(), w.end[which].tolist()
+        flat, lens = self._coded([raw[a:b].decode("utf-8") for a, b in zip(start, end, strict=True)])
+        base = int(self.at[-1])
+        if base + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:base], np.zeros(max(len(self.ids), len(flat)), np.int32)])
+        self.ids[base : base + len(flat)] = flat
+        self.at = np.concatenate([self.at, base + np.cumsum(lens)])
+        self.index.add(h[which])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of texts (their UTF-8 bytes and offsets) and each text's count."""
+        w = Words(data, offsets)
+        last, before = data[w.end - 1], data[np.maximum(w.end - 2, 0)]
+        marked = np.zeros(len(w), bool)
+        if self.split_marks:
+            marked = ((last == 46) | (last == 44)) & (w.end - w.start > 1) & _ALNUM[before]
+        w.end = w.end - marked
+        h = w.hashes(fold=True)
+        k = self.index.find(h)
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            if self.index.size > CACHE_WORDS:
+                self._clear()
+                new = np.arange(len(h))
+            _, one = np.unique(h[new], return_index=True)
+            self._learn(w, h, new[one])
+            k = self.index.find(h)
+        n = self.at[k + 1] - self.at[k]
+        ends = np.cumsum(n + marked)
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+        stem = np.ones(len(flat), bool)
+        stem[ends[marked] - 1] = False
+        flat[stem] = gathered(self.ids, self.at[k], n) if len(k) else 0
+        for byte, ids in self.marks.items():
+            flat[ends[marked & (last == byte)] - 1] = ids[0]
+        total = np.concatenate([[0], ends])
+        return flat, np.diff(total[w.first])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -216,16 +217,14 @@ def write_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, parts:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from folioframe.llm.bpe import sliced
-
         enc = encoder(tokenizer)
         bits = bits_for(max(enc.size, end_id + 1))
         shard, ordinal = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys_all = np.array([NULL_KEY if k is None else k for k in batch.column(0).to_pylist()], np.int64)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in sliced(texts, 1_000_000):
-                flat, lens = enc.encode(texts[i:j])
+            data, offsets = text_bytes(batch.column(1))
+            for i, j in slices(offsets):
+                flat, lens = enc.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ends = np.cumsum(lens)
                 ids = np.insert(flat.astype(np.int64), ends, end_id)
                 lens = lens + 1
