@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from folioframe.llm import bpe, chat, decontaminate, substring, suffix_dedup, tokenfiles, toxicity
+from folioframe.llm import bpe, chat, decontaminate, jaccard, substring, suffix_dedup, tokenfiles, toxicity
 from folioframe.llm.runtime import parts_for, persisted, scratch_dir
 
 
@@ -73,6 +73,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 OP9_SQL = """
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity_chain": op7_toxicity_chain,
     "op8_decontaminate": op8_decontaminate,
     "op9_chat_format": op9_chat_format,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
