@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from folioframe.llm.kernels import LOOSE, Words, lookup, mix, slices, text_bytes
 
-MAX_TRAIN = 16000
+MAX_TRAIN = 8000
 FOLDS = 5
 SELECTED = 128
 MIN_SUPPORT = 5
@@ -38,12 +38,14 @@ RIDGE = 1.0
 N_DENSE = 5
 #: Bytes of the word beginnings that are features, besides whole words (0).
 PREFIXES = (0, 4, 5, 6)
+#: A feature is the high half of its hash, so that the training rows stay small.
+HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
 def word_features(words: Words) -> list[np.ndarray]:
     """For each kind of feature the hash at every word: the word, and its first bytes, which catch stems."""
     tags = [mix(np.array([k], np.uint64))[0] for k in range(len(PREFIXES))]
-    return [h ^ tag for h, tag in zip(words.prefix_hashes(PREFIXES, fold=True), tags, strict=True)]
+    return [(h ^ tag) & HIGH for h, tag in zip(words.prefix_hashes(PREFIXES, fold=True), tags, strict=True)]
 
 
 def ratios(words: Words) -> np.ndarray:
@@ -175,15 +177,19 @@ class Chain:
 
 
 def fit_chain(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], categories: list[str]) -> Chain:
-    """docs: (sorted distinct word hashes, dense values, labels, fold) of each training document."""
+    """docs: (high halves of the sorted distinct feature hashes, dense values, labels, fold) of each training document."""
     n = len(docs)
     lens = np.array([len(x[0]) for x in docs], np.int64)
-    d = np.repeat(np.arange(n), lens)
-    h = np.concatenate([x[0] for x in docs]) if n else np.zeros(0, np.uint64)
+    d = np.repeat(np.arange(n, dtype=np.int32), lens)
+    vocab, code = np.unique(np.concatenate([x[0] for x in docs]) if n else np.zeros(0, np.uint32), return_inverse=True)
+    vocab, code = vocab.astype(np.uint64) << np.uint64(32), code.astype(np.int32)
+    # What too few documents have, no fold selects.
+    often = np.bincount(code, minlength=len(vocab)) >= MIN_SUPPORT
+    keep = often[code]
+    d, code, vocab = d[keep], (np.cumsum(often) - 1)[code[keep]], vocab[often]
     dense = np.array([x[1] for x in docs]).reshape(n, N_DENSE)
     y = np.array([x[2] for x in docs], float).reshape(n, len(categories))
     fold = np.array([x[3] for x in docs], int)
-    vocab, code = np.unique(h, return_inverse=True)
     held, models, thresholds = np.zeros_like(y), [], []
     for k in range(len(categories)):
         earlier = log_odds(held[:, :k])
@@ -192,7 +198,7 @@ def fit_chain(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], catego
             a, b = np.cumsum(rest) - 1, np.cumsum(part) - 1
             on, off = rest[d], part[d]
             m = fit_linear(a[d[on]], code[on], vocab, dense[rest], earlier[rest], y[rest, k])
-            held[part, k] = m.probability(b[d[off]], h[off], dense[part], earlier[part])
+            held[part, k] = m.probability(b[d[off]], vocab[code[off]], dense[part], earlier[part])
         models.append(fit_linear(d, code, vocab, dense, earlier, y[:, k]))
         thresholds.append(best_threshold(held[:, k], y[:, k]) if models[-1].base is None else 2.0)
     return Chain(categories, models, thresholds, held)
@@ -211,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_train:
             for i, j in slices(offsets):
                 d, h, dense = featurise(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cut = np.searchsorted(d, np.arange(j - i + 1))
+                h = (h >> np.uint64(32)).astype(np.uint32)
                 words = [h[cut[k] : cut[k + 1]].tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(words, pa.binary()), pa.array([x.tobytes() for x in dense], pa.binary())], names=["fold", "y", "words", "dense"])
 
@@ -219,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_train:
     got = sorted(got, key=lambda r: (r.fold, bytes(r.words), bytes(r.dense)))
     # Copies of one text tell no more than one of them.
     once = {(bytes(r.words), tuple(r.y)): r for r in reversed(got)}
-    return fit_chain([(np.frombuffer(w, np.uint64), np.frombuffer(r.dense), np.array(y), r.fold % FOLDS) for (w, y), r in sorted(once.items(), key=lambda x: (x[1].fold, x[0]))], categories)
+    return fit_chain([(np.frombuffer(w, np.uint32), np.frombuffer(r.dense), np.array(y), r.fold % FOLDS) for (w, y), r in sorted(once.items(), key=lambda x: (x[1].fold, x[0]))], categories)
 
 
 def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
