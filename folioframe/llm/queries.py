@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from folioframe.llm import bpe, chat, decontaminate, jaccard, substring, suffix_dedup, tokenfiles, toxicity
+from folioframe.llm import bpe, chat, decontaminate, jaccard, pii, substring, suffix_dedup, tokenfiles, toxicity
 from folioframe.llm.runtime import parts_for, persisted, scratch_dir
 
 
@@ -39,6 +39,15 @@ def toxic_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.C
     return toxicity.train(docs, labels, TOXIC_CHAIN)
 
 
+#: The key of the queries; a deployment passes a secret one of its own to pii.replace.
+PII_KEY = b"folioframe query key"
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.replace(table(spark, sf_dir, "documents"), PII_KEY)
+    return done.select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+
+
 def op5_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(table(spark, sf_dir, "documents"), window=13)
 
@@ -96,6 +105,7 @@ FROM e GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_files": op2_token_files,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op5_substring_words": op5_substring_words,
     "op6_suffix_bytes": op6_suffix_bytes,
     "op7_toxicity_chain": op7_toxicity_chain,
