@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from folioframe.llm import bpe, chat, decontaminate, jaccard, pii, substring, suffix_dedup, tokenfiles, toxicity
+from folioframe.llm import ann, bpe, chat, decontaminate, jaccard, pii, substring, suffix_dedup, tokenfiles, toxicity
 from folioframe.llm.runtime import parts_for, persisted, scratch_dir
 
 
@@ -48,6 +48,11 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
 
 
+def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
 def op5_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(table(spark, sf_dir, "documents"), window=13)
 
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_files": op2_token_files,
     "op3_pii_surrogates": op3_pii_surrogates,
+    "op4_inverted_multi_index": op4_inverted_multi_index,
     "op5_substring_words": op5_substring_words,
     "op6_suffix_bytes": op6_suffix_bytes,
     "op7_toxicity_chain": op7_toxicity_chain,
