@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioframe.llm.kernels import LOOSE, Words, grams, lookup, mix, slices, text_bytes
 
@@ -242,41 +243,66 @@ class Items:
                 best[d, i] = now
 
 
+def _blocks(benchmark: DataFrame, max_edits: float) -> Iterator[Items]:
+    """The items, ITEM_BLOCK at a time; at least one block."""
+    block, made = [], 0
+    for r in benchmark.select("item_id", "text").orderBy(F.xxhash64("item_id", "text")).toLocalIterator():
+        block.append((r.item_id, r.text or ""))
+        if len(block) == ITEM_BLOCK:
+            yield Items.of(block, max_edits)
+            block, made = [], made + 1
+    if block or not made:
+        yield Items.of(block, max_edits)
+
+
+def _scan(items: Items, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
+    data, offsets = text_bytes(column)
+    near = []
+    for i, j in slices(offsets):
+        words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], LOOSE)
+        near += items.regions(words.hashes(fold=True), words.first, i)
+    return items.leaks(near)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, text: str = "text") -> DataFrame:
     """A row for each document and item that it leaks: doc_id, item_id, start_word, n_words, distance, item_words."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", benchmark.schema["item_id"].dataType)])
     for name in ("start_word", "n_words", "distance", "item_words"):
         schema.add(name, T.IntegerType())
-    source = docs.select("doc_id", text)
+    kinds = to_arrow_schema(schema).types
 
     def scan(items: Items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = text_bytes(batch.column(1))
-                near = []
-                for i, j in slices(offsets):
-                    words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], LOOSE)
-                    near += items.regions(words.hashes(fold=True), words.first, i)
-                found = items.leaks(near)
+                found = _scan(items, batch.column(1))
                 if found:
                     d, k, a, n, e = zip(*found, strict=True)
                     cols = [batch.column(0).take(pa.array(d)), pa.array([items.ids[x] for x in k])]
                     cols += [pa.array(x, pa.int32()) for x in (a, n, e, [len(items.words[x]) for x in k])]
                     yield pa.RecordBatch.from_arrays([c.cast(t) if c.type != t else c for c, t in zip(cols, kinds, strict=True)], names=schema.names)
 
-        return source.mapInArrow(run, schema)
+        return docs.select("doc_id", text).mapInArrow(run, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    kinds = to_arrow_schema(schema).types
-    out, block = [], []
-    for r in benchmark.select("item_id", "text").orderBy(F.xxhash64("item_id", "text")).toLocalIterator():
-        block.append((r.item_id, r.text or ""))
-        if len(block) == ITEM_BLOCK:
-            out.append(scan(Items.of(block, max_edits)))
-            block = []
-    out.append(scan(Items.of(block, max_edits)))
-    result = out[0]
-    for x in out[1:]:
+    found = [scan(items) for items in _blocks(benchmark, max_edits)]
+    result = found[0]
+    for x in found[1:]:
         result = result.unionByName(x)
     return result
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, text: str = "text") -> DataFrame:
+    """The documents that leak no item, with all their columns; texts are scanned where they are, without a shuffle."""
+    place = docs.columns.index(text)
+
+    def clean(items: Items):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[d for d, *_ in _scan(items, batch.column(place))]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for items in _blocks(benchmark, max_edits):
+        docs = docs.mapInArrow(clean(items), docs.schema)
+    return docs

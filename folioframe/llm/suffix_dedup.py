@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from folioframe.llm.blocks import ARROW_BLOCKS, BLOCKS, gather, pack, pack_keys, rows, unpack, unpack_keys
-from folioframe.llm.kernels import byte_grams, expand, lookup, range_hashes, runs_cover
+from folioframe.llm.kernels import byte_grams, expand, lookup, mix, range_hashes, runs_cover
 from folioframe.llm.runtime import bucketed, parts_for
 from folioframe.llm.substring import NO_DOC, bucket_texts, pair_place, send_keys, shared_keys
 from folioframe.llm.suffix import prefix_classes
@@ -68,7 +68,8 @@ def picks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray
     new = np.ones(len(at), bool)
     new[1:] = (place[at[1:]] != place[at[:-1]]) | (text[1:] != text[:-1])
     start = np.flatnonzero(new)
-    return text[start], at[start], np.diff(np.append(start, len(at))), g[place[at[start]]]
+    # Least hashes crowd the low end of the key space; scrambled once more they spread over all reducers.
+    return text[start], at[start], np.diff(np.append(start, len(at))), mix(g[place[at[start]]] + U64(1))
 
 
 class Stretches:

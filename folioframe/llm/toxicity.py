@@ -238,7 +238,7 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(len(keep)))
+            data, offsets = text_bytes(batch.column(place))
             for i, j in slices(offsets):
                 p = chain.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 out = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
@@ -246,4 +246,6 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), te
                     out += [pa.array(p[:, k]), pa.array(p[:, k] >= least)]
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return docs.select(*[docs[c] for c in keep], docs[text].alias("__text")).mapInArrow(run, schema)
+    place = keep.index(text) if text in keep else len(keep)
+    sent = keep if text in keep else [*keep, text]
+    return docs.select(*[docs[c] for c in sent]).mapInArrow(run, schema)

@@ -42,6 +42,8 @@ def test_leaks_match_brute_force(spark):
     got = {(r.doc_id, r.item_id): r.distance for r in dc.find_leaks(df, bench).collect()}
     assert set(got) <= set(want) and all(got[x] == want[x] for x in got)
     assert len(got) >= 0.97 * len(want) and all(x in got for x, e in want.items() if e == 0)
+    kept = {r.doc_id for r in dc.without_leaks(df, bench).collect()}
+    assert kept == {r[0] for r in rows} - {d for d, _ in got}
     assert dc.find_leaks(df.limit(0), bench).count() == 0 and dc.find_leaks(df, bench.limit(0)).count() == 0
 
 
