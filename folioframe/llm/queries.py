@@ -88,7 +88,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 OP9_SQL = """
@@ -107,6 +107,57 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d) x),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+hit AS (SELECT doc_id, i FROM win JOIN least USING (k) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM hit, range(0, 13) t(j)),
+word AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) x),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: Bytes go as pairs of hexadecimal digits, cut into 8-byte cells so that a substring never walks a long text.
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+cell AS (SELECT doc_id, c, substr(x, 4096 * c + 1, 4096 + 98) AS y
+         FROM (SELECT doc_id, x, unnest(range(0, length(x) // 4096 + 1)) AS c FROM d) z),
+win AS (SELECT doc_id, 2048 * c + j AS i, substr(y, 2 * j + 1, 100) AS k
+        FROM (SELECT doc_id, c, y, unnest(range(0, 2048)) AS j FROM cell) z WHERE length(y) >= 2 * j + 100),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+hit AS (SELECT doc_id, i FROM win JOIN least USING (k) WHERE m < doc_id),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit) y) z
+  GROUP BY doc_id, run),
+edge AS (SELECT doc_id, a AS stop, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM span
+         UNION ALL SELECT doc_id, 1000000000, max(b) FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * start::BIGINT + 1, 2 * (stop - start)::BIGINT), '' ORDER BY start) AS t
+         FROM edge JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n.n, 0)::BIGINT AS n_removed,
+       coalesce(n.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, x))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM d) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y USING (g) GROUP BY ALL) p
+         JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+reach(doc_id, to_id) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.to_id)
+SELECT r.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id
+FROM (SELECT doc_id, min(to_id) AS c FROM reach GROUP BY doc_id) r LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_files": op2_token_files,
@@ -121,5 +172,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_substring_words": OP5_SQL,
+    "op6_suffix_bytes": OP6_SQL,
     "op9_chat_format": OP9_SQL,
+    "op10_jaccard_join": OP10_SQL,
 }

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Levels of recursion below the top: names of level k stand for 3 ** (k + 1) values.
-DEPTH = 3
-
 
 def named(*columns: np.ndarray) -> np.ndarray:
     """Dense names, from 1, of the rows of the columns, in their order."""
@@ -27,9 +24,8 @@ def named(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def ranks(s: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Ranks (from 1) of all suffixes of s, whose values are 1 or more, by their first 3 ** (depth + 1) values at
-    least; suffixes that agree so far may share a rank or come in any order.
+def ranks(s: np.ndarray) -> np.ndarray:
+    """Ranks (from 1) of all suffixes of s, whose values are 1 or more.
 
     Triples at the cover's positions are sorted and named; if names repeat, the string of names is ranked in turn; the
     remaining suffixes are sorted by (value, rank of the next) and merged in by binary search.
@@ -45,8 +41,8 @@ def ranks(s: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     rank = np.zeros(n + 4, np.int64)
     if len(sample):
         names = named(t[sample], t[sample + 1], t[np.minimum(sample + 2, n + 2)])
-        if depth and names.max() < len(names):
-            names = ranks(names, depth - 1)
+        if names.max() < len(names):
+            names = ranks(names)
         rank[sample] = names
         rank[n:] = 0
     zero = np.arange(0, n, 3)
@@ -72,8 +68,8 @@ def ranks(s: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return out
 
 
-def suffix_array(s: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    r = ranks(s, depth)
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    r = ranks(s)
     out = np.empty(len(r), np.int64)
     out[r - 1] = np.arange(len(r))
     return out
@@ -82,10 +78,7 @@ def suffix_array(s: np.ndarray, depth: int = DEPTH) -> np.ndarray:
 def prefix_classes(data: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of `valid` in suffix order and for each whether its `width` bytes differ from those of the one before.
     `data` has values of 0..255 and 256 or more as separators; every valid position has `width` bytes before one."""
-    depth = 0
-    while 3 ** (depth + 1) < width:
-        depth += 1
-    order = suffix_array(data.astype(np.int64) + 1, depth)
+    order = suffix_array(data.astype(np.int64) + 1)
     order = order[valid[order]]
     new = np.ones(len(order), bool)
     same = np.ones(max(0, len(order) - 1), bool)

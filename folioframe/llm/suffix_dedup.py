@@ -8,7 +8,7 @@ A byte is removed if a `width`-byte string covers it that also starts in a docum
 2. The strings that picked a shared gram form one stretch of at most 2 * width - GRAM bytes around it. Buckets send
    each distinct stretch with the least doc_id to the reducer of the gram.
 3. A reducer sorts the suffixes of its distinct stretches by the difference-cover algorithm: sampled triples are
-   sorted and named, names are ranked recursively until they stand for `width` bytes, the remaining suffixes are merged
+   sorted and named, names are ranked recursively while any repeats, the remaining suffixes are merged
    in, and adjacent suffixes' `width`-byte prefixes are compared (byte by byte). Strings of one class share their least
    doc_id, which goes back to the buckets.
 

@@ -12,7 +12,17 @@ def test_suffix_array_matches_sorting():
         for top in (1, 2, 5, 200):
             s = rng.integers(1, top + 1, n)
             want = sorted(range(n), key=lambda i: s[i:].tolist())
-            assert suffix.suffix_array(s, 12).tolist() == want
+            assert suffix.suffix_array(s).tolist() == want
+
+
+def test_long_repetitive_texts():
+    rng = np.random.default_rng(8)
+    bits = [rng.integers(1, 4, 70) for _ in range(40)]
+    s = np.concatenate([np.append(bits[int(i)][int(rng.integers(20)) :], 9) for i in rng.integers(0, 40, 3000)])
+    sa = suffix.suffix_array(s)
+    assert (np.bincount(sa, minlength=len(s)) == 1).all()
+    b = bytes(s.astype(np.uint8).tolist())
+    assert all(b[i:] < b[j:] for i, j in zip(sa[:-1:7].tolist(), sa[1::7].tolist()))
 
 
 def test_prefix_classes():
