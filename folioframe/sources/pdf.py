@@ -8,6 +8,7 @@ rows elsewhere. All relations carry doc_id (the path), so what belongs to a docu
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from folioframe.sources.pdfsyntax import Document, Ref, Stream, load
 BATCH_ROWS = 5000
 
 SCHEMAS = {
-    "doc": "doc_id string, error string, version string, header_offset int, rebuilt boolean, n_objects int, n_pages int, trailer string, catalog string, size bigint, bytes_after_eof int",
+    "doc": "doc_id string, error string, version string, header_offset int, rebuilt boolean, n_objects int, n_pages int, trailer string, catalog string, info string, xmp string, binary_marker boolean, size bigint, bytes_after_eof int",
     "xref": "doc_id string, obj_num int, kind string, a bigint, b int, depth int",
     "obj": "doc_id string, obj_num int, kind string, type string, subtype string, body string, canon string",
     "ref_edge": "doc_id string, src int, path string, dst int",
@@ -46,6 +47,26 @@ def _json(x) -> str:
     return json.dumps(content.plain(x), ensure_ascii=False, sort_keys=False)
 
 
+#: Keys that lead upwards or to page content; a resolved text leaves them out.
+_UPWARDS = ("Parent", "P", "Kids", "Contents", "StructParent", "Dest", "Popup", "Prev", "Next")
+
+
+def _resolved(doc: Document, x, depth: int = 5):
+    """An object with its references followed, `depth` levels deep; a stream shows as its dictionary with `#stream`."""
+    x = doc.resolve(x)
+    if isinstance(x, Stream):
+        return {"#stream": True} | (_resolved(doc, x.dict, depth) if depth else {})
+    if isinstance(x, dict):
+        return {k: _resolved(doc, v, depth - 1) for k, v in x.items() if k not in _UPWARDS or not isinstance(v, (Ref, list))} if depth else {}
+    if isinstance(x, list):
+        return [_resolved(doc, v, depth - 1) for v in x] if depth else []
+    return content.plain(x)
+
+
+def _full(doc: Document, x) -> str:
+    return json.dumps(_resolved(doc, x), ensure_ascii=False)
+
+
 def _canonical(doc: Document, x, depth: int = 16):
     """A text that is equal for equal content: keys in order, numbers in one form, streams by their bytes' hash."""
     x = doc.resolve(x)
@@ -141,7 +162,7 @@ def _streams(doc_id: str, doc: Document):
 def _pages(doc_id: str, doc: Document):
     for i, (num, p) in enumerate(doc.pages()):
         r = doc.resolve(p.get("Rotate"))
-        yield doc_id, i, num, _box(doc, p.get("MediaBox")), _box(doc, p.get("CropBox")), r if isinstance(r, int) else None, _json(p)
+        yield doc_id, i, num, _box(doc, p.get("MediaBox")), _box(doc, p.get("CropBox")), r if isinstance(r, int) else None, _full(doc, p)
 
 
 def _ops(doc_id: str, doc: Document):
@@ -167,7 +188,7 @@ def _annots(doc_id: str, doc: Document):
             d = doc.resolve(a)
             if isinstance(d, dict):
                 f = doc.resolve(d.get("F"))
-                yield doc_id, i, k, _name(doc.resolve(d.get("Subtype"))), f if isinstance(f, int) else None, _json(d)
+                yield doc_id, i, k, _name(doc.resolve(d.get("Subtype"))), f if isinstance(f, int) else None, _full(doc, d)
 
 
 def _structure(doc_id: str, doc: Document):
@@ -176,7 +197,7 @@ def _structure(doc_id: str, doc: Document):
         return [x for x in (k if isinstance(k, list) else [d.get("K")]) if isinstance(y := doc.resolve(x), dict) and ("S" in y or y.get("Type") == "StructElem")]
 
     for node, parent, ord_, x in _tree(doc, doc.catalog.get("StructTreeRoot"), kids):
-        yield doc_id, node, parent, ord_, _name(doc.resolve(x.get("S"))), _json(x)
+        yield doc_id, node, parent, ord_, _name(doc.resolve(x.get("S"))), _full(doc, {k: v for k, v in x.items() if k != "K"})
 
 
 def _roles(doc_id: str, doc: Document):
@@ -261,8 +282,12 @@ def _describe(doc_id: str, data: bytes, doc: Document | None, error: str | None)
     if after is not None and data[end + 5 :] in (b"\n", b"\r", b"\r\n"):
         after = 0
     if doc is None:
-        return doc_id, error, None, None, None, None, None, None, None, len(data), after
-    return doc_id, None, doc.version, doc.header_offset, doc.rebuilt, len(doc.objects), len(doc.pages()), _json(doc.trailer), _json(doc.catalog), len(data), after
+        return doc_id, error, *[None] * 10, len(data), after
+    second = re.match(rb"%PDF-\d\.\d[ \t]*(?:\r\n|\r|\n)%([^\r\n]*)", data[doc.header_offset : doc.header_offset + 200])
+    marker = bool(second) and len(second[1]) >= 4 and all(b > 127 for b in second[1][:4])
+    m = doc.get(doc.catalog, "Metadata")
+    xmp = m.data(doc.resolve).decode("utf-8", "replace") if isinstance(m, Stream) else None
+    return doc_id, None, doc.version, doc.header_offset, doc.rebuilt, len(doc.objects), len(doc.pages()), _json(doc.trailer), _full(doc, doc.catalog), _full(doc, doc.trailer.get("Info")), xmp, marker, len(data), after
 
 
 class Relations:
