@@ -7,7 +7,7 @@ A byte is removed if a `width`-byte string covers it that also starts in a docum
    the picked grams' hashes once each, and learn which are shared.
 2. The strings that picked a shared gram form one stretch of at most 2 * width - GRAM bytes around it. Buckets send
    each distinct stretch with the least doc_id to the reducer of the gram.
-3. A reducer sorts the suffixes of its distinct stretches by the difference-cover algorithm: sampled triples are
+3. A reducer sorts the suffixes of the distinct stretches of grams that have several by the difference-cover algorithm: sampled triples are
    sorted and named, names are ranked recursively while any repeats, the remaining suffixes are merged
    in, and adjacent suffixes' `width`-byte prefixes are compared (byte by byte). Strings of one class share their least
    doc_id, which goes back to the buckets.
@@ -155,7 +155,7 @@ class Stretches:
         klass = np.empty(len(order), np.int64)
         klass[order] = np.cumsum(new) - 1
         one = order[start]
-        shared = (np.maximum.reduceat(many[order], start) | (np.diff(np.append(start, len(order))) > 1)) if len(start) else new
+        shared = (np.maximum.reduceat(many[order], start) > 0) | (np.diff(np.append(start, len(order))) > 1) if len(start) else new
         least = self._least(g[one], blob, offset[one], size[one], doc[one], shared)
         windows = size - self.width + 1
         first = np.cumsum(windows[one]) - windows[one]
@@ -165,7 +165,7 @@ class Stretches:
             at += len(head[0])
             out = least[expand(first[k], windows[one][k])]
             body = pack_keys(head[0], head[1], windows[one][k])
-            load.append(len(body).to_bytes(8, "little") + body + pack(out))
+            load.append(len(body).to_bytes(8, "little") + body + pack(np.diff(out, prepend=0)))
         return rows([d["dst"][0]] * len(load), [b[0] for b in blocks], [0] * len(load), load)
 
     def _least(self, g: np.ndarray, blob: np.ndarray, offset: np.ndarray, size: np.ndarray, doc: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -174,6 +174,16 @@ class Stretches:
         first = np.cumsum(windows) - windows
         out = np.full(int(windows.sum()), NO_DOC)
         edge = np.append(np.flatnonzero(np.diff(g, prepend=g[:1] ^ U64(1)) != 0), len(g))
+        # Where all documents have one and the same stretch around a gram, it stands for all of its strings; the rest is
+        # sorted.
+        alone = edge[:-1][(np.diff(edge) == 1) & shared[edge[:-1]]]
+        out[expand(first[alone], windows[alone])] = np.repeat(doc[alone], windows[alone])
+        several = np.repeat(np.diff(edge) > 1, np.diff(edge))
+        if not several.any():
+            return out
+        kept = np.flatnonzero(several)
+        g, offset, size, doc, shared, windows, first = (x[kept] for x in (g, offset, size, doc, shared, windows, first))
+        edge = np.append(np.flatnonzero(np.diff(g, prepend=g[:1] ^ U64(1)) != 0), len(g))
         ends = np.concatenate([[0], np.cumsum(size + 1)])
         i = 0
         while i < len(edge) - 1:
@@ -199,7 +209,7 @@ class Stretches:
             high = np.maximum.reduceat(doc[who[p]], start)
             more = np.maximum.reduceat(shared[who[p]].astype(np.int8), start).astype(bool) | (low != high)
             got = np.where(more, low, NO_DOC)[klass]
-            out[first[lo] + p] = got
+            out[expand(first[lo:hi], windows[lo:hi])[p]] = got
         return out
 
     def finish(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
@@ -210,7 +220,7 @@ class Stretches:
         for raw in replies.column("payload").to_pylist():
             n = int.from_bytes(raw[:8], "little")
             heads.append(unpack_keys(raw[8 : 8 + n]))
-            values.append(unpack(raw[8 + n :])[0])
+            values.append(np.cumsum(unpack(raw[8 + n :])[0]))
         if heads:
             g, h, windows = (np.concatenate([x[c] for x in heads]) for c in range(3))
             least = np.concatenate(values)
