@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioframe.functions import codecs
-from folioframe.sources import content
+from folioframe.sources import content, metadata
 from folioframe.sources.pdfsyntax import Document, Ref, Stream, load
 
 BATCH_ROWS = 5000
@@ -39,6 +39,10 @@ SCHEMAS = {
     "font": "doc_id string, obj_num int, base_font string, subset_tag string, kind string, is_embedded boolean, has_to_unicode boolean, has_widths boolean",
     "embedded_file": "doc_id string, name string, mime string, relationship string, data binary",
     "output_intent": "doc_id string, ord int, subtype string, identifier string, profile_ref int, has_profile boolean",
+    "xmp_prop": "doc_id string, ord int, namespace string, name string, form string, lang string, value string",
+    "icc_profile": "doc_id string, obj_num int, size bigint, version string, class string, space string, pcs string, intent int, tags array<string>",
+    "page_label": "doc_id string, start int, style string, prefix string, first int",
+    "named_dest": "doc_id string, name string, page_idx int",
     "outline": "doc_id string, node int, parent int, ord int, title string",
 }
 
@@ -257,6 +261,43 @@ def _outlines(doc_id: str, doc: Document):
             yield doc_id, node, parent, ord_, _text(doc.resolve(x.get("Title")))
 
 
+def _xmp(doc_id: str, doc: Document):
+    m = doc.get(doc.catalog, "Metadata")
+    if isinstance(m, Stream):
+        for row in metadata.xmp_properties(m.data(doc.resolve).decode("utf-8", "replace")):
+            yield (doc_id, *row)
+
+
+def _profiles(doc_id: str, doc: Document):
+    intents = {row[4] for row in _intents(doc_id, doc)}
+    for num, x in sorted(doc.objects.items()):
+        if isinstance(x, Stream) and (isinstance(doc.resolve(x.dict.get("N")), int) or num in intents) and x.dict.get("Type") != "ObjStm":
+            head = metadata.profile_header(x.data(doc.resolve))
+            if head:
+                yield (doc_id, num, *head)
+
+
+def _labels(doc_id: str, doc: Document):
+    for _, _, _, x in _tree(doc, doc.catalog.get("PageLabels"), lambda d: doc.resolve(d.get("Kids")) or []):
+        nums = doc.resolve(x.get("Nums")) or []
+        for start, v in zip(nums[::2], nums[1::2]):
+            d = doc.resolve(v)
+            if isinstance(start, int) and isinstance(d, dict):
+                first = doc.resolve(d.get("St"))
+                yield doc_id, start, _name(doc.resolve(d.get("S"))), _text(doc.resolve(d.get("P"))), first if isinstance(first, int) else None
+
+
+def _destinations(doc_id: str, doc: Document):
+    index = {num: i for i, (num, _) in enumerate(doc.pages())}
+    old = doc.get(doc.catalog, "Dests") or {}
+    pairs = [(k, v) for k, v in old.items()] + [(_text(doc.resolve(k)), v) for k, v in _names(doc, doc.get(doc.catalog, "Names", "Dests"))]
+    for name, v in pairs:
+        d = doc.resolve(v)
+        d = doc.resolve(d.get("D")) if isinstance(d, dict) else d
+        page = d[0] if isinstance(d, list) and d else None
+        yield doc_id, name, index.get(page.num) if isinstance(page, Ref) else None
+
+
 READERS: dict[str, Callable] = {
     "xref": lambda i, d: ((i, n, e.kind, e.a, e.b, e.depth) for n, e in sorted(d.xref.items())),
     "obj": _objects,
@@ -273,6 +314,10 @@ READERS: dict[str, Callable] = {
     "embedded_file": _embedded,
     "output_intent": _intents,
     "outline": _outlines,
+    "xmp_prop": _xmp,
+    "icc_profile": _profiles,
+    "page_label": _labels,
+    "named_dest": _destinations,
 }
 
 
@@ -384,3 +429,76 @@ def optimised(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shrink(x.as_py()) for x in batch.column(1)], pa.binary())], names=["doc_id", "data"])
 
     return files.select("doc_id", "data").mapInArrow(run, "doc_id string, data binary")
+
+
+def _with_pages(doc: Document, keep: list[dict], turn: int = 0) -> bytes:
+    """The file with the given pages only, each with its inherited attributes, under one flat page tree."""
+    from folioframe.sources.pdfsyntax import Name, serialise
+
+    objs, kids = dict(doc.objects), []
+    root = doc.trailer["Root"].num
+    tree = max(objs, default=0) + 1
+    for i, page in enumerate(keep):
+        rotate = doc.resolve(page.get("Rotate"))
+        objs[tree + 1 + i] = page | {"Parent": Ref(tree), "Rotate": ((rotate if isinstance(rotate, int) else 0) + turn) % 360}
+        kids.append(Ref(tree + 1 + i))
+    objs[tree] = {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)}
+    objs[root] = doc.catalog | {"Pages": Ref(tree)}
+    live, todo = set(), [doc.trailer.get("Root"), doc.trailer.get("Info")]
+    while todo:
+        for _, num in _edges(todo.pop()):
+            if num not in live:
+                live.add(num)
+                todo.append(objs.get(num))
+    return serialise({n: objs[n] for n in live if n in objs}, doc.trailer, doc.version)
+
+
+def _rewritten(files: DataFrame, change: Callable[[Document], bytes]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([change(load(x.as_py())) for x in batch.column(1)], pa.binary())], names=["doc_id", "data"])
+
+    return files.select("doc_id", "data").mapInArrow(run, "doc_id string, data binary")
+
+
+def extracted(files: DataFrame, start: int, count: int) -> DataFrame:
+    """Files of pages start .. start + count - 1 alone."""
+    return _rewritten(files, lambda doc: _with_pages(doc, [p for _, p in doc.pages()][start : start + count]))
+
+
+def rotated(files: DataFrame, degrees: int) -> DataFrame:
+    """Files whose pages are turned further by a multiple of 90 degrees."""
+    if degrees % 90:
+        raise ValueError("pages turn by multiples of 90 degrees")
+    return _rewritten(files, lambda doc: _with_pages(doc, [p for _, p in doc.pages()], degrees))
+
+
+def merged(files: DataFrame, group: str, order: str) -> DataFrame:
+    """One file a group with the pages of its files in order. files: group, order, doc_id, data. Objects of later files
+    get numbers above those of earlier ones. A group's files meet in one task, as their one output does."""
+
+    def shift(x, by: int):
+        if isinstance(x, Ref):
+            return Ref(x.num + by, x.gen)
+        if isinstance(x, Stream):
+            return Stream(shift(x.dict, by), x.raw)
+        if isinstance(x, dict):
+            return {k: shift(v, by) for k, v in x.items()}
+        return [shift(v, by) for v in x] if isinstance(x, list) else x
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(order, "ascending"), ("doc_id", "ascending")])
+        whole, pages, by = None, [], 0
+        for data in table.column("data").to_pylist():
+            doc = load(data)
+            pages += [shift(p, by) for _, p in doc.pages()]
+            objs = {n + by: shift(o, by) for n, o in doc.objects.items()}
+            if whole is None:
+                whole = doc
+            else:
+                whole.objects |= objs
+            by = max(whole.objects, default=0)
+        out = _with_pages(whole, pages)
+        return pa.table({"doc_id": [str(table.column(group)[0].as_py())], "data": pa.array([out], pa.binary())})
+
+    return files.groupBy(group).applyInArrow(join, "doc_id string, data binary")
