@@ -338,8 +338,8 @@ def _describe(doc_id: str, data: bytes, doc: Document | None, error: str | None)
 class Relations:
     """Lazy relations over files of (doc_id, data)."""
 
-    def __init__(self, files: DataFrame):
-        self.files = files
+    def __init__(self, files: DataFrame, password: bytes = b""):
+        self.files, self.password = files, password
         self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -351,7 +351,7 @@ class Relations:
 
     def _relation(self, name: str) -> DataFrame:
         schema = T.StructType.fromDDL(SCHEMAS[name])
-        arrow = to_arrow_schema(schema)
+        arrow, password = to_arrow_schema(schema), self.password
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
@@ -360,7 +360,7 @@ class Relations:
                     data = data.as_py() or b""
                     doc, error = None, None
                     try:
-                        doc = load(data)
+                        doc = load(data, password)
                     except Exception as e:  # noqa: BLE001 an unreadable file is a row of doc
                         error = f"{type(e).__name__}: {e}"
                     if name == "doc":
@@ -395,9 +395,9 @@ def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
 
-def read(spark: SparkSession, path: str, glob: str = "*.pdf") -> Relations:
+def read(spark: SparkSession, path: str, glob: str = "*.pdf", password: bytes = b"") -> Relations:
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return Relations(files.select(F.col("path").alias("doc_id"), F.col("content").alias("data")))
+    return Relations(files.select(F.col("path").alias("doc_id"), F.col("content").alias("data")), password)
 
 
 def optimised(files: DataFrame) -> DataFrame:

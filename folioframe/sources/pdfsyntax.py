@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass, field
 
 from folioframe.functions import codecs
+from folioframe.sources.security import Decryptor
 
 SPACE = b" \t\r\n\f\x00"
 DELIMITERS = b"()<>[]{}/%"
@@ -345,8 +346,36 @@ def _rebuild(doc: Document) -> None:
             doc.trailer |= d
 
 
-def load(data: bytes) -> Document:
-    """Read a file; where its cross-references are damaged, objects are found by scanning."""
+def _opened(doc: Document, password: bytes) -> None:
+    """Decrypt what is not packed in object streams, which are themselves encrypted as streams."""
+    lock = doc.trailer.get("Encrypt")
+    if lock is None:
+        return
+    own = lock.num if isinstance(lock, Ref) else None
+    rules = {k: doc.resolve(v) for k, v in doc.resolve(lock).items()}
+    ids = doc.resolve(doc.trailer.get("ID"))
+    d = Decryptor(rules, ids[0] if isinstance(ids, list) and ids and isinstance(ids[0], bytes) else b"", password)
+
+    def clear(x, num: int, gen: int):
+        if isinstance(x, bytes):
+            return d.string(num, gen, x)
+        if isinstance(x, list):
+            return [clear(y, num, gen) for y in x]
+        if isinstance(x, dict):
+            return {k: clear(v, num, gen) for k, v in x.items()}
+        if isinstance(x, Stream) and x.dict.get("Type") != "XRef":
+            crypt = "Crypt" in x.filters(doc.resolve)[0]
+            return Stream(clear(x.dict, num, gen), x.raw if crypt else d.stream(num, gen, x.raw))
+        return x
+
+    for num, x in doc.objects.items():
+        if num != own:
+            doc.objects[num] = clear(x, num, doc.xref[num].b)
+
+
+def load(data: bytes, password: bytes = b"") -> Document:
+    """Read a file; where its cross-references are damaged, objects are found by scanning. A wrong password for an
+    encrypted file raises a ValueError."""
     head = re.search(rb"%PDF-(\d\.\d)", data[:1024])
     if not head:
         raise ValueError("no file header in the first 1024 bytes")
@@ -357,17 +386,17 @@ def load(data: bytes) -> Document:
         if not isinstance(start, int):
             raise ValueError("no startxref")
         _chain(doc, start)
-        _materialise(doc, strict=True)
+        _materialise(doc, True, password)
         if not doc.catalog:
             raise ValueError("no catalog")
     except (ValueError, IndexError, TypeError, RecursionError):
         doc.objects = {}
         _rebuild(doc)
-        _materialise(doc, strict=False)
+        _materialise(doc, False, password)
     return doc
 
 
-def _materialise(doc: Document, strict: bool) -> None:
+def _materialise(doc: Document, strict: bool, password: bytes) -> None:
     for num, e in doc.xref.items():
         if e.kind != "used":
             continue
@@ -376,6 +405,7 @@ def _materialise(doc: Document, strict: bool) -> None:
         except (ValueError, IndexError, TypeError):
             if strict:
                 raise
+    _opened(doc, password)
     holders = {e.a for e in doc.xref.values() if e.kind == "packed"}
     if doc.rebuilt:
         holders |= {n for n, o in doc.objects.items() if isinstance(o, Stream) and o.dict.get("Type") == "ObjStm"}
