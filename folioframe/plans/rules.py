@@ -179,8 +179,35 @@ def pdfa_id(r, profile: str = "A-2b"):
     return docs(r, ~ok, f"the metadata do not claim {profile}")
 
 
+@rule("indirect-object-spacing", PDFA, "6.1.9")
+def object_spacing(r):
+    return objs(r.object_spacing.where("NOT heading_ok OR NOT end_ok"), "an object's heading or end is not spaced as it should be")
+
+
+@rule("xref-spacing", PDFA, "6.1.4")
+def xref_spacing(r):
+    return r.xref_section.where("NOT spacing_ok").select("doc_id", F.lit("a cross-reference table is not spaced as it should be").alias("message"))
+
+
 # Colour and graphics.
 
+@rule("output-intent-profile", ALL, "6.2.3")
+def intent_profile(r):
+    icc = r.icc_profile.select("doc_id", F.col("obj_num").alias("profile_ref"), "class", "space", "version")
+    each = r.output_intent.where("has_profile AND profile_ref IS NOT NULL").join(icc, ["doc_id", "profile_ref"], "left")
+    good = F.col("class").isin("Output", "Display") & F.col("space").isin("RGB", "CMYK", "Gray") & (F.split("version", r"\.")[0].cast("int") < 5)
+    return each.where(~F.coalesce(good, F.lit(False))).select("doc_id", F.lit("an output intent's profile is damaged or of a kind that is not permitted").alias("message"), F.col("profile_ref").alias("object_number"))
+
+
+@rule("pdfa2u-tounicode-values", 2 | UA, "6.2.11.7")
+def unicode_values(r, profile: str = "A-2u"):
+    bad = ["\u0000", "\ufffe", "\ufeff"] + ([] if profile == "UA-1" else ["\uffff"])
+    wrong = F.lit(profile != "UA-1") & (F.col("text") == "")
+    for c in bad:
+        wrong = wrong | F.contains("text", F.lit(c))
+    return once_a_value(r.code_map.where(wrong), "base_font", "a code maps to a value that is not permitted in ")
+
+
 @rule("output-intent-single", PDFA, "6.2.3")
 def intent_single(r):
     each = F.coalesce("profile_ref", -1 - F.col("ord"))
@@ -499,7 +526,7 @@ def check(relations: Relations, profile: str) -> DataFrame:
     for x in RULES:
         if not x.profiles & bit:
             continue
-        df = x.find(r, profile) if x.id == "pdfa-id" else x.find(r)
+        df = x.find(r, profile) if x.id in ("pdfa-id", "pdfa2u-tounicode-values") else x.find(r)
         have = set(df.columns)
         out = out.unionByName(
             df.select(

@@ -43,6 +43,9 @@ SCHEMAS = {
     "icc_profile": "doc_id string, obj_num int, size bigint, version string, class string, space string, pcs string, intent int, tags array<string>",
     "page_label": "doc_id string, start int, style string, prefix string, first int",
     "named_dest": "doc_id string, name string, page_idx int",
+    "object_spacing": "doc_id string, obj_num int, heading_ok boolean, end_ok boolean",
+    "xref_section": "doc_id string, at bigint, spacing_ok boolean",
+    "code_map": "doc_id string, obj_num int, base_font string, code int, text string",
     "outline": "doc_id string, node int, parent int, ord int, title string",
 }
 
@@ -261,6 +264,33 @@ def _outlines(doc_id: str, doc: Document):
             yield doc_id, node, parent, ord_, _text(doc.resolve(x.get("Title")))
 
 
+def _spacing(doc_id: str, doc: Document):
+    """How objects stand in the file, in the order of their offsets."""
+    heading = re.compile(rb"(?<=[\r\n])\d+ \d+ obj(?:\r\n|\r|\n)")
+    end = re.compile(rb"(?:\r\n|\r|\n)endobj(?:\r\n|\r|\n)")
+    for num, e in sorted(doc.xref.items(), key=lambda x: (x[1].a, x[0])):
+        if e.kind == "used" and num in doc.objects:
+            at = e.a + doc.header_offset
+            stop = doc.data.find(b"endobj", at)
+            good = stop >= 0 and end.match(doc.data, stop - (2 if doc.data[stop - 2 : stop] == b"\r\n" else 1))
+            yield doc_id, num, bool(heading.match(doc.data, at)), bool(good)
+
+
+def _sections(doc_id: str, doc: Document):
+    """Classic cross-reference tables: one line end after the keyword, one space inside a heading and a line end after."""
+    for m in re.finditer(rb"(?<![a-z])xref(?=[ \t\r\n\x00\f])", doc.data):
+        yield doc_id, m.start(), bool(re.match(rb"xref(?:\r\n|\r|\n)\d+ \d+(?:\r\n|\r|\n)", doc.data[m.start() : m.start() + 64]))
+
+
+def _codes(doc_id: str, doc: Document):
+    for num, x in sorted(doc.objects.items()):
+        if isinstance(x, dict) and doc.resolve(x.get("Type")) == "Font":
+            m = doc.get(x, "ToUnicode")
+            if isinstance(m, Stream):
+                for code, text in sorted(content.to_unicode(m.data(doc.resolve)).items()):
+                    yield doc_id, num, _name(doc.resolve(x.get("BaseFont"))), code, text
+
+
 def _xmp(doc_id: str, doc: Document):
     m = doc.get(doc.catalog, "Metadata")
     if isinstance(m, Stream):
@@ -314,6 +344,9 @@ READERS: dict[str, Callable] = {
     "embedded_file": _embedded,
     "output_intent": _intents,
     "outline": _outlines,
+    "object_spacing": _spacing,
+    "xref_section": _sections,
+    "code_map": _codes,
     "xmp_prop": _xmp,
     "icc_profile": _profiles,
     "page_label": _labels,

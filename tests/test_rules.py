@@ -47,6 +47,10 @@ CASES = {
     "pdfa-id": make(extra={90: Stream({}, XMP.replace(b">B<", b">A<"))}),
     "xmp-packet-header": make(extra={90: Stream({}, XMP.replace(b"begin=''", b"begin='' bytes='9'"))}),
     "output-intent-single": make(catalog={"OutputIntents": [{"DestOutputProfile": Ref(91)}, {"DestOutputProfile": Ref(90)}]}),
+    "output-intent-profile": make(catalog={"OutputIntents": [{"DestOutputProfile": Ref(91)}]}),
+    "indirect-object-spacing": make().replace(b"\n2 0 obj\n", b"\n2\t0 obj\n"),
+    "xref-spacing": make().replace(b"xref\n0", b"xref 0", 1),
+    "pdfa2u-tounicode-values": make(extra={50: {"Type": N("Font"), "Subtype": N("Type3"), "BaseFont": N("M"), "ToUnicode": Ref(51)}, 51: Stream({}, b"beginbfchar <01> <FEFF> endbfchar")}),
     "ua-tagged": make(catalog={"MarkInfo": {}}),
     "ua-suspects": make(catalog={"MarkInfo": {"Marked": True, "Suspects": True}}),
     "ua-display-doc-title": make(drop=["ViewerPreferences"]),
