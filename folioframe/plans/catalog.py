@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import scalar as fn
 from folioframe.operators import graph, ordered, reconcile
 from folioframe.operators import relational as rel
+from folioframe.sources import pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -378,3 +379,25 @@ def delta_stats(t):
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT')")
 def json_prop_resolve(t):
     return t.events.select("event_id", fn.typed_json(F.col("props"), "$.k", "bigint").alias("k")).where("k IS NOT NULL")
+
+
+# The file source: texts written as files, then read back through parser, page tree, content fold and page order.
+
+_LINES = "list_filter(string_split(text, chr(10)), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, md5(array_to_string({_LINES}, chr(10))) AS text_md5 FROM documents WHERE len({_LINES}) > 0")
+def file_text_roundtrip(t):
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    files = pdf.from_texts(t.documents.where(F.size(lines) > 0).select("doc_id", F.array_join(lines, "\n").alias("text")))
+    texts = pdf.Relations(files).document_text("\n")
+    return texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
+@query(f"SELECT doc_id, ((len({_LINES}) + 59) // 60)::INT AS n_pages, len({_LINES})::BIGINT AS n_fragments FROM documents WHERE len({_LINES}) > 0")
+def file_fragment_counts(t):
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    files = pdf.from_texts(t.documents.where(F.size(lines) > 0).select("doc_id", F.array_join(lines, "\n").alias("text")))
+    r = pdf.Relations(files)
+    shown = r.text_fragment.groupBy("doc_id").agg(F.count("*").alias("n_fragments"), (F.max("page_idx") + 1).alias("n_pages"))
+    return shown.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_pages", "n_fragments")

@@ -535,3 +535,26 @@ def merged(files: DataFrame, group: str, order: str) -> DataFrame:
         return pa.table({"doc_id": [str(table.column(group)[0].as_py())], "data": pa.array([out], pa.binary())})
 
     return files.groupBy(group).applyInArrow(join, "doc_id string, data binary")
+
+
+def from_texts(df: DataFrame, key: str = "doc_id", text: str = "text", lines_a_page: int = 60, size: float = 10.0) -> DataFrame:
+    """doc_id, data: a file for each text, a line of text a line of the page; null counts as empty."""
+    from folioframe.sources.pdfsyntax import Name, serialise, written
+
+    def build(text: str) -> bytes:
+        lines = text.split("\n")
+        objs: dict = {1: {"Type": Name("Catalog"), "Pages": Ref(2)}, 2: {"Type": Name("Pages"), "Kids": [], "MediaBox": [0, 0, 612, 792], "Resources": {"Font": {"F1": Ref(3)}}}, 3: {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica")}}
+        for at in range(0, len(lines), lines_a_page):
+            num = max(objs) + 1
+            shown = b"".join((written(b"\xfe\xff" + x.encode("utf-16-be")) + b" Tj T*\n") if x else b"T*\n" for x in lines[at : at + lines_a_page])
+            objs[num] = {"Type": Name("Page"), "Parent": Ref(2), "Contents": Ref(num + 1)}
+            objs[num + 1] = Stream({}, b"BT /F1 %g Tf %g TL 50 742 Td\n" % (size, 1.2 * size) + shown + b"ET")
+            objs[2]["Kids"].append(Ref(num))
+        objs[2]["Count"] = len(objs[2]["Kids"])
+        return serialise(objs, {"Root": Ref(1)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([build(x.as_py() or "") for x in batch.column(1)], pa.binary())], names=["doc_id", "data"])
+
+    return df.select(F.col(key).cast("string").alias("doc_id"), text).mapInArrow(run, "doc_id string, data binary")
