@@ -15,7 +15,7 @@ def named(*columns: np.ndarray) -> np.ndarray:
             size = int(key.max(initial=0)) + 1
         key = key * top + c
         size *= top
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k = key[order]
     new = np.ones(len(k), np.int64)
     new[1:] = k[1:] != k[:-1]
@@ -28,7 +28,7 @@ def ranks(s: np.ndarray) -> np.ndarray:
     """Ranks (from 1) of all suffixes of s, whose values are 1 or more.
 
     Triples at the cover's positions are sorted and named; if names repeat, the string of names is ranked in turn; the
-    remaining suffixes are sorted by (value, rank of the next) and merged in by binary search.
+    remaining suffixes are sorted by (value, rank of the next) and merged in by their keys among those of either kind.
     """
     n = len(s)
     if n == 0:
@@ -45,22 +45,22 @@ def ranks(s: np.ndarray) -> np.ndarray:
             names = ranks(names)
         rank[sample] = names
         rank[n:] = 0
+        by_rank = np.empty_like(sample)
+        by_rank[names - 1] = sample
+        sample = by_rank[by_rank < n]
+    # Keys of suffixes of one kind are in suffix order: (value, rank of the next), or (two values, rank after them).
+    wide, top = n + 4, int(t.max()) + 1
     zero = np.arange(0, n, 3)
-    zero = zero[np.lexsort((rank[zero + 1], t[zero]))]
-    sample = sample[sample < n]
-    sample = sample[np.argsort(rank[sample], kind="stable")]
-    lo, hi = np.zeros(len(zero), np.int64), np.full(len(zero), len(sample))
-    za, zb, z1, z2 = t[zero], t[zero + 1], rank[zero + 1], rank[zero + 2]
-    for _ in range(int(len(sample)).bit_length()):
-        mid = (lo + hi) >> 1
-        on = lo < hi
-        b = sample[np.minimum(mid, max(0, len(sample) - 1))] if len(sample) else mid
-        first, second = t[b], t[b + 1]
-        by_one = (first < za) | ((first == za) & (rank[b + 1] < z1))
-        by_two = (first < za) | ((first == za) & ((second < zb) | ((second == zb) & (rank[b + 2] < z2))))
-        less = np.where(b % 3 == 1, by_one, by_two)
-        lo = np.where(on & less, mid + 1, lo)
-        hi = np.where(on & ~less, mid, hi)
+    key = t[zero] * wide + rank[zero + 1]
+    order = np.argsort(key)
+    zero, key = zero[order], key[order]
+    first, second = sample[sample % 3 == 1], sample[sample % 3 == 2]
+    lo = np.searchsorted(t[first] * wide + rank[first + 1], key)
+    pairs = t[second] * top + t[second + 1], t[zero] * top + t[zero + 1]
+    if top * top * wide >= 1 << 62:
+        both = named(np.concatenate(pairs))
+        pairs = both[: len(second)], both[len(second) :]
+    lo += np.searchsorted(pairs[0] * wide + rank[second + 2], pairs[1] * wide + rank[zero + 2])
     out = np.empty(n, np.int64)
     # A merged suffix's place: its place among its own kind plus those of the other kind before it.
     out[zero] = np.arange(len(zero)) + lo + 1
