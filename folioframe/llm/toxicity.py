@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from folioframe.llm.kernels import LOOSE, Words, lookup, mix, slices, text_bytes
 
-MAX_TRAIN = 8000
+MAX_TRAIN = 6000
 FOLDS = 5
 SELECTED = 128
 MIN_SUPPORT = 5
@@ -179,6 +179,11 @@ class Chain:
 def fit_chain(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], categories: list[str]) -> Chain:
     """docs: (high halves of the sorted distinct feature hashes, dense values, labels, fold) of each training document."""
     n = len(docs)
+    # Features of the same high bits are counted together, which leaves out most of the rare ones before they are sorted.
+    crowd = np.zeros(1 << 22, np.int32)
+    for words, *_ in docs:
+        crowd[words >> np.uint32(10)] += 1
+    docs = [(words[crowd[words >> np.uint32(10)] >= MIN_SUPPORT], *rest) for words, *rest in docs]
     lens = np.array([len(x[0]) for x in docs], np.int64)
     d = np.repeat(np.arange(n, dtype=np.int32), lens)
     vocab, code = np.unique(np.concatenate([x[0] for x in docs]) if n else np.zeros(0, np.uint32), return_inverse=True)
@@ -222,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_train:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(words, pa.binary()), pa.array([x.tobytes() for x in dense], pa.binary())], names=["fold", "y", "words", "dense"])
 
     y_type = ", ".join(f"{c}: int" for c in categories)
-    got = rows.mapInArrow(run, f"fold bigint, y struct<{y_type}>, words binary, dense binary").take(2 * max_train)
+    got = rows.mapInArrow(run, f"fold bigint, y struct<{y_type}>, words binary, dense binary").limit(2 * max_train).collect()
     got = sorted(got, key=lambda r: (r.fold, bytes(r.words), bytes(r.dense)))
     # Copies of one text tell no more than one of them.
     once = {(bytes(r.words), tuple(r.y)): r for r in reversed(got)}
