@@ -10,7 +10,7 @@ Recursion keeps the rows of all steps, so pieces of over LONG_PIECE bytes take t
 a table; it contracts all occurrences, from the left, of a piece's minimum pair at once where the vocabulary is
 `proper`: the ranks below a token's own build exactly two parts of it, so no contraction makes a pair of lower rank.
 
-Pieces found before are kept for the next batch, at most CACHE_PIECES a Python worker. Memory is bounded by the batch
+Pieces found before are kept for the next batch, about `cache` of them (CACHE_PIECES) a Python worker. Memory is bounded by the batch
 (SLICE_CHARS, or one longer text) and the cache; nothing is shuffled.
 
 Cases: a null text counts as empty, has no tokens and decodes to nothing; repeated rows are coded each for itself; extra
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SLICE_CHARS = 2_000_000
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 LONG_PIECE = 400
-PIECES_A_QUERY = 60_000
+PIECES_A_QUERY = 40_000
 SHIFT = 20
 
 _RECURSIVE = """
@@ -192,10 +192,10 @@ class Codec:
             at += n
             self.at.append(base + at)
 
-    def encode_texts(self, texts: list[str]) -> list[tuple[np.ndarray, list[int]]]:
+    def encode_texts(self, texts: list[str], cache: int = CACHE_PIECES) -> list[tuple[np.ndarray, list[int]]]:
         """For each text its ids and the numbers of its pieces in this codec's list."""
         cut = [self.pattern.findall(t) for t in texts]
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > cache:
             self._clear()
         self.learn({x for pieces in cut for x in pieces})
         at = np.array(self.at, np.int64)
@@ -251,7 +251,7 @@ def _keep(df: DataFrame, keep: list[str]) -> list:
     return [df.schema[c] for c in keep]
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False, with_ids: bool = True) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False, with_ids: bool = True, cache: int = CACHE_PIECES) -> DataFrame:
     """`keep`, n_tokens, and ids array<int> (with_ids); with digests also ids_sha256, decoded_sha256 of a round trip."""
     keep = list(keep)
     schema = T.StructType(_keep(df, keep) + [T.StructField("n_tokens", T.LongType())])
@@ -266,7 +266,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
             column = batch.column(batch.num_columns - 1)
             texts = [x or "" for x in column.to_pylist()]
             for i, j in sliced(texts):
-                done = c.encode_texts(texts[i:j])
+                done = c.encode_texts(texts[i:j], cache)
                 ids = [x for x, _ in done]
                 out = list(batch.columns[: len(keep)])
                 out = [x.slice(i, j - i) for x in out]
@@ -279,6 +279,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
                     out.append(pa.array([hashlib.sha256(b",".join([d[k] for k in ks])).hexdigest() for _, ks in done]))
                     out.append(pa.array([hashlib.sha256(x).hexdigest() for x in c.decode(ids)]))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
+        if len(c.known) > cache:
+            c._clear()
+        pa.default_memory_pool().release_unused()
 
     return df.select(*keep, text).mapInArrow(run, schema)
 
