@@ -17,6 +17,8 @@ from folioframe.llm.runtime import persisted
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+#: Pieces that a worker of the last stage keeps; small, as the workers outlive the stage.
+CACHED_PIECES = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with the digests of a round trip."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), digests=True)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), digests=True, cache=CACHED_PIECES)
 
 
 STAGES = [
