@@ -8,7 +8,7 @@ and every repeated window has an anchor, at one of its first PERIOD words, whose
 
 1. Documents are dealt out by buckets of doc_id; each bucket sends the hashes of its anchors once to the reducers of the
    key space (packed blocks), which answer with those found in two documents.
-2. Anchors so found extend to the windows around them. Their 128-bit hashes travel the same way with the bucket's least
+2. Anchors so found extend to the windows around them. Their 96-bit hashes travel the same way with the bucket's least
    doc_id, and come back with the least of all, if it is another document's too.
 3. Each bucket marks the windows whose least doc_id is smaller than the document's.
 
@@ -148,7 +148,7 @@ class Anchors:
         return send_keys(src, keys, docs, self.parts)
 
     def _candidates(self, w: Words, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions and both hashes of the windows that have a found anchor."""
+        """Positions and both hashes (the second of 32 bits) of the windows that have a found anchor."""
         h = w.hashes()
         at, k = self._anchors(h, w.first)
         at = at[lookup(k << U64(1), found << U64(1)) >= 0]
@@ -162,7 +162,7 @@ class Anchors:
         g, ok = grams(h, w.first, self.window)
         at = np.flatnonzero(near & ok)
         other, _ = grams(w.hashes(which=1), w.first, self.window, which=1)
-        return at, g[at], other[at].view(np.int64)
+        return at, g[at], (other[at] >> U64(32)).view(np.int64)
 
     def send_windows(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows or not replies.num_rows:
@@ -210,7 +210,7 @@ class Anchors:
                 at = at[lookup(g[at], found[0]) >= 0]
                 if len(at):
                     other, _ = grams(w.hashes(which=1), w.first, self.window, which=1)
-                    p = pair_place(g[at], other[at].view(np.int64), found[0], found[1])
+                    p = pair_place(g[at], (other[at] >> U64(32)).view(np.int64), found[0], found[1])
                     d = ids[np.searchsorted(w.first, at, "right") - 1]
                     flag[at[(p >= 0) & (found[2][p] < d) & (d != NO_DOC)]] = True
             gone = runs_cover(flag, self.window, w.first)
