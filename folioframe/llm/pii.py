@@ -12,7 +12,11 @@ built of syllables from a keyed hash.
 
 Collision check: the distinct entities of the corpus are gathered (a shuffle of entities, no texts); a surrogate that
 equals a real entity of its kind or the surrogate of a smaller entity is drawn again with the next attempt, until none
-is left. Only the entities that were drawn again have to be told to the second pass over the texts: as a broadcast of at
+is left. There is no limit of rounds; it ends as no space can be used up. After GROW draws the surrogate of a mailbox or
+domain is longer than the entity, by a letter more for every GROW draws, and names gain syllables. The other kinds have
+a fixed format: where over a third of a space (all numbers of one format) is real, all its entities get the deranged
+permutation of that space (one cycle through all of it), so that they stay distinct and none is its own surrogate, but
+one may be another's. Only the entities that were drawn again have to be told to the second pass over the texts: as a broadcast of at
 most MAX_TOLD rows, or, if there are more, by a join with the texts that hold them.
 
 Cases: a null text stays null and an empty one empty; texts without entities stay as they are, byte by byte; extra
@@ -24,9 +28,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +41,14 @@ from pyspark.sql import types as T
 from folioframe.llm.runtime import persisted
 
 MAX_TOLD = 100_000
-MAX_ATTEMPTS = 50
+#: Draws within the shape of a mailbox or domain.
+GROW = 8
+#: A space is crowded if this many times its entities are more than it holds.
+CROWDED = 3
+#: The attempt that stands for the deranged permutation.
+DERANGED = -1
+#: Kinds of a fixed format.
+FIXED = ("ip", "card", "phone", "ssn", "iban", "access", "secret")
 ROUNDS = 8
 
 # Titles with the gender that they tell.
@@ -137,20 +149,29 @@ def find_parts(text: str) -> Iterator[tuple[int, int, list[Part]]]:
         yield m.start(kind), m.end(kind), [(kind, norm, places)]
 
 
-def _permuted(key: bytes, tweak: str, x: int, n: int) -> int:
-    """A keyed permutation of 0..n - 1."""
+def _permuted(key: bytes, tweak: str, x: int, n: int, back: bool = False) -> int:
+    """A keyed permutation of 0..n - 1, or its inverse."""
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     while True:
         left, right = x >> half, x & mask
-        for r in range(ROUNDS):
+        if back:
+            left, right = right, left
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
             h = hashlib.blake2b(f"{tweak}|{r}|{half}|{right}".encode(), key=key, digest_size=max(16, half // 8 + 9)).digest()
             left, right = right, left ^ (int.from_bytes(h, "big") & mask)
+        if back:
+            left, right = right, left
         x = left << half | right
         if x < n:
             return x
 
 
+def _deranged(key: bytes, tweak: str, x: int, n: int) -> int:
+    """A keyed permutation of 0..n - 1 that is one cycle; walked on to the next member of a subset, it is one there."""
+    return _permuted(key, tweak, (_permuted(key, tweak, x, n) + 1) % n, n, back=True)
+
+
 _SETS = {"d": "0123456789", "h": "0123456789abcdef", "l": "abcdefghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "k": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
@@ -163,13 +184,34 @@ def _shape(kind: str, norm: str) -> str:
     return "".join("d" if c in _SETS["d"] else "l" if c in _SETS["l"] else "u" if c in _SETS["u"] else "-" for c in norm)
 
 
-def _same_shape(key: bytes, tweak: str, norm: str, shape: str) -> str:
+def _space(kind: str, norm: str) -> tuple[str, int]:
+    """The name and size of the space of an entity of a fixed format."""
+    if kind == "ip":
+        octets = [int(x) for x in norm.split(".")]
+        keep = _network(octets)
+        public = 221 * 256**3 - 18 * 256**2
+        return f"{kind}|{octets[:keep]}", 256 ** (4 - keep) if keep else public
+    if kind == "card":
+        valid = _luhn(norm)
+        return f"{kind}|{len(norm)}|{norm[0]}|{valid}", (1 if valid else 9) * 10 ** (len(norm) - 2)
+    if kind == "phone" and len(norm) == 10:
+        area = norm[0] > "1"
+        return f"{kind}|10|{area}", (8 if area else 2) * 10**9
+    shape = _shape(kind, norm)
+    size = math.prod(len(_SETS[s]) for s in shape if s != "-")
+    if kind == "secret" and "h" not in shape and not set(shape) & {"u", "-"}:
+        size -= math.prod({"d": 10, "l": 6}[s] for s in shape)
+    fixed = "".join(c for c, s in zip(norm, shape, strict=True) if s == "-")
+    return f"{kind}|{shape}|{fixed}", size
+
+
+def _same_shape(key: bytes, tweak: str, norm: str, shape: str, move: Callable[[bytes, str, int, int], int] = _permuted) -> str:
     x, n = 0, 1
     for c, s in zip(norm, shape, strict=True):
         if s != "-":
             n *= len(_SETS[s])
             x = x * len(_SETS[s]) + _SETS[s].index(c)
-    x = _permuted(key, f"{tweak}|{shape}", x, n)
+    x = move(key, f"{tweak}|{shape}", x, n)
     out = []
     for c, s in zip(reversed(norm), reversed(shape), strict=True):
         if s != "-":
@@ -180,31 +222,33 @@ def _same_shape(key: bytes, tweak: str, norm: str, shape: str) -> str:
 
 
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
-    """The surrogate's normal form of an entity part, of the same kind and shape."""
+    """The surrogate's normal form of an entity part, of the same kind and shape, but for
+    later attempts of what may grow."""
     tweak = f"{kind}|{attempt}"
+    move = _deranged if attempt == DERANGED else _permuted
     if kind == "ip":
         octets = [int(x) for x in norm.split(".")]
         keep = _network(octets)
         x = int.from_bytes(bytes(octets[keep:]), "big")
         while True:
-            x = _permuted(key, f"{tweak}|{octets[:keep]}", x, 256 ** (4 - keep))
+            x = move(key, f"{tweak}|{octets[:keep]}", x, 256 ** (4 - keep))
             new = octets[:keep] + list(x.to_bytes(4 - keep, "big"))
             if _network(new) == keep:
                 return ".".join(map(str, new))
     if kind == "card":
         if _luhn(norm):
-            body = norm[0] + _same_shape(key, f"{tweak}|luhn|{norm[0]}", norm[1:-1], "d" * (len(norm) - 2))
+            body = norm[0] + _same_shape(key, f"{tweak}|luhn|{norm[0]}", norm[1:-1], "d" * (len(norm) - 2), move)
             return body + _check_digit(body)
         # The permuted digits of one without a valid check digit may have one by chance; the walk goes on then.
         out = norm
         while True:
-            out = norm[0] + _same_shape(key, f"{tweak}|plain|{norm[0]}", out[1:], "d" * (len(norm) - 1))
+            out = norm[0] + _same_shape(key, f"{tweak}|plain|{norm[0]}", out[1:], "d" * (len(norm) - 1), move)
             if not _luhn(out):
                 return out
     if kind == "phone" and len(norm) == 10 and norm[0] > "1":
         out = norm
         while True:
-            out = _same_shape(key, f"{tweak}|area", out, "d" * 10)
+            out = _same_shape(key, f"{tweak}|area", out, "d" * 10, move)
             if out[0] > "1":
                 return out
     if kind.startswith(("given", "surname")):
@@ -216,7 +260,15 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
             x, r = divmod(x, len(syllables))
             out.append(syllables[r])
         return "".join(out) + (ENDINGS[script][kind.split(":")[1]] if kind[0] == "g" else "")
-    return _same_shape(key, tweak, norm, _shape(kind, norm))
+    if kind in ("mailbox", "domain"):
+        end = 1 + max(i for i, c in enumerate(norm) if c.isalnum())
+        norm = norm[:end] + "a" * (attempt // GROW) + norm[end:]
+    shape = _shape(kind, norm)
+    out = norm
+    while True:
+        out = _same_shape(key, tweak, out, shape, move)
+        if attempt != DERANGED or _space(kind, out) == _space(kind, norm):
+            return out
 
 
 def _normal(kind: str, norm: str, value: str) -> str:
@@ -237,6 +289,7 @@ def _written(value: str, part: Part, new: str) -> str:
             chars[i] = ""
         return "".join(chars)
     letters = [c for c in new if c.isalnum()]
+    letters = [*letters[: len(places) - 1], "".join(letters[len(places) - 1 :])]
     for i, c in zip(places, letters, strict=True):
         chars[i] = c.upper() if value[i].isupper() else c
     return "".join(chars)
@@ -250,7 +303,7 @@ def rewrite(key: bytes, text: str, told: dict[tuple[str, str], int]) -> tuple[st
     for start, end, parts in find_parts(text):
         value = text[start:end]
         new = value
-        # Names change length, so the last part goes first.
+        # Parts change length, so the last part goes first.
         for part in reversed(parts):
             norm = _normal(part[0], part[1], value)
             new = _written(new, part, surrogate(key, part[0], norm, told.get((part[0], norm), 0)))
@@ -288,22 +341,41 @@ def _drawn(df: DataFrame, key: bytes) -> DataFrame:
     return df.select("kind", "norm", F.col("attempt").cast("int").alias("attempt")).mapInArrow(run, "kind string, norm string, attempt int, new string")
 
 
+def _crowded(found: DataFrame) -> DataFrame:
+    """(kind, norm) of the entities of crowded spaces. Spaces that all entities together would not crowd are not counted."""
+    total = found.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, n, *_space(k, n)) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [r for r in rows if r[3] < CROWDED * total]
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["kind", "norm", "space", "size"])
+
+    small = found.where(F.col("kind").isin(*FIXED)).select("kind", "norm").mapInArrow(run, "kind string, norm string, space string, size bigint")
+    full = small.groupBy("space").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(F.col("n") * CROWDED > F.col("size"))
+    return small.join(full.select("space"), "space", "left_semi").select("kind", "norm")
+
+
 def resolve(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogate would not do."""
     now = persisted(_drawn(found.withColumn("attempt", F.lit(0)), key), "drawn")
-    for _ in range(MAX_ATTEMPTS):
+    crowded = persisted(_crowded(now), "crowded")
+    if crowded.head(1):
+        rest = now.join(crowded, ["kind", "norm"], "left_anti")
+        now = persisted(rest.unionByName(_drawn(crowded.withColumn("attempt", F.lit(DERANGED)), key)), "drawn")
+    while True:
         real = now.select("kind", F.col("norm").alias("new"), F.lit(True).alias("real"))
         first = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n"))
         bad = first.where("n > 1").drop("n").join(now, ["kind", "new"]).where("struct(attempt, norm) <> first").select("kind", "norm")
-        bad = bad.unionByName(now.join(real, ["kind", "new"], "left_semi").select("kind", "norm")).distinct()
+        bad = bad.unionByName(now.where(F.col("attempt") != DERANGED).join(real, ["kind", "new"], "left_semi").select("kind", "norm")).distinct()
         bad = persisted(bad.withColumn("bad", F.lit(1)), "again")
         if not bad.head(1):
-            return now.where("attempt > 0").select("kind", "norm", "attempt")
+            return now.where("attempt <> 0").select("kind", "norm", "attempt")
         next_ = now.join(bad, ["kind", "norm"], "left")
         good = next_.where("bad IS NULL").drop("bad")
         again = next_.where("bad = 1").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
         now = persisted(good.unionByName(_drawn(again, key)), "drawn")
-    raise RuntimeError("surrogates still collide; use a larger shape or another key")
 
 
 def replace(docs: DataFrame, key: bytes, keep: tuple[str, ...] = ("doc_id",), text: str = "text", max_told: int = MAX_TOLD) -> DataFrame:

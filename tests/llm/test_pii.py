@@ -53,3 +53,34 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     new = [pii.surrogate(KEY, "ssn", str(i), told.get(("ssn", str(i)), 0)) for i in (0, 3, 5)]
     assert len(set(new)) == 3 and not set(new) & {"0", "3", "5"}
     assert found.count() == 4
+
+
+def test_used_up_spaces_end(spark):
+    boxes = "abcdefghijklmnopqrst"
+    ips = [f"192.168.{i >> 8}.{i & 255}" for i in range(40_000)]
+    rows = [(i, f"mail {b.upper() if i % 2 else b}@{d}.org") for i, (b, d) in enumerate(itertools.product(boxes, [f"{i}" for i in range(8)]))]
+    rows += [(1000 + i, "from " + " , ".join(ips[i : i + 100])) for i in range(0, len(ips), 100)]
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id bigint, text string"), KEY).collect()}
+    told = {}
+    for i, text in rows[:160]:
+        old, new = (t.split()[1][:-4].lower().split("@") for t in (text, got[i]))
+        for kind in (0, 1):
+            assert told.setdefault((kind, old[kind]), new[kind]) == new[kind]
+    new = [{v for (k, _), v in told.items() if k == kind} for kind in (0, 1)]
+    assert len(new[0]) == 20 and not new[0] & set(boxes) and len(new[1]) == 8 and not new[1] & set("01234567")
+    assert max(map(len, new[0] | new[1])) > 1
+    # More than half of the class is real: distinct, none is its own surrogate, and the class stays.
+    pairs = [p for i, t in rows[160:] for p in zip(t[5:].split(" , "), got[i][5:].split(" , "), strict=True)]
+    assert len({b for _, b in pairs}) == 40_000 and all(a != b and b.startswith("192.168.") for a, b in pairs)
+
+
+def test_deranged_spaces():
+    for n in (2, 10, 97):
+        x, seen = 0, []
+        for _ in range(n):
+            x = pii._deranged(KEY, "t", x, n)
+            seen.append(x)
+        assert sorted(seen) == list(range(n))
+    for kind, norms in (("ssn", [f"{i:03}" for i in range(1000)]), ("phone", [f"{i:04}" for i in range(3000)]), ("card", [f"4{i:03}" for i in range(1000)])):
+        new = [pii.surrogate(KEY, kind, x, pii.DERANGED) for x in norms]
+        assert len(set(new)) == len(norms) and all(a != b and pii._space(kind, a) == pii._space(kind, b) for a, b in zip(norms, new))
