@@ -6,8 +6,11 @@ out-of-fold probabilities of the earlier ones: each training row's were made by
 scoring, the probabilities of the final earlier models take their place. A category's decision threshold is the one of
 best F1 on its out-of-fold probabilities.
 
-Training takes at most MAX_TRAIN labelled documents (those with the smallest hashes of doc_id), reduced to word hashes
-on the executors; words are selected in each fold by their chi-square against the label. Scoring covers whole texts in
+Training takes all labelled documents up to MAX_TRAIN. Of more, each combination of labels gives an equal share, and all
+it has where that is less (so that rare positives stay), by the smallest hashes of doc_id; a document then weighs as many
+as it stands for, in the models' fit, base rates and thresholds. Words are selected in each fold by their chi-square
+against the label: executors count them by ranges of hashes, and only those that some fold selects go to the driver.
+Scoring covers whole texts in
 one pass without a shuffle.
 
 Cases: null or empty text has no words and is scored by its ratios; rows with a null label are not trained on; of
@@ -18,6 +21,7 @@ without labels) and nothing is decided positive. Extra columns of documents pass
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioframe.llm.kernels import LOOSE, Words, lookup, mix, slices, text_bytes
+from folioframe.llm.runtime import persisted
 
-MAX_TRAIN = 6000
+MAX_TRAIN = 16000
 FOLDS = 5
 SELECTED = 128
 MIN_SUPPORT = 5
 MIN_CLASS = 10
+MIN_CHI = 10.83
+#: Ranges of feature hashes, counted one at a time.
+RANGES = 64
 RIDGE = 1.0
 N_DENSE = 5
 #: Bytes of the word beginnings that are features, besides whole words (0).
@@ -108,19 +116,25 @@ def log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_linear(d: np.ndarray, code: np.ndarray, vocab: np.ndarray, dense: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Linear:
+def chi_square(both: np.ndarray, ones: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """Of features in `both` of n documents and `ones` of the pos positive ones; 0 for those in too few."""
+    expect = both * pos / n
+    chi = (ones - expect) ** 2 / np.maximum(expect * (1 - pos / n) * (1 - both / n), 1e-9)
+    chi[both < MIN_SUPPORT] = 0
+    return chi
+
+
+def fit_linear(d: np.ndarray, code: np.ndarray, vocab: np.ndarray, dense: np.ndarray, earlier: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Linear:
     """code: the place in `vocab` (sorted hashes) of the word of each (document d, word)."""
     n, pos = len(y), int(y.sum())
     none = np.zeros(0)
     if min(pos, n - pos) < MIN_CLASS:
-        return Linear(none.astype(np.uint64), none, none, none, pos / n if n else 0.0)
+        return Linear(none.astype(np.uint64), none, none, none, float(weight @ y / weight.sum()) if n else 0.0)
     both = np.bincount(code, minlength=len(vocab))
     ones = np.bincount(code, weights=y[d], minlength=len(vocab))
-    expect = both * pos / n
-    chi = (ones - expect) ** 2 / np.maximum(expect * (1 - pos / n) * (1 - both / n), 1e-9)
-    chi[both < MIN_SUPPORT] = 0
+    chi = chi_square(both, ones, n, pos)
     best = np.argsort(-chi, kind="stable")[:SELECTED]
-    best = np.sort(best[chi[best] > 10.83])
+    best = np.sort(best[chi[best] > MIN_CHI])
     place = np.full(len(vocab), -1)
     place[best] = np.arange(len(best))
     x = np.zeros((n, len(best) + N_DENSE + earlier.shape[1] + 1))
@@ -132,24 +146,33 @@ def fit_linear(d: np.ndarray, code: np.ndarray, vocab: np.ndarray, dense: np.nda
         x[:, len(best) + N_DENSE : -1] = earlier
     x[:, -1] = 1
     w = np.zeros(x.shape[1])
-    w[-1] = np.log(pos / (n - pos))
+    w[-1] = np.log((weight @ y) / (weight @ (1 - y)))
     ridge = np.full(len(w), RIDGE)
     ridge[-1] = 1e-6
-    for _ in range(12):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge @ w**2 / 2)
+
+    now = loss(w)
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), grad)
-        w -= step
+        grad = x.T @ (weight * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), grad)
+        # A whole step may overshoot where one class is rare.
+        while (new := loss(w - step)) > now and np.abs(step).max() >= 1e-6:
+            step /= 2
+        w, now = w - step, new
         if np.abs(step).max() < 1e-6:
             break
     return Linear(vocab[best], centre, scale, w)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """The probability of best F1, half-way to the next lower one."""
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, y.sum()))
+    hits = np.cumsum((weight * y)[order])
+    f1 = 2 * hits / (np.cumsum(weight[order]) + max(1, weight @ y))
     cut = np.flatnonzero(np.diff(p[order], append=-1.0) < 0)
     k = cut[np.argmax(f1[cut])]
     low = p[order[k + 1]] if k + 1 < len(p) else 0.0
@@ -176,9 +199,10 @@ class Chain:
         return p
 
 
-def fit_chain(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], categories: list[str]) -> Chain:
+def fit_chain(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], categories: list[str], weights: np.ndarray | None = None) -> Chain:
     """docs: (high halves of the sorted distinct feature hashes, dense values, labels, fold) of each training document."""
     n = len(docs)
+    weight = np.ones(n) if weights is None else weights
     # Features of the same high bits are counted together, which leaves out most of the rare ones before they are sorted.
     crowd = np.zeros(1 << 22, np.int32)
     for words, *_ in docs:
@@ -202,19 +226,93 @@ def fit_chain(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], catego
             rest, part = fold != f, fold == f
             a, b = np.cumsum(rest) - 1, np.cumsum(part) - 1
             on, off = rest[d], part[d]
-            m = fit_linear(a[d[on]], code[on], vocab, dense[rest], earlier[rest], y[rest, k])
+            m = fit_linear(a[d[on]], code[on], vocab, dense[rest], earlier[rest], y[rest, k], weight[rest])
             held[part, k] = m.probability(b[d[off]], vocab[code[off]], dense[part], earlier[part])
-        models.append(fit_linear(d, code, vocab, dense, earlier, y[:, k]))
-        thresholds.append(best_threshold(held[:, k], y[:, k]) if models[-1].base is None else 2.0)
+        models.append(fit_linear(d, code, vocab, dense, earlier, y[:, k], weight))
+        thresholds.append(best_threshold(held[:, k], y[:, k], weight) if models[-1].base is None else 2.0)
     return Chain(categories, models, thresholds, held)
 
 
+def allotted(sizes: list[int], total: int) -> list[int]:
+    """`total` dealt out evenly, but no more to each than its size."""
+    out, left = [0] * len(sizes), total
+    for k, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        out[i] = min(sizes[i], left // (len(sizes) - k))
+        left -= out[i]
+    return out
+
+
+def drawn(known: DataFrame, categories: list[str], max_train: int) -> DataFrame:
+    """Labels of at most max_train documents, and how many each stands for, as weight."""
+    groups = sorted(known.groupBy(*categories).agg(F.count("*").alias("__n")).collect())
+    result = known.limit(0).withColumn("weight", F.lit(1.0))
+    for r, n in zip(groups, allotted([r["__n"] for r in groups], max_train), strict=True):
+        if n:
+            part = known.where(" AND ".join(f"`{c}` = {r[c]}" for c in categories))
+            part = part if n == r["__n"] else part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+            result = result.unionByName(part.withColumn("weight", F.lit(r["__n"] / n)))
+    return result
+
+
+def selected(rows: DataFrame, categories: list[str]) -> np.ndarray:
+    """The high halves (sorted) of the features that a fold's model or the final one selects."""
+    totals = {}
+    for r in rows.groupBy("y", F.pmod("fold", F.lit(FOLDS)).alias("part")).count().collect():
+        totals[tuple(r.y), r.part] = r["count"]
+    combos = sorted({y for y, _ in totals})
+    place = {y: i for i, y in enumerate(combos)}
+    size = np.zeros((FOLDS, len(combos)), np.int64)
+    for (y, part), n in totals.items():
+        size[part, place[y]] = n
+    positive = np.array(combos, bool).reshape(len(combos), len(categories))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(w, np.uint32) for w in batch.column(2).to_pylist()]
+            code = [f % FOLDS * len(combos) + place[tuple(y.values())] for f, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            h, code = np.concatenate(words), np.repeat(np.array(code, np.int32), [len(w) for w in words])
+            order = np.argsort(h, kind="stable")
+            h, code = h[order], code[order]
+            cut = np.searchsorted(h.astype(np.int64), np.arange(RANGES + 1) * (2**32 // RANGES))
+            load = [(i, h[cut[i] : cut[i + 1]].tobytes(), code[cut[i] : cut[i + 1]].tobytes()) for i in range(RANGES) if cut[i] < cut[i + 1]]
+            cols = list(zip(*load, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["dst", "words", "codes"])
+
+    def choose(table: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("words").to_pylist()])
+        code = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("codes").to_pylist()])
+        vocab, at = np.unique(h, return_inverse=True)
+        often = np.bincount(at, minlength=len(vocab)) >= MIN_SUPPORT
+        keep = often[at]
+        vocab, at, code = vocab[often], (np.cumsum(often) - 1)[at[keep]], code[keep]
+        held = np.bincount(at * size.size + code, minlength=len(vocab) * size.size).reshape(len(vocab), *size.shape)
+        out: list[list[np.ndarray]] = [[], [], []]
+        for fold in range(FOLDS + 1):
+            there = np.arange(FOLDS) != fold
+            n, both = int(size[there].sum()), held[:, there].sum(axis=(1, 2))
+            for k in range(len(categories)):
+                pos = int(size[there][:, positive[:, k]].sum())
+                if min(pos, n - pos) >= MIN_CLASS:
+                    chi = chi_square(both, held[:, there][:, :, positive[:, k]].sum(axis=(1, 2)), n, pos)
+                    best = np.argsort(-chi, kind="stable")[:SELECTED]
+                    best = best[chi[best] > MIN_CHI]
+                    for c, v in zip(out, (np.full(len(best), fold * len(categories) + k), chi[best], vocab[best].astype(np.int64)), strict=True):
+                        c.append(v)
+        return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, (pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["model", "chi", "word"])
+
+    sent = rows.select("fold", "y", "words").mapInArrow(send, "dst int, words binary, codes binary")
+    best: dict[int, list[tuple[float, int]]] = {}
+    for r in sent.groupBy("dst").applyInArrow(lambda t: choose(t), "model int, chi double, word bigint").collect():
+        best.setdefault(r.model, []).append((-r.chi, r.word))
+    return np.array(sorted({w for x in best.values() for _, w in sorted(x)[:SELECTED]}), np.uint32)
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_train: int = MAX_TRAIN) -> Chain:
     """`labels`: doc_id and the category columns (0/1). The labelled sample is bounded, so it may be broadcast."""
     known = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
-    known = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id").alias("fold"), F.struct(*categories).alias("y"), "text")
+    known = persisted(known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]), "labels")
+    sample = drawn(known, categories, max_train)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id").alias("fold"), F.struct(*categories).alias("y"), "text", "weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,14 +322,25 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_train:
                 cut = np.searchsorted(d, np.arange(j - i + 1))
                 h = (h >> np.uint64(32)).astype(np.uint32)
                 words = [h[cut[k] : cut[k + 1]].tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(words, pa.binary()), pa.array([x.tobytes() for x in dense], pa.binary())], names=["fold", "y", "words", "dense"])
+                digest = [hashlib.blake2b(w, digest_size=16).digest() for w in words]
+                cols = [batch.column(c).slice(i, j - i) for c in (0, 1, 3)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(digest, pa.binary()), pa.array(words, pa.binary()), pa.array([x.tobytes() for x in dense], pa.binary())], names=["fold", "y", "weight", "digest", "words", "dense"])
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(w, np.uint32) for w in batch.column(3).to_pylist()]
+            words = [w[lookup(w.astype(np.uint64), used.astype(np.uint64)) >= 0].tobytes() if len(w) and len(used) else b"" for w in words]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(words, pa.binary()), batch.column(4), batch.column(5)], names=batch.schema.names)
 
-    y_type = ", ".join(f"{c}: int" for c in categories)
-    got = rows.mapInArrow(run, f"fold bigint, y struct<{y_type}>, words binary, dense binary").limit(2 * max_train).collect()
-    got = sorted(got, key=lambda r: (r.fold, bytes(r.words), bytes(r.dense)))
+    y_type = f"struct<{', '.join(f'{c}: int' for c in categories)}>"
+    found = rows.mapInArrow(run, f"fold bigint, y {y_type}, weight double, digest binary, words binary, dense binary")
     # Copies of one text tell no more than one of them.
-    once = {(bytes(r.words), tuple(r.y)): r for r in reversed(got)}
-    return fit_chain([(np.frombuffer(w, np.uint32), np.frombuffer(r.dense), np.array(y), r.fold % FOLDS) for (w, y), r in sorted(once.items(), key=lambda x: (x[1].fold, x[0]))], categories)
+    once = found.groupBy("digest", "y").agg(F.min(F.struct("fold", "dense")).alias("least"), F.first("weight").alias("weight"), F.first("words").alias("words"))
+    once = persisted(once.select("least.fold", "y", "weight", "words", "least.dense", "digest"), "features")
+    used = selected(once, categories)
+    got = once.mapInArrow(narrow, once.schema).collect()
+    got = sorted(got, key=lambda r: (r.fold, bytes(r.digest), tuple(r.y)))
+    return fit_chain([(np.frombuffer(r.words, np.uint32), np.frombuffer(r.dense), np.array(r.y), r.fold % FOLDS) for r in got], categories, np.array([r.weight for r in got]))
 
 
 def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
