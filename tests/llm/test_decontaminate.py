@@ -55,3 +55,24 @@ def test_embedding_is_near_for_near_texts():
     near = (dc.embed(x, 0) != dc.embed(y, 0)).mean()
     far = (dc.embed(x, 0) != dc.embed(x[::-1], 0)).mean()
     assert near < 0.5 < far
+
+
+def test_every_kind_of_edit_at_the_full_distance():
+    rng = np.random.default_rng(9)
+    for length in (15, 40, 63):
+        k = length // 5
+        items = [[f"i{i}x{j}" for j in range(length)] for i in range(100)]
+        block = dc.Items.of([(i, " ".join(w)) for i, w in enumerate(items)])
+        for kind in ("delete", "insert", "substitute", "mixed"):
+            for spread in (True, False):
+                docs = []
+                for i, item in enumerate(items):
+                    at = np.arange(k) * 5 + 4 if spread else rng.choice(length, k, replace=False)
+                    leak = list(item)
+                    for p in sorted(at.tolist(), reverse=True):
+                        what = ("delete", "insert", "substitute")[int(rng.integers(3))] if kind == "mixed" else kind
+                        leak[p : p + (what != "insert")] = [] if what == "delete" else [f"new{p}"]
+                    docs.append(" ".join([f"before{j}" for j in range(30)] + leak + [f"after{j}" for j in range(30)]))
+                found = dc._scan(block, dc.pa.array(docs))
+                assert [(d, i) for d, i, *_ in found] == [(i, i) for i in range(100)], (length, kind, spread)
+                assert all(e == brute(items[i], docs[d].split()) for d, i, _, _, e in found[:10])
