@@ -6,9 +6,10 @@ right id, rank), finds each piece's leftmost pair of minimum rank, contracts it,
 left. The merge table holds every way to cut a token into two tokens, so ranks mean what they mean to the tiktoken
 library. Decoding: token rows join the vocabulary and an aggregate ordered by position concatenates their bytes.
 
-Recursion keeps the rows of all steps, so pieces of over LONG_PIECE bytes take the same step as a statement repeated on
-a table; it contracts all occurrences, from the left, of a piece's minimum pair at once where the vocabulary is
-`proper`: the ranks below a token's own build exactly two parts of it, so no contraction makes a pair of lower rank.
+The plain recursion keeps the rows of all steps, so pieces of over LONG_PIECE bytes take a recursive query that keeps
+the last state alone (USING KEY); a round contracts all occurrences, from the left, of a piece's minimum pair where the
+vocabulary is `proper`: the ranks below a token's own build exactly two parts of it, so no contraction makes a pair of
+lower rank. Elsewhere a round contracts the leftmost one.
 
 Pieces found before are kept for the next batch, about `cache` of them (CACHE_PIECES) a Python worker. Memory is bounded by the batch
 (SLICE_CHARS, or one longer text) and the cache; nothing is shuffled.
@@ -53,21 +54,26 @@ WITH RECURSIVE tok(step, w, p, id, q, nid) AS (
 SELECT w, id FROM tok JOIN (SELECT w, max(step) AS step FROM tok GROUP BY w) z USING (w, step) ORDER BY w, p
 """
 
-#: One step of all long pieces: the candidates of minimum rank, numbered within runs that overlap; every other one of a
-#: run is contracted, or only the leftmost of the piece where `every` is false.
-_STEP = """
-CREATE OR REPLACE TEMP TABLE long_next AS
-WITH t AS (SELECT w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p) AS nid,
-                  row_number() OVER (PARTITION BY w ORDER BY p) AS rn FROM long_tok),
-c AS (SELECT t.w, t.p, t.rn, x.m, min(x.m) OVER (PARTITION BY t.w) AS best
-      FROM t JOIN merges x ON x.k = ((t.id::BIGINT << 20) | t.nid)),
-r AS (SELECT w, p, rn, m, rn - row_number() OVER (PARTITION BY w ORDER BY p) AS run,
-             row_number() OVER (PARTITION BY w ORDER BY p) AS nth FROM c WHERE m = best),
-h AS (SELECT w, p, rn, m FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY p) AS k FROM r) z
-      WHERE k % 2 = 1 AND ({every} OR nth = 1))
-SELECT t.w, t.p, coalesce(h.m, t.id) AS id FROM t
-LEFT JOIN h ON h.w = t.w AND h.rn = t.rn LEFT JOIN h g ON g.w = t.w AND g.rn = t.rn - 1
-WHERE g.w IS NULL
+#: The same for long pieces, keeping only the last state of a position (-1: contracted away). A round numbers the
+#: candidates of minimum rank within runs that overlap and contracts every other one of a run, or only the leftmost of
+#: the piece where `every` is false.
+_ROUNDS = """
+WITH RECURSIVE tok(w, p, id) USING KEY (w, p) AS (
+  SELECT w, p, id FROM init
+  UNION ALL
+  SELECT w, p, id FROM (
+    WITH t AS (SELECT w, p, id, lead(id) OVER z AS nid, lead(p) OVER z AS q, row_number() OVER z AS rn
+               FROM recurring.tok WHERE id >= 0 AND w IN (SELECT w FROM tok) WINDOW z AS (PARTITION BY w ORDER BY p)),
+    c AS (SELECT t.w, t.p, t.q, t.rn, x.m, min(x.m) OVER (PARTITION BY t.w) AS best
+          FROM t JOIN merges x ON x.k = ((t.id::BIGINT << 20) | t.nid)),
+    r AS (SELECT w, p, q, m, rn - row_number() OVER (PARTITION BY w ORDER BY p) AS run,
+                 row_number() OVER (PARTITION BY w ORDER BY p) AS nth FROM c WHERE m = best),
+    h AS (SELECT w, p, q, m FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY p) AS k FROM r) y
+          WHERE k % 2 = 1 AND ({every} OR nth = 1))
+    SELECT w, p, m AS id FROM h UNION ALL SELECT w, q, -1 FROM h
+  ) n
+)
+SELECT w, id FROM tok WHERE id >= 0 ORDER BY w, p
 """
 
 _DECODE = "SELECT d, array_to_string(list(s ORDER BY p), '') AS t FROM toks JOIN vocab USING (id) GROUP BY d"
@@ -154,17 +160,7 @@ class Codec:
     def _long(self, init: pa.Table) -> pa.Table:
         if self.proper is None:
             self.proper = is_proper(self.ranks)
-        self.con.register("init", init)
-        self.con.execute("CREATE OR REPLACE TEMP TABLE long_tok AS SELECT w, p, id FROM init")
-        self.con.unregister("init")
-        n = init.num_rows
-        while True:
-            self.con.execute(_STEP.format(every=str(self.proper).lower()))
-            self.con.execute("CREATE OR REPLACE TEMP TABLE long_tok AS SELECT * FROM long_next")
-            left = self.con.execute("SELECT count(*) FROM long_tok").fetchall()[0][0]
-            if left == n:
-                return self.con.sql("SELECT w, id FROM long_tok ORDER BY w, p").to_arrow_table()
-            n = left
+        return self._run(_ROUNDS.format(every=str(self.proper).lower()), init)
 
     @staticmethod
     def _split(part: list[int], got: pa.Table, found: dict[int, np.ndarray]) -> None:
