@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 TARGET_BYTES = 12 << 20
 #: Estimates from here on mean that Catalyst does not know.
 UNKNOWN_BYTES = 1 << 60
-#: Largest number of partitions of a packed exchange (blocks between two steps grow with its square).
-MAX_PARTS = 20_000
 
 
 def spark_of(df: DataFrame) -> SparkSession:
@@ -20,9 +18,11 @@ def spark_of(df: DataFrame) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the shared spark.checkpoint.dir; where that is unset (tests), one below /tmp."""
+    """A fresh folder below the shared spark.checkpoint.dir. Only a local session (tests) may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/folioframe-{uuid.uuid4().hex}"
 
@@ -42,13 +42,16 @@ def stored_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame) -> int:
-    """Partitions for `df`: the session's shuffle partitions, or more where the stored size asks for more."""
+    """Partitions for `df`: the session's shuffle partitions, or more where the stored size asks for more.
+
+    They grow with the table, so that buckets and key ranges keep their size; from a few hundred GB on, the blocks between
+    two buckets hold few keys each, and at 100 TB a packed exchange is a plain shuffle of keys."""
     spark = spark_of(df)
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     size = stored_bytes(df)
     if size >= UNKNOWN_BYTES:
         return max(1, least)
-    return max(1, least, min(MAX_PARTS, -(-size // TARGET_BYTES)))
+    return max(1, least, -(-size // TARGET_BYTES))
 
 
 def bucketed(df: DataFrame, key: str, extra: str, parts: int, name: str = "src") -> DataFrame:
