@@ -38,7 +38,8 @@ from folioframe.llm.suffix import prefix_classes
 
 U64 = np.uint64
 GRAM = 20
-PLACE_BITS = 28
+#: Bits of a place in the texts of a slice; Spark's strings are shorter than 2**31 bytes.
+PLACE_BITS = 31
 BATCH_BYTES = 1 << 20
 SEPARATOR = 256
 
@@ -49,8 +50,6 @@ def picks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray
     n = len(data) - width + 1
     if n <= 0:
         return none, none, none, none.astype(U64)
-    if len(data) >= 1 << PLACE_BITS:
-        raise ValueError(f"texts of {1 << PLACE_BITS} bytes and more are not supported")
     g = byte_grams(data, GRAM)
     low = (g >> U64(PLACE_BITS) << U64(PLACE_BITS)) | np.arange(len(g), dtype=U64)
     span, have = width - GRAM + 1, 1
