@@ -13,32 +13,45 @@ Documents link when |A & B| * den >= num * |A | B|; the result has the component
    between neighbours, so a shingle of m documents gives m - 1 chain links and no pairs. Components of the chains bound
    where links can be.
 5. Inside a component an index over prefix shingles gives each candidate pair once, after the length, positional and
-   suffix filters; pairs that are connected already need no check, all others are verified on the whole sets. A
-   component of over BLOCK_DOCS candidates is dealt out as pairs of blocks, and their links' components are joined.
+   suffix filters; pairs that are connected already need no check, all others are verified on the whole sets, class of
+   shingles by class, until the rest cannot make a link. A component of over BLOCK_BYTES of sets is cut into bands of
+   sizes (a set can link only inside its band or with the next one), and a band of over BLOCK_BYTES into pairs of
+   blocks; their links' components are joined.
 
 Cases: null or empty text has an empty set and links with nothing; a null doc_id is returned without a component;
 repeated rows and ties belong to one class; rows of one doc_id count as one node; extra columns are ignored; an empty
-table gives an empty result. n_links counts the checked links that join a class to others in its component's forest.
+table gives an empty result. The join finds components: forest_links counts the checked links that join a class to
+others in its component's forest, not all of its links.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.blocks import ARROW_BLOCKS, BLOCKS, pack_keys, rows, scatter, unpack_keys
+from folioframe.llm.blocks import ARROW_BLOCKS, BLOCKS, concat, pack, pack_keys, rows, scatter, unpack, unpack_keys
 from folioframe.llm.graph import components
-from folioframe.llm.kernels import Words, expand, grams, mix
+from folioframe.llm.kernels import Words, expand, grams, mix, text_bytes
 from folioframe.llm.runtime import bucketed, parts_for, persisted
-from folioframe.llm.substring import NO_DOC, bucket_texts
+from folioframe.llm.substring import NO_DOC, bucket_texts, pair_place
 
 U64 = np.uint64
 COUNT_MASK = U64(0xFFFFFFFFFF000000)
-BLOCK_DOCS = 4000
-BINS = 64
-CHECK_AT_ONCE = 256
+#: Bytes of sets (8 a shingle and SET_BYTES a set) that one side of a verifying task takes.
+BLOCK_BYTES = 8 << 20
+SET_BYTES = 256
+#: Rows about large components that are broadcast.
+TOLD_ROWS = 100_000
+#: Classes of shingles, by hash, in which the suffix filter counts and pairs are verified.
+CLASS_BITS = 4
+#: Index entries or shingles that a verifying task looks at together.
+AT_ONCE = 1 << 18
+#: Prefix entries of candidates that are thinned together before they move.
+ENTRIES_AT_ONCE = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,28 +101,34 @@ class Join:
     # Steps on a bucket of documents.
 
     def describe(self, table: pa.Table) -> pa.Table:
-        out = []
-        src = table.column("src")[0].as_py()
+        """One row for each distinct set of a bucket, with its doc_ids; documents without doc_id have rows of their own."""
+        src, got = table.column("src")[0].as_py(), []
         for _, _, ids, data, offsets in bucket_texts(table):
             h, first = shingle_sets(data, offsets, self.k)
-            a, b = signatures(h, first)
-            doc = pa.array([None if x == NO_DOC else x for x in ids.tolist()], pa.int64())
-            out.append(pa.Table.from_arrays([doc, pa.array(np.full(len(ids), src, np.int32)), pa.array(np.diff(first), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "src", "n", "sig1", "sig2"]))
-        return pa.concat_tables(out)
+            got.append((ids, np.diff(first), *signatures(h, first)))
+        ids, n, a, b = (np.concatenate([x[i] for x in got]) for i in range(4))
+        gone = ids == NO_DOC
+        order = np.lexsort((ids, gone, b, a))
+        ids, n, a, b, gone = ids[order], n[order], a[order], b[order], gone[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (gone[1:] != gone[:-1])) if len(ids) else gone
+        start = np.flatnonzero(new)
+        docs = pa.ListArray.from_arrays(pa.array(np.append(start, len(ids)), pa.int32()), pa.array(ids, pa.int64(), mask=gone))
+        return pa.Table.from_arrays([pa.array(np.full(len(start), src, np.int32)), pa.array(n[start], pa.int64()), pa.array(a[start].view(np.int64)), pa.array(b[start].view(np.int64)), docs], names=["src", "n", "sig1", "sig2", "docs"])
 
     def _standing(self, docs: pa.Table, copies: pa.Table):
         """(doc_ids, sizes, shingles, offsets) of the sets that stand for their class, slice by slice."""
-        gone = set()
-        for who, sig in zip(copies.column("docs").to_pylist(), copies.column("sigs").to_pylist(), strict=True):
-            if who is not None:
-                gone.update(zip(who, sig, strict=True))
+        told = [(a, b, c) for a, b, c in zip(*(copies.column(x).to_pylist() for x in ("sig1s", "sig2s", "standing")), strict=True) if a is not None]
+        one, two, stands = (np.concatenate([np.zeros(0, np.int64), *[np.array(t[i], np.int64) for t in told]]) for i in range(3))
+        order = np.lexsort((two, one.view(U64)))
+        one, two, stands = one[order].view(U64), two[order], stands[order]
         for _, _, ids, data, offsets in bucket_texts(docs):
             h, first = shingle_sets(data, offsets, self.k)
             n = np.diff(first)
             keep = (n > 0) & (ids != NO_DOC)
-            if gone:
-                a = signatures(h, first)[0].view(np.int64).tolist()
-                keep &= np.array([(d, s) not in gone for d, s in zip(ids.tolist(), a, strict=True)], bool)
+            if len(one):
+                a, b = signatures(h, first)
+                p = pair_place(a, b.view(np.int64), one, two)
+                keep &= (p < 0) | (stands[p] == ids)
             at = np.flatnonzero(keep)
             h = h[expand(first[at], n[at])]
             yield ids[at], n[at], h, np.concatenate([[0], np.cumsum(n[at])])
@@ -150,95 +169,214 @@ class Join:
     # Steps on candidates.
 
     def send_prefixes(self, batches):
-        """Blocks of (prefix shingle; doc_id, size) of a batch of candidates."""
+        """Blocks (kind 0) of (prefix shingle; doc_id, size) of a partition's candidates, and blocks (kind 1) of links.
+
+        Of the candidates of one shingle, in order of size, those stay out that lie between two others that the length
+        filter lets meet: they are linked here, and whatever comes to lie between the two elsewhere is linked as well. So
+        a shingle that all candidates share sends a few entries for each range of sizes."""
+        held, entries = [], 0
         for batch in batches:
-            doc, n, rare, sets = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
-            h = np.frombuffer(b"".join(sets), U64)
-            first = np.cumsum(n) - n
-            size = n - self.least(n) + 1
-            some = np.maximum(size - rare, 0)
-            k = expand(first + rare, some)
-            key, who, sizes = h[k], np.repeat(doc, some), np.repeat(n, some)
-            order = np.argsort(key, kind="stable")
-            t = scatter(0, key[order], (who[order], sizes[order]), self.parts)
-            yield from t.to_batches()
+            doc, n, rare, sets = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+            data, offsets = text_bytes(sets)
+            h = np.frombuffer(data.tobytes(), U64)
+            some = np.maximum(n - self.least(n) + 1 - rare, 0)
+            k = expand(offsets[:-1] // 8 + rare, some)
+            held.append((h[k], np.repeat(doc, some), np.repeat(n, some)))
+            entries += len(k)
+            if entries >= ENTRIES_AT_ONCE:
+                yield from self._thinned(held)
+                held, entries = [], 0
+        if entries:
+            yield from self._thinned(held)
+
+    def _thinned(self, held):
+        key, doc, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+        order = np.lexsort((doc, n, key))
+        key, doc, n = key[order], doc[order], n[order]
+        same = key[1:] == key[:-1]
+        link = same & (n[:-1] >= self.least(n[1:]))
+        u, v = forest(doc[1:][link], doc[:-1][link])
+        # An entry stays if one of its neighbours is not linked, or if its band of sizes differs from a neighbour's;
+        # sizes of one band can always meet.
+        band = self.band(n)
+        edge = np.append(True, ~link | (band[1:] != band[:-1])) | np.append(~link | (band[1:] != band[:-1]), True)
+        yield from scatter(0, key[edge], (doc[edge], n[edge]), self.parts).to_batches()
+        if len(u):
+            yield from rows([int(key[0] % U64(self.parts))], [0], [1], [pack(u, v)]).to_batches()
+
+    def band(self, n):
+        """Bands of sizes: two sizes that can meet lie in one band or in two neighbouring ones, and sizes of one band can
+        meet. Band edges are the least sizes e with least(e) >= the edge before."""
+        top, edges = int(n.max(initial=1)), [1]
+        while edges[-1] <= top:
+            edges.append(max(edges[-1] + 1, self.num and edges[-1] * self.den // self.num + 1))
+        return np.searchsorted(np.array(edges), n, "right")
 
     def chain(self, table: pa.Table) -> pa.Table:
         """Reducer of a range of shingles: links between neighbours in size, as a forest."""
-        blocks = [unpack_keys(x) for x in table.column("payload").to_pylist()]
-        key, doc, n = (np.concatenate([b[i] for b in blocks]) for i in range(3))
+        load, kind = table.column("payload").to_pylist(), table.column("kind").to_pylist()
+        blocks = [unpack_keys(x) for x, k in zip(load, kind, strict=True) if k == 0]
+        key, doc, n = concat(blocks, 3)
         order = np.lexsort((doc, n, key))
         key, doc, n = key[order], doc[order], n[order]
         link = (key[1:] == key[:-1]) & (n[:-1] >= self.least(n[1:])) & (doc[1:] != doc[:-1])
-        pair = np.unique(np.stack([doc[1:][link], doc[:-1][link]], axis=1), axis=0)
-        u, v = forest(pair[:, 0], pair[:, 1])
+        told = concat([unpack(x) for x, k in zip(load, kind, strict=True) if k == 1], 2)
+        u, v = forest(np.concatenate([doc[1:][link], told[0].astype(np.int64)]), np.concatenate([doc[:-1][link], told[1]]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     def verify(self, table: pa.Table) -> pa.Table:
-        """The forest of the links among the candidates of one component (or two of its blocks, a and b)."""
+        """The forest of the links among the candidates of one component, or between two blocks (a and b) of one of its
+        bands, where pairs of two `lower` sets belong to the band below.
+
+        Memory stays near the sets' own size: the pairs of a set are listed AT_ONCE entries at a time."""
         table = table.sort_by([("n", "ascending"), ("doc_id", "ascending")]).combine_chunks()
         doc, n, rare = (table.column(c).to_numpy() for c in ("doc_id", "n", "rare"))
-        side = table.column("side").to_numpy()
-        two = len(table) and table.column("a")[0].as_py() != table.column("b")[0].as_py()
+        side, lower = (table.column(c).to_numpy() for c in ("side", "lower"))
+        two = len(doc) and table.column("a")[0].as_py() != table.column("b")[0].as_py()
         m = len(doc)
-        h = np.frombuffer(b"".join(table.column("grams").to_pylist()), U64)
+        data, _ = text_bytes(table.column("grams"))
+        h = np.frombuffer(data.tobytes(), U64)
         stop = np.cumsum(n)
         first = stop - n
-        owner = np.repeat(np.arange(m), n)
-        bins = np.zeros((m, BINS), np.int32)
-        np.add.at(bins, (owner, (h & U64(BINS - 1)).astype(np.int64)), 1)
-        size = np.maximum(n - self.least(n) + 1 - rare, 0)
-        # The index: prefix entries sorted by shingle, then by size.
+        # The sets once more, sorted by hash: their classes are runs.
+        classes = 1 << CLASS_BITS
+        owner = np.repeat(np.arange(m, dtype=np.int32), n)
+        sorted_sets = h[np.lexsort((h, owner))]
+        run = owner.astype(np.int64) * classes + (sorted_sets >> U64(64 - CLASS_BITS)).astype(np.int64)
+        run = np.searchsorted(run, np.arange(m * classes + 1))
+        del owner
+        whole = np.diff(run).reshape(m, classes)
+        # The index holds the prefixes that a smaller set needs to meet a larger one, sorted by shingle, then by size.
+        probe = np.maximum(n - self.least(n) + 1 - rare, 0)
+        size = np.clip(n - self.shared(n, n) + 1 - rare, 0, probe)
         k = expand(first + rare, size)
-        who, place = owner[k], k - first[owner[k]]
+        who = np.repeat(np.arange(m), size)
+        place = k - first[who]
         order = np.lexsort((who, h[k]))
         key, who, place = h[k][order], who[order], place[order]
-        group = np.cumsum(np.append(0, key[1:] != key[:-1])) if len(key) else key.astype(np.int64)
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        by_doc = np.argsort(who, kind="stable")
-        edge = np.searchsorted(who[by_doc], np.arange(m + 1))
-        label, links = np.arange(m), []
+        after = self._suffixes(h, first, whole, who, place)
+        lists = Components(m)
+        links = []
         for x in range(m):
-            mine = by_doc[edge[x] : edge[x + 1]]
-            # Entries of smaller documents under the same shingles, by the length filter and without the connected.
-            lens = mine - begin[group[mine]]
-            at = expand(begin[group[mine]], lens)
-            y = who[at]
-            good = (n[y] >= self.least(n[x])) & (label[y] != label[x])
-            if two:
-                good &= side[y] != side[x]
-            if not good.any():
+            px = np.arange(rare[x], rare[x] + probe[x])
+            mine = h[first[x] + px]
+            begin, end = np.searchsorted(key, mine), np.searchsorted(key, mine, "right")
+            # Length filter: entries of one shingle ascend in size, and so in number.
+            least = int(np.searchsorted(n, self.least(int(n[x]))))
+            lo, hi = between(who, begin, end, least), between(who, begin, end, x)
+            some = np.flatnonzero(hi > lo)
+            if not len(some):
                 continue
-            at, y = at[good], y[good]
-            px = np.repeat(place[mine], lens)[good]
-            # Positional filter, at the first shingle that a pair shares in the order.
-            order = np.lexsort((px, y))
-            at, y, px = at[order], y[order], px[order]
-            one = np.append(True, y[1:] != y[:-1])
-            at, y, px = at[one], y[one], px[one]
-            need = self.shared(n[x], n[y])
-            good = 1 + np.minimum(n[x] - px - 1, n[y] - place[at] - 1) >= need
-            y, need = y[good], need[good]
-            # Suffix filter: both sets cut in the same classes of shingles cannot share more than the smaller parts.
-            good = np.minimum(bins[y], bins[x]).sum(1) >= need
-            y, need = y[good], need[good]
-            mine_set = np.sort(h[first[x] : stop[x]])
-            while len(y):
-                part, rest = y[-CHECK_AT_ONCE:], y[:-CHECK_AT_ONCE]
-                flat = h[expand(first[part], n[part])]
-                p = np.minimum(np.searchsorted(mine_set, flat), len(mine_set) - 1)
-                both = np.add.reduceat((mine_set[p] == flat).astype(np.int64), np.cumsum(n[part]) - n[part])
-                for z in part[both >= need[-CHECK_AT_ONCE:]].tolist():
-                    if label[z] != label[x]:
-                        links.append((x, z))
-                        label[label == label[z]] = label[x]
-                need = need[:-CHECK_AT_ONCE]
-                go = label[rest] != label[x]
-                y, need = rest[go], need[go]
+            px, lo, lens = px[some], lo[some], (hi - lo)[some]
+            seen = np.zeros(x - least, bool)
+            mine_after = self._suffixes(h, first, whole, np.full(len(px), x), px)
+            i = 0
+            total = np.cumsum(lens)
+            while i < len(px):
+                j = max(i + 1, int(np.searchsorted(total, total[i] - lens[i] + AT_ONCE, "right")))
+                at, p = expand(lo[i:j], lens[i:j]), np.repeat(np.arange(i, j), lens[i:j])
+                i = j
+                y = who[at]
+                good = ~seen[y - least] & (lists.label[y] != lists.label[x]) & ~(lower[y] & lower[x])
+                if two:
+                    good &= side[y] != side[x]
+                at, p, y = at[good], p[good], y[good]
+                # The first shingle that a pair shares in the order decides.
+                y, one = np.unique(y, return_index=True)
+                at, p = at[one], p[one]
+                seen[y - least] = True
+                need = self.shared(int(n[x]), n[y])
+                good = 1 + np.minimum(n[x] - px[p] - 1, n[y] - place[at] - 1) >= need  # positional filter
+                at, p, y, need = at[good], p[good], y[good], need[good]
+                good = 1 + np.minimum(after[at], mine_after[p]).sum(axis=1) >= need  # suffix filter
+                y, need = y[good], need[good]
+                links += self._linked(x, y, need, sorted_sets, run, whole, lists)
         u = doc[np.array([a for a, _ in links], np.int64)]
         v = doc[np.array([b for _, b in links], np.int64)]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
+    @staticmethod
+    def _suffixes(h: np.ndarray, first: np.ndarray, whole: np.ndarray, who: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """For each entry (set, place in it) how many of the set's shingles after the place each class has."""
+        classes = whole.shape[1]
+        out = np.empty((len(who), classes), np.int32)
+        order = np.lexsort((place, who))
+        step = max(1, AT_ONCE // classes)
+        for i in range(0, len(order), step):
+            o = order[i : i + step]
+            w, p = who[o], place[o]
+            # Shingles between the places of one set are counted once, then summed up.
+            same = np.append(False, w[1:] == w[:-1])
+            since = np.where(same, np.append(-1, p[:-1]), -1)
+            k = expand(first[w] + since + 1, p - since)
+            got = np.zeros((len(o), classes), np.int32)
+            np.add.at(got, (np.repeat(np.arange(len(o)), p - since), (h[k] >> U64(64 - CLASS_BITS)).astype(np.int64)), 1)
+            got = np.cumsum(got, axis=0)
+            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(o))))
+            got -= np.where((start > 0)[:, None], got[start - 1], 0)
+            out[o] = whole[w] - got
+        return out
+
+    def _linked(self, x: int, y: np.ndarray, need: np.ndarray, sets: np.ndarray, run: np.ndarray, whole: np.ndarray, lists: "Components") -> list[tuple[int, int]]:
+        """Links of x with the sets y that are not connected yet; largest first, as they are likeliest."""
+        classes, links = whole.shape[1], []
+        y, need = y[::-1], need[::-1]
+        while len(y):
+            go = lists.label[y] != lists.label[x]
+            y, need = y[go], need[go]
+            many = max(1, int(np.searchsorted(np.cumsum(whole[y].sum(axis=1)), AT_ONCE)))
+            part, want, y, need = y[:many], need[:many], y[many:], need[many:]
+            both = np.zeros(len(part), np.int64)
+            most = np.minimum(whole[part], whole[x])
+            rest = most.sum(axis=1)
+            for c in range(classes):
+                if not len(part):
+                    break
+                mine = sets[run[x * classes + c] : run[x * classes + c + 1]]
+                lens = run[part * classes + c + 1] - run[part * classes + c]
+                flat = sets[expand(run[part * classes + c], lens)]
+                hit = np.concatenate([[0], np.cumsum(mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat)]) if len(mine) else np.zeros(len(flat) + 1, np.int64)
+                ends = np.cumsum(lens)
+                both += hit[ends] - hit[ends - lens]
+                rest -= most[:, c]
+                go = both + rest >= want
+                part, want, both, rest, most = part[go], want[go], both[go], rest[go], most[go]
+            for z in part.tolist():
+                if lists.join(x, z):
+                    links.append((x, z))
+        return links
+
+
+def between(who: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
+    """For each run begin..end of `who`, ascending in itself, the first place of `least` or more."""
+    lo, hi = begin.copy(), end.copy()
+    while (go := lo < hi).any():
+        mid = (lo + hi) // 2
+        small = go & (who[np.minimum(mid, len(who) - 1)] < least)
+        lo = np.where(small, mid + 1, lo)
+        hi = np.where(go & ~small, mid, hi)
+    return lo
+
+
+class Components:
+    """Labels of sets that are connected; a union writes the smaller side's labels anew."""
+
+    def __init__(self, m: int):
+        self.label = np.arange(m)
+        self.members: dict[int, list[int]] = {}
+
+    def join(self, x: int, y: int) -> bool:
+        a, b = int(self.label[x]), int(self.label[y])
+        if a == b:
+            return False
+        mine, other = self.members.pop(a, [a]), self.members.pop(b, [b])
+        if len(mine) < len(other):
+            a, mine, other = b, other, mine
+        self.label[other] = a
+        mine += other
+        self.members[a] = mine
+        return True
+
 
 CANDIDATES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("rare", pa.int64()), ("grams", pa.binary())])
 
@@ -254,7 +392,7 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.minimum.at(new, label[a], low)
         np.minimum.at(new, label[b], low)
         new = new[new]
-        while (again := new[new]).tolist() != new.tolist():
+        while not np.array_equal(again := new[new], new):
             new = again
         new = new[label]
         if (new == label).all():
@@ -284,38 +422,61 @@ def sum_counts(table: pa.Table) -> pa.Table:
     return rows([d["dst"][0]] * len(have), [d["src"][order[k]] for k in have], [0] * len(have), load)
 
 
+def told(small: DataFrame) -> DataFrame:
+    """Rows about components of over BLOCK_BYTES: broadcast while there are at most TOLD_ROWS, else joined by a shuffle."""
+    small = persisted(small, "told")
+    return F.broadcast(small) if small.count() <= TOLD_ROWS else small
+
+
+def placed(found: DataFrame, bound: DataFrame, step: Join) -> DataFrame:
+    """The verifying tasks of each candidate: doc_id, n, component, band, a, b, side, lower.
+
+    Components of at most BLOCK_BYTES are one task. Of larger ones a set goes to its band and, as a lower one, to the
+    next; a band of several blocks is dealt out as pairs of blocks."""
+    at = found.select("doc_id", "n").distinct().join(bound.select(F.col("node").alias("doc_id"), "component"), "doc_id")
+    # Bands a hair wider than the ratio that sizes may have, so that rounding cannot put sizes that meet two apart.
+    ratio = math.log(step.den / step.num) + 1e-9
+    at = at.withColumn("own", 1 + F.floor(F.log("n") / F.lit(ratio))).withColumn("bytes", F.col("n") * 8 + SET_BYTES)
+    big = told(at.groupBy("component").agg(F.sum("bytes").alias("all")).where(F.col("all") > BLOCK_BYTES).select("component", F.lit(True).alias("big")))
+    at = at.join(big, "component", "left")
+    at = at.select("doc_id", "component", "n", "bytes", "own", F.explode(F.when(F.col("big"), F.array("own", F.col("own") + 1)).otherwise(F.array(F.lit(0).cast("bigint")))).alias("band"))
+    blocks = at.where("band > 0").groupBy("component", "band").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"), F.max("own").alias("most"))
+    # A band that holds lower sets only has no pairs of its own.
+    blocks = told(blocks.select("component", "band", F.when(F.col("most") == F.col("band"), F.col("blocks")).otherwise(0).alias("blocks")))
+    at = at.join(blocks, ["component", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).where("blocks > 0")
+    at = at.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    at = at.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return at.select("doc_id", "n", "component", "band", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).alias("side"), ((F.col("band") > 0) & (F.col("own") < F.col("band"))).alias("lower"))
+
+
 def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (least doc_id of the same set; null: empty set), n_links."""
+    """doc_id, n_shingles, component_id, class_id (least doc_id of the same set; null: empty set), forest_links."""
     parts = parts_for(docs)
     step = Join(k, num, den, parts)
     dealt = bucketed(docs.selectExpr("doc_id", "text"), "doc_id", "text", parts)
-    sets = persisted(dealt.groupBy("src").applyInArrow(lambda t: step.describe(t), "doc_id bigint, src int, n bigint, sig1 bigint, sig2 bigint"), "sets")
-    full = sets.where("n > 0 AND doc_id IS NOT NULL")
-    least = full.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
-    classes = full.join(least.where("members > 1"), ["sig1", "sig2"], "left").select("doc_id", "src", "sig1", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
+    # A row for each set and bucket: a text that a third of all documents copy has one row a bucket.
+    sets = persisted(dealt.groupBy("src").applyInArrow(lambda t: step.describe(t), "src int, n bigint, sig1 bigint, sig2 bigint, docs array<bigint>"), "sets")
+    full = sets.where("n > 0 AND docs[0] IS NOT NULL")
+    least = full.groupBy("sig1", "sig2").agg(F.min(F.array_min("docs")).alias("class_id"), F.sum(F.size("docs")).alias("members")).where("members > 1")
+    classes = full.join(least.drop("members"), ["sig1", "sig2"], "left").select("src", "sig1", "sig2", "n", "docs", F.coalesce("class_id", F.col("docs")[0]).alias("class_id"))
     classes = persisted(classes, "classes")
-    copies = classes.where("class_id <> doc_id").groupBy("src").agg(F.collect_list("doc_id").alias("docs"), F.collect_list("sig1").alias("sigs"))
-    copies = copies.selectExpr("src", "CAST(NULL AS binary) AS payload", "docs", "sigs")
+    copies = classes.where("size(docs) > 1 OR docs[0] <> class_id").groupBy("src").agg(*(F.collect_list(F.struct("sig1", "sig2", "class_id"))[c].alias(a) for c, a in (("sig1", "sig1s"), ("sig2", "sig2s"), ("class_id", "standing"))))
+    copies = copies.selectExpr("src", "CAST(NULL AS binary) AS payload", "sig1s", "sig2s", "standing")
     counts = dealt.groupBy("src").cogroup(copies.groupBy("src")).applyInArrow(lambda t, r: step.send_counts(t, r), BLOCKS)
     often = counts.groupBy("dst").applyInArrow(sum_counts, BLOCKS)
-    told = often.selectExpr("src", "payload", "CAST(NULL AS array<bigint>) AS docs", "CAST(NULL AS array<bigint>) AS sigs").unionByName(copies)
+    told = often.selectExpr("src", "payload", *(f"CAST(NULL AS array<bigint>) AS {c}" for c in ("sig1s", "sig2s", "standing"))).unionByName(copies)
     found = dealt.groupBy("src").cogroup(told.groupBy("src")).applyInArrow(lambda t, r: step.candidates(t, r), "doc_id bigint, n bigint, rare bigint, grams binary")
     found = persisted(found, "candidates")
     blocks = found.mapInArrow(lambda b: step.send_prefixes(b), BLOCKS)
     chains = blocks.groupBy("dst").applyInArrow(lambda t: step.chain(t), "u bigint, v bigint")
     bound = persisted(components(chains), "bounds")
-    sizes = bound.groupBy("component").agg(F.count("*").alias("size"))
-    placed = bound.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("size") / BLOCK_DOCS).cast("int").alias("blocks"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # A component of one block is one task; of more blocks, each pair of blocks is.
-    tasks = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select("doc_id", "component", "blocks", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    both = found.join(tasks, "doc_id").select("component", "a", "b", "side", "doc_id", "n", "rare", "grams", "blocks")
-    links = both.groupBy("component", "a", "b").applyInArrow(lambda t: step.verify(t), "u bigint, v bigint")
+    both = found.join(placed(found, bound, step), ["doc_id", "n"]).select("component", "band", "a", "b", "side", "lower", "doc_id", "n", "rare", "grams")
+    links = both.groupBy("component", "band", "a", "b").applyInArrow(lambda t: step.verify(t), "u bigint, v bigint")
     links = persisted(links, "joined")
     linked = components(links)
-    degree = links.select(F.col("u").alias("class_id")).unionByName(links.select(F.col("v").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    result = classes.join(linked.select(F.col("node").alias("class_id"), "component"), "class_id", "left").join(degree, "class_id", "left")
-    result = result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
-    rest = sets.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    degree = links.select(F.col("u").alias("class_id")).unionByName(links.select(F.col("v").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("forest_links"))
+    result = classes.select("n", "docs", "class_id").join(linked.select(F.col("node").alias("class_id"), "component"), "class_id", "left").join(degree, "class_id", "left")
+    result = result.select(F.explode("docs").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id", F.coalesce("forest_links", F.lit(0).cast("bigint")).alias("forest_links"))
+    rest = sets.where("n = 0 OR docs[0] IS NULL").select(F.explode("docs").alias("doc_id"), F.col("n").alias("n_shingles"))
+    rest = rest.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("forest_links"))
     return result.unionByName(rest)

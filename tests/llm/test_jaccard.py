@@ -1,7 +1,10 @@
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from folioframe.llm import jaccard
 from folioframe.llm.graph import components
@@ -48,8 +51,10 @@ def corpus(seed, n=260):
 
 
 def test_matches_brute_force(spark, monkeypatch):
-    for seed, k, num, blocks in ((1, 4, 85, 4000), (2, 5, 80, 4000), (3, 2, 70, 6)):
-        monkeypatch.setattr(jaccard, "BLOCK_DOCS", blocks)
+    for seed, k, num, size in ((2, 5, 80, 8 << 20), (3, 2, 70, 6000), (5, 3, 100, 3000)):
+        monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
+        monkeypatch.setattr(jaccard, "AT_ONCE", 1 << 18 if size > 10000 else 64)
+        monkeypatch.setattr(jaccard, "ENTRIES_AT_ONCE", 1 << 20 if size > 10000 else 40)
         rows = corpus(seed)
         df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id bigint, text string, component string")
         got = jaccard.join(df, k, num, 100).select("doc_id", "n_shingles", "component_id").collect()
@@ -67,3 +72,30 @@ def test_components(spark):
     u, v = jaccard.forest(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
     want = dict(zip(u.tolist(), v.tolist())) | {x: x for x in v.tolist()}
     assert got == want
+
+
+def test_dense_sets_take_bounded_time_and_memory():
+    """1,000 sets of 2,000 shingles that share 70 % and do not link."""
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 2**63, 2900, dtype=np.uint64))
+    n = 2000
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for _ in range(1000)]
+    table = pa.table({"doc_id": pa.array(range(1000), pa.int64()), "n": pa.array([n] * 1000, pa.int64()), "rare": pa.array([0] * 1000, pa.int64()), "grams": pa.array([x.tobytes() for x in sets], pa.binary()), "a": [0] * 1000, "b": [0] * 1000, "side": [False] * 1000, "lower": [False] * 1000})
+    began = time.process_time()
+    tracemalloc.start()
+    assert jaccard.Join(4, 85, 100, 8).verify(table).num_rows == 0
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert time.process_time() - began < 40
+
+
+def test_many_near_copies_link(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = []
+    for d in range(300):
+        w = list(base)
+        w[rng.randrange(400)] = f"x{d}"
+        rows.append((d, " ".join(w)))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 300
