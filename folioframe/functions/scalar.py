@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The forms that dates and tags have.
-PDF_DATE = r"^D?:?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:(Z|[+-])(\d{2})?'?(\d{2})?'?)?"
+PDF_DATE = r"^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:(Z|[+-])(\d{2})?'?(\d{2})?'?)?$"
+ISO_DATE = r"^(\d{4})(?:-(\d{2})(?:-(\d{2})(?:T(\d{2}):(\d{2})(?::(\d{2}(?:\.\d+)?))?(Z|[+-]\d{2}:\d{2})?)?)?)?$"
 LANGUAGE_TAG = r"^[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*$"
 SUBSET_TAG = r"^([A-Z]{6})\+.+"
 
@@ -28,6 +29,17 @@ def parse_pdf_date(s: Column) -> Column:
     return F.when(s.rlike(PDF_DATE) & local.isNotNull(), F.struct(local.alias("ts"), offset.alias("offset_minutes")))
 
 
+def parse_iso_date(s: Column) -> Column:
+    """struct(ts, offset_minutes) of a metadata date, null where malformed; parts that are left out count as their first
+    value, and a time without a zone as UTC."""
+    part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(s, ISO_DATE, i), F.lit("")), F.lit(default))
+    zone = F.regexp_extract(s, ISO_DATE, 7)
+    minutes = F.substr(zone, F.lit(2), F.lit(2)).cast("int") * 60 + F.substr(zone, F.lit(5), F.lit(2)).cast("int")
+    offset = F.when(zone.startswith("-"), -minutes).when(zone.startswith("+"), minutes).otherwise(0).cast("int")
+    local = F.try_make_timestamp_ntz(*(part(i, d).cast("int") for i, d in ((1, "0"), (2, "1"), (3, "1"), (4, "0"), (5, "0"))), part(6, "0").cast("decimal(8,6)"))
+    return F.when(s.rlike(ISO_DATE) & local.isNotNull(), F.struct(local.alias("ts"), offset.alias("offset_minutes")))
+
+
 def is_language_tag(s: Column) -> Column:
     return s.rlike(LANGUAGE_TAG)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # How a corpus names its cases, and how a finding ends with its clause.
-CASE_NAME = r"(?i)([0-9]+(?:-[0-9]+)+)-t([0-9]+)-(pass|fail)-([a-z])\.pdf$"
+CASE_NAME = r"(?i)([0-9]+(?:-[0-9]+)*)-t([0-9]+)-(pass|fail)-([a-z])\.pdf$"
 CLAUSE = r"([0-9]+(?:\.[0-9]+)+)\s*$"
 
 

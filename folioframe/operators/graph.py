@@ -45,26 +45,36 @@ def inherited(nodes: DataFrame, value: str, max_rounds: int = 1000) -> DataFrame
     return now.select("doc", "node", F.col("value").alias(value))
 
 
-def on_cycles(edges: DataFrame, depth: int) -> DataFrame:
-    """Sources of a functional graph (doc, src, dst: one dst a src) whose chain is still going after `depth` steps, where
-    depth is at least the number of nodes of a document: they lie on a cycle or lead into one. Pointer doubling."""
-    jump, done = edges.select("doc", "src", "dst"), 1
-    while done < depth:
+def _doubled(jump: DataFrame) -> DataFrame:
+    """A function (doc, src, dst) applied more often than a document has nodes: pointer doubling, rounds by the logarithm
+    of the largest document. Where a node has no row, the chain has left the function."""
+    size = jump.groupBy("doc").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(size).bit_length()):
         nxt = jump.select("doc", F.col("src").alias("dst"), F.col("dst").alias("far"))
         jump = written(jump.join(nxt, ["doc", "dst"]).select("doc", "src", F.col("far").alias("dst")))
-        done *= 2
-    return jump.select("doc", "src").distinct()
-
-
-def closure(edges: DataFrame, stop: DataFrame, depth: int) -> DataFrame:
-    """(doc, src, final): where a chain of mappings first meets a standard name (stop: name) or a dead end."""
-    out = edges.select("doc", "src", F.col("dst").alias("final"))
-    known = stop.select(F.col("name").alias("final"), F.lit(True).alias("standard"))
-    for _ in range(depth):
-        hop = edges.select("doc", F.col("src").alias("final"), "dst")
-        out = out.join(known, "final", "left").join(hop, ["doc", "final"], "left")
-        out = out.select("doc", "src", F.when(F.col("standard"), F.col("final")).otherwise(F.coalesce("dst", "final")).alias("final"))
-    return out
+    return jump
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Sources of a functional graph (doc, src, dst: one dst a src) whose chain never ends: they lie on a cycle or lead
+    into one."""
+    return _doubled(edges.select("doc", "src", "dst")).select("doc", "src").distinct()
+
+
+def closure(edges: DataFrame, stop: DataFrame) -> DataFrame:
+    """(doc, src, final): where a chain of mappings (one dst a src) first meets a standard name (stop: name) after its
+    start, or a dead end; null where it never ends."""
+    known = stop.select(F.col("name").alias("dst"))
+    first = edges.select("doc", "src", "dst")
+    # The rest of a chain stays where it is: at standard names and at names that map to nothing.
+    ends = first.select("doc", "dst").distinct()
+    ends = ends.join(known, "dst", "left_semi").unionByName(ends.join(first.select("doc", F.col("src").alias("dst")), ["doc", "dst"], "left_anti")).distinct()
+    ends = written(ends.select("doc", F.col("dst").alias("src")))
+    moves = first.join(ends, ["doc", "src"], "left_anti")
+    steps = moves.unionByName(ends.select("doc", "src", F.col("src").alias("dst")))
+    last = _doubled(written(steps)).select("doc", F.col("src").alias("dst"), F.col("dst").alias("final"))
+    last = last.join(ends.select("doc", F.col("src").alias("final")), ["doc", "final"], "left_semi")
+    return first.join(last, ["doc", "dst"], "left").select("doc", "src", "final")
 
 
 def preorder(nodes: DataFrame) -> DataFrame:

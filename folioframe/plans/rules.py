@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from inspect import signature
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.scalar import LANGUAGE_TAG
 from folioframe.operators import graph
 from folioframe.plans.runtime import written
-from folioframe.sources.pdf import SCHEMAS, Relations
+from folioframe.sources.pdf import Relations
 
 # Profiles as bits.
 PROFILES = {"A-2b": 1, "A-2u": 2, "A-3b": 4, "X-4": 8, "UA-1": 16}
@@ -24,6 +26,7 @@ PDFA, ALL, X4, UA = 7, 15, 8, 16
 
 # Fixed values of the standards.
 STREAM_FILTERS = ["ASCIIHexDecode", "ASCII85Decode", "FlateDecode", "RunLengthDecode", "CCITTFaxDecode", "JBIG2Decode", "DCTDecode", "JPXDecode", "Crypt"]
+INLINE_FILTERS = "ASCIIHexDecode AHx ASCII85Decode A85 FlateDecode Fl RunLengthDecode RL CCITTFaxDecode CCF DCTDecode DCT".split()
 OPERATORS = "b B b* B* BDC BI BMC BT BX c cm CS cs d d0 d1 Do DP EI EMC ET EX f F f* G g gs h i ID j J K k l m M MP n q Q re RG rg ri s S SC sc SCN scn sh T* Tc Td TD Tf Tj TJ TL Tm Tr Ts Tw Tz v w W W* y ' \"".split()
 INTENTS = ["RelativeColorimetric", "AbsoluteColorimetric", "Perceptual", "Saturation"]
 BLEND_MODES = "Normal Compatible Multiply Screen Overlay Darken Lighten ColorDodge ColorBurn HardLight SoftLight Difference Exclusion Hue Saturation Color Luminosity".split()
@@ -34,6 +37,18 @@ STRUCTURE = (
     "Document Part Art Sect Div BlockQuote Caption TOC TOCI Index NonStruct Private P H H1 H2 H3 H4 H5 H6 L LI Lbl LBody Table TR TH TD THead TBody TFoot "
     "Span Quote Note Reference BibEntry Code Link Annot Ruby RB RT RP Warichu WT WP Figure Formula Form"
 ).split()
+PROCESS = ("Cyan", "Magenta", "Yellow", "Black")
+CMAP_NAME = r"^(Identity|Uni(GB|CNS|JIS|KS)-(UCS2|UTF16)(-HW)?|GB-EUC|GBpc-EUC|GBK-EUC|GBKp-EUC|GBK2K|B5pc|HKscs-B5|ETen-B5|ETenms-B5|CNS-EUC|(83pv|90ms|90msp|90pv|Add|Ext)-RKSJ|EUC|KSC-EUC|KSCms-UHC(-HW)?|KSCpc-EUC)-[HV]$|^[HV]$"
+# Properties of the schemas that most files use, and the forms of those that are no simple texts.
+XMP_PROPERTIES = {
+    "http://purl.org/dc/elements/1.1/": "contributor coverage creator date description format identifier language publisher relation rights source subject title type".split(),
+    "http://ns.adobe.com/xap/1.0/": "Advisory BaseURL CreateDate CreatorTool Identifier Label MetadataDate ModifyDate Nickname Rating Thumbnails".split(),
+    "http://ns.adobe.com/xap/1.0/rights/": "Certificate Marked Owner UsageTerms WebStatement".split(),
+    "http://ns.adobe.com/pdf/1.3/": "Keywords PDFVersion Producer Trapped".split(),
+    "http://www.aiim.org/pdfa/ns/id/": "part amd conformance corr rev".split(),
+}
+_DC = "http://purl.org/dc/elements/1.1/"
+XMP_FORMS = {(_DC, n): f for f, names in (("alt", "description rights title"), ("bag", "contributor language publisher relation subject type"), ("seq", "creator date")) for n in names.split()} | {("http://ns.adobe.com/xap/1.0/rights/", "UsageTerms"): "alt", ("http://ns.adobe.com/xap/1.0/rights/", "Owner"): "bag", ("http://ns.adobe.com/xap/1.0/", "Identifier"): "bag"}
 PARENTS = {"LI": ["L"], "LBody": ["LI"], "TR": ["Table", "THead", "TBody", "TFoot"], "TH": ["TR"], "TD": ["TR"], "THead": ["Table"], "TBody": ["Table"], "TFoot": ["Table"], "TOCI": ["TOC"]}
 
 
@@ -124,16 +139,35 @@ def file_header(r):
     return docs(r, (F.col("header_offset") != 0) | ~F.col("version").rlike(r"^1\.[0-7]$") | ~F.col("binary_marker"), "the header is not at the start or lacks the binary comment")
 
 
+def _side(box: str) -> Column:
+    w, h = F.abs(F.col(box)[2] - F.col(box)[0]), F.abs(F.col(box)[3] - F.col(box)[1])
+    return F.coalesce((F.least(w, h) < 3) | (F.greatest(w, h) > 14400), F.lit(False))
+
+
 @rule("implementation-limits", PDFA, "6.1.13")
 def limits(r):
-    w, h = F.abs(F.col("media_box")[2] - F.col("media_box")[0]), F.abs(F.col("media_box")[3] - F.col("media_box")[1])
-    return pages(r.page.where((F.least(w, h) < 3) | (F.greatest(w, h) > 14400)), "a page boundary is under 3 or over 14400 units")
+    out = pages(r.page.where(_side("media_box") | _side("crop_box")), "a page boundary is under 3 or over 14400 units")
+    for column, message in (("long_strings", "a string has over 32767 bytes"), ("long_names", "a name has over 127 bytes")):
+        out = out.unionByName(objs(r.limit.where(F.col(column) > 0), message), allowMissingColumns=True)
+    out = out.unionByName(pages(r.page_use.where("long_strings > 0"), "a string of page content has over 32767 bytes"), allowMissingColumns=True)
+    # One finding a document, whichever side has the integer.
+    big = r.limit.where("big_integers > 0").select("doc_id").unionByName(r.page_use.where("big_integers > 0").select("doc_id")).distinct()
+    return out.unionByName(big.select("doc_id", F.lit("an integer has over 32 bits").alias("message")), allowMissingColumns=True)
+
+
+@rule("hex-string-format", PDFA, "6.1.6")
+def hex_format(r):
+    odd = r.hex_string.where("n_odd > 0").select("doc_id", F.lit("a hexadecimal string has an odd number of digits").alias("message"))
+    return odd.unionByName(r.hex_string.where("n_bad > 0").select("doc_id", F.lit("a hexadecimal string has other characters than digits").alias("message")))
 
 
 @rule("permissions", PDFA, "6.1.12")
 def permissions(r):
     keys = F.json_object_keys(F.get_json_object("catalog", "$.Perms"))
-    return docs(r, F.exists(keys, lambda k: ~k.isin("UR3", "DocMDP")), "Perms has another key than UR3 and DocMDP")
+    other = docs(r, F.exists(keys, lambda k: ~k.isin("UR3", "DocMDP")), "Perms has another key than UR3 and DocMDP")
+    signed = r.doc.where(F.exists(keys, lambda k: k == "DocMDP")).select("doc_id")
+    digests = r.obj.where(F.col("body").rlike(r'"Reference": \[.*"Digest(?:Method|Value|Location)":')).join(signed, "doc_id", "left_semi")
+    return other.select("doc_id", "message").unionByName(objs(digests, "a signature reference has a digest"), allowMissingColumns=True)
 
 
 @rule("stream-filters", PDFA, "6.1.7.2")
@@ -233,7 +267,11 @@ def _states(r) -> DataFrame:
 @rule("graphics-state", PDFA, "6.2.5")
 def graphics_state(r):
     bad = has("body", "$.TR") | has("body", "$.HTP") | (has("body", "$.TR2") & ~name("body", "$.TR2").eqNullSafe(F.lit("Default")))
-    return objs(_states(r).where(bad), "a graphics state has TR, HTP or a TR2 that is not Default")
+    states = objs(_states(r).where(bad), "a graphics state has TR, HTP or a TR2 that is not Default")
+    # Halftones stand alone or inside a state.
+    loose = r.obj.select("doc_id", "obj_num", F.coalesce(F.get_json_object("body", "$.HT"), F.col("body")).alias("ht")).where(has("ht", "$.HalftoneType"))
+    odd = ~F.coalesce(val("ht", "$.HalftoneType", "bigint").isin(1, 5), F.lit(False)) | has("ht", "$.HalftoneName")
+    return states.unionByName(objs(loose.where(odd), "a halftone is not of type 1 or 5, or has a name"))
 
 
 @rule("rendering-intent", PDFA, "6.2.6")
@@ -260,7 +298,9 @@ def image_dictionary(r):
 
 @rule("inline-image", PDFA, "6.2.8")
 def inline_image(r):
-    bad = true("operands", "$[0].I") | true("operands", "$[0].Interpolate") | F.coalesce(name("operands", "$[0].F").isin("LZW", "LZWDecode", "Crypt"), F.lit(False))
+    one = F.when(val("operands", "$[0].F").startswith("/"), F.array(val("operands", "$[0].F")))
+    named = F.coalesce(val("operands", "$[0].F", "array<string>"), one, F.when(val("operands", "$[0].Filter").startswith("/"), F.array(val("operands", "$[0].Filter"))), val("operands", "$[0].Filter", "array<string>"))
+    bad = true("operands", "$[0].I") | true("operands", "$[0].Interpolate") | F.coalesce(F.exists(named, lambda f: ~f.isin([f"/{x}" for x in INLINE_FILTERS])), F.lit(False))
     return pages(r.content_op.where("op = 'BI'").where(bad), "an inline image is interpolated or has a filter that is not permitted")
 
 
@@ -274,7 +314,8 @@ def blend_mode(r):
 
 @rule("annotation-type", PDFA, "6.3.1")
 def annotation_type(r):
-    return pages(r.annot.where(~F.col("subtype").isin(ANNOTATIONS)), F.concat(F.lit("an annotation type is not permitted: "), F.col("subtype")))
+    kind = F.coalesce("subtype", F.lit("none"))
+    return pages(r.annot.where(~kind.isin(ANNOTATIONS)), F.concat(F.lit("an annotation type is not permitted: "), kind))
 
 
 @rule("annotation-flags", PDFA, "6.3.2")
@@ -290,12 +331,16 @@ def annotation_appearance(r):
     empty = F.coalesce((F.size(box) == 4) & (box[0] == box[2]) & (box[1] == box[3]), F.lit(False))
     keys = F.json_object_keys(F.get_json_object("body", "$.AP"))
     rest = r.annot.where(~empty & ~F.coalesce(F.col("subtype").isin("Popup", "Link"), F.lit(False)))
-    return pages(rest.where(keys.isNull() | ~F.array_contains(keys, "N") | (F.size(keys) > 1)), "an annotation lacks a normal appearance or has another one")
+    lacking = pages(rest.where(keys.isNull() | ~F.array_contains(keys, "N") | (F.size(keys) > 1)), "an annotation lacks a normal appearance or has another one")
+    button = rest.where("subtype = 'Widget'").where(name("body", "$.FT").eqNullSafe(F.lit("Btn")) & true("body", "$.AP.N['#stream']"))
+    return lacking.unionByName(pages(button, "a button's normal appearance is one stream"))
 
 
 @rule("form-field-actions", PDFA, "6.4.1")
 def field_actions(r):
-    return pages(r.annot.where("subtype = 'Widget'").where(has("body", "$.A") | has("body", "$.AA")), "a widget has an action")
+    widgets = pages(r.annot.where("subtype = 'Widget'").where(has("body", "$.A") | has("body", "$.AA")), "a widget has an action")
+    fields = r.form_field.where("has_aa").select("doc_id", F.concat(F.lit("a field has additional actions: "), F.col("full_name")).alias("message"))
+    return widgets.unionByName(fields, allowMissingColumns=True)
 
 
 @rule("form-config", PDFA, "6.4.1")
@@ -305,12 +350,9 @@ def form_config(r):
 
 @rule("action-type", PDFA, "6.5.1")
 def action_type(r):
-    loose = r.obj.where("type = 'Action'").select("doc_id", F.col("body"), F.col("obj_num").alias("object_number"))
-    own = r.annot.select("doc_id", F.get_json_object("body", "$.A").alias("body"), F.lit(None).cast("int").alias("object_number"))
-    start = r.doc.where("error IS NULL").select("doc_id", F.get_json_object("catalog", "$.OpenAction").alias("body"), F.lit(None).cast("int").alias("object_number"))
-    every = loose.unionByName(own).unionByName(start).withColumn("s", name("body", "$.S")).withColumn("n", name("body", "$.N"))
-    bad = every.where(~F.col("s").isin(ACTIONS) | ((F.col("s") == "Named") & ~F.col("n").isin(NAMED_ACTIONS)))
-    return bad.select("doc_id", F.concat(F.lit("an action is not permitted: "), F.col("s")).alias("message"), "object_number").distinct()
+    known = F.coalesce(F.col("n").isin(NAMED_ACTIONS), F.lit(False))
+    bad = r.action.where(~F.col("s").isin(ACTIONS) | ((F.col("s") == "Named") & ~known))
+    return bad.select("doc_id", F.concat(F.lit("an action is not permitted: "), F.col("s")).alias("message"), F.col("obj_num").alias("object_number")).distinct()
 
 
 @rule("additional-actions", PDFA, "6.5.2")
@@ -412,7 +454,8 @@ def ua_encryption(r):
 
 def _types(r) -> DataFrame:
     """Structure nodes with their standard type, by the role map."""
-    final = graph.closure(r.role_map.select(F.col("doc_id").alias("doc"), "src", "dst"), r.role_map.sparkSession.createDataFrame([(s,) for s in STRUCTURE], "name string"), 8)
+    standard = r.role_map.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, STRUCTURE))).alias("name"))
+    final = graph.closure(r.role_map.select(F.col("doc_id").alias("doc"), "src", "dst"), standard)
     final = final.select(F.col("doc").alias("doc_id"), F.col("src").alias("type"), "final")
     return r.struct_node.join(final, ["doc_id", "type"], "left").withColumn("std", F.when(F.col("type").isin(STRUCTURE), F.col("type")).otherwise(F.coalesce("final", "type")))
 
@@ -425,33 +468,44 @@ def ua_standard_type(r):
 @rule("ua-role-map", UA, "7.1")
 def ua_role_map(r):
     remapped = once_a_value(r.role_map.where(F.col("src").isin(STRUCTURE)), "src", "a standard type is remapped: ")
-    loops = graph.on_cycles(r.role_map.select(F.col("doc_id").alias("doc"), "src", "dst"), 1024)
+    loops = graph.on_cycles(r.role_map.select(F.col("doc_id").alias("doc"), "src", "dst"))
     return remapped.unionByName(loops.select(F.col("doc").alias("doc_id"), F.concat(F.lit("a role mapping is circular: "), F.col("src")).alias("message")))
 
 
 @rule("ua-figure-alt", UA, "7.3")
 def ua_figure(r):
     text = lambda k: F.coalesce(val("body", f"$.{k}"), F.lit("s:"))
-    bad = _types(r).where(F.col("std").isin("Figure", "Formula")).where((text("Alt") == "s:") & ~has("body", "$.ActualText"))
+    figures = _types(r).where(F.col("std").isin("Figure", "Formula")).where((text("Alt") == "s:") & ~has("body", "$.ActualText"))
+    # Replacement text of marked content counts, on whatever page its number is.
+    spoken = r.page_use.select("doc_id", F.explode("actual_text").alias("mcid")).distinct()
+    covered = r.content_item.join(spoken, ["doc_id", "mcid"], "left_semi").select("doc_id", "node").distinct()
+    bad = figures.where(has("body", "$.Alt")).unionByName(figures.where(~has("body", "$.Alt")).join(covered, ["doc_id", "node"], "left_anti"), allowMissingColumns=True)
     return bad.select("doc_id", F.concat(F.col("std"), F.lit(" without a text")).alias("message"))
 
 
 @rule("ua-structure-nesting", UA, "7.2")
 def ua_nesting(r):
-    types = written(_types(r).select("doc_id", "node", "parent", "std"))
+    types = written(_types(r).select("doc_id", "node", "parent", "ord", "std"))
     up = types.select("doc_id", F.col("node").alias("parent"), F.col("std").alias("above"))
     ok = F.lit(True)
     for child, parents in PARENTS.items():
         ok = F.when(F.col("std") == child, F.coalesce(F.col("above").isin(parents), F.lit(False))).otherwise(ok)
-    return types.join(up, ["doc_id", "parent"]).where(~ok).select("doc_id", F.concat(F.col("std"), F.lit(" inside "), F.coalesce("above", F.lit("the root"))).alias("message"))
+    inside = types.join(up, ["doc_id", "parent"]).where(~ok).select("doc_id", F.concat(F.col("std"), F.lit(" inside "), F.coalesce("above", F.lit("the root"))).alias("message"))
+    late = types.join(up, ["doc_id", "parent"]).where("std = 'Caption' AND ord > 0 AND above IN ('L', 'TOC')")
+    return inside.unionByName(late.select("doc_id", F.concat(F.lit("a caption is not the first child of "), F.col("above")).alias("message")))
 
 
 @rule("ua-headings", UA, "7.4.2")
 def ua_headings(r):
-    heads = _types(r).where(F.col("std").rlike("^H[1-6]$")).withColumn("level", F.substr("std", F.lit(2)).cast("int"))
+    types = written(_types(r).select("doc_id", "node", "parent", "std"))
+    heads = types.where(F.col("std").rlike("^H[1-6]$")).withColumn("level", F.substr("std", F.lit(2)).cast("int"))
     seq = heads.withColumn("previous", F.lag("level").over(Window.partitionBy("doc_id").orderBy("node")))
     bad = seq.where(F.when(F.col("previous").isNull(), F.col("level") != 1).otherwise(F.col("level") > F.col("previous") + 1))
-    return bad.select("doc_id", F.concat(F.lit("a heading skips a level: "), F.col("std")).alias("message"))
+    skips = bad.select("doc_id", F.concat(F.lit("a heading skips a level: "), F.col("std")).alias("message"))
+    # Nodes of the root have parent 0, which is no element.
+    several = types.where("std = 'H' AND parent > 0").groupBy("doc_id", "parent").agg(F.count("*").alias("n")).where("n > 1")
+    mixed = types.groupBy("doc_id").agg(F.bool_or(F.col("std") == "H").alias("a"), F.bool_or(F.col("std").rlike("^H[1-6]$")).alias("b")).where("a AND b")
+    return skips.unionByName(several.select("doc_id", F.lit("an element has more than one H").alias("message"))).unionByName(mixed.select("doc_id", F.lit("H and numbered headings are mixed").alias("message")))
 
 
 @rule("ua-attribute-lang", UA, "7.2")
@@ -476,11 +530,22 @@ def ua_language_tag(r):
 
 @rule("ua-annotation", UA, "7.18")
 def ua_annotation(r):
-    held = r.page.join(r.annot, ["doc_id", "page_idx"], "left_semi")
-    tabs = pages(held.where(~name("body", "$.Tabs").eqNullSafe(F.lit("S"))), "a page with annotations does not follow the structure")
-    net = pages(r.annot.where("subtype = 'TrapNet'"), "a TrapNet annotation is not permitted")
-    link = pages(r.annot.where("subtype = 'Link'").where(F.coalesce(val("body", "$.Contents"), F.lit("s:")) == "s:"), "a link has no Contents")
-    return tabs.unionByName(net).unionByName(link)
+    box = val("body", "$.Rect", "array<double>")
+    crop = r.page.select("doc_id", "page_idx", F.col("body").alias("page_body"), F.coalesce("crop_box", "media_box").alias("crop"))
+    outside = F.coalesce((F.size(box) == 4) & ((F.greatest(box[0], box[2]) < F.least(F.col("crop")[0], F.col("crop")[2])) | (F.least(box[0], box[2]) > F.greatest(F.col("crop")[0], F.col("crop")[2])) | (F.greatest(box[1], box[3]) < F.least(F.col("crop")[1], F.col("crop")[3])) | (F.least(box[1], box[3]) > F.greatest(F.col("crop")[1], F.col("crop")[3]))), F.lit(False))
+    shown = r.annot.join(crop, ["doc_id", "page_idx"]).where(~outside & (F.coalesce("flags", F.lit(0)).bitwiseAND(2) == 0) & ~F.col("subtype").eqNullSafe(F.lit("Popup")))
+    types = _types(r).select("doc_id", "node", F.col("std").alias("above"), F.coalesce(val("body", "$.Alt"), F.lit("s:")).alias("alt"))
+    parents = r.object_ref.groupBy("doc_id", "obj_num").agg(F.max("node").alias("node")).join(types, ["doc_id", "node"]).select("doc_id", "obj_num", "above", "alt")
+    tree = r.struct_node.where("parent IS NULL").select("doc_id", F.lit(True).alias("tagged"))
+    shown = written(shown.join(parents, ["doc_id", "obj_num"], "left").join(tree, "doc_id", "left").select("doc_id", "page_idx", "subtype", "above", "alt", "tagged", name("page_body", "$.Tabs").alias("tabs"), F.coalesce(val("body", "$.Contents"), F.lit("s:")).alias("contents")))
+    tabs = pages(shown.where(~F.col("tabs").eqNullSafe(F.lit("S"))).select("doc_id", "page_idx").distinct(), "a page with annotations does not follow the structure")
+    net = pages(shown.where("subtype = 'TrapNet'"), "a TrapNet annotation is not permitted")
+    link = pages(shown.where("subtype = 'Link' AND contents = 's:'"), "a link has no Contents")
+    mute = pages(shown.where("coalesce(subtype, '') NOT IN ('Widget', 'PrinterMark') AND contents = 's:' AND coalesce(alt, 's:') = 's:'"), "an annotation has no description")
+    want = F.when(F.col("subtype") == "Widget", "Form").when(F.col("subtype") == "Link", "Link").otherwise("Annot")
+    nested = pages(shown.where("tagged AND coalesce(subtype, '') <> 'PrinterMark'").where(~F.col("above").eqNullSafe(want)), F.concat(F.lit("an annotation is not inside "), want))
+    mark = pages(shown.where("tagged AND subtype = 'PrinterMark' AND above IS NOT NULL"), "a printer's mark is in the structure")
+    return tabs.unionByName(net).unionByName(link).unionByName(mute).unionByName(nested).unionByName(mark)
 
 
 @rule("ua-media-clip", UA, "7.18.6")
@@ -501,32 +566,269 @@ def ua_reference(r):
     return objs(r.obj.where("kind = 'stream' AND subtype = 'Form'").where(has("body", "$.Ref")), "a form XObject refers to another document")
 
 
-FINDING = "doc_id rule_id severity clause message page_index object_number".split()
+def _first_page(df: DataFrame, message: str) -> DataFrame:
+    return pages(df.groupBy("doc_id").agg(F.min("page_idx").alias("page_idx")), message)
+
+
+@rule("ua-content-tagged", UA, "7.1")
+def ua_content_tagged(r):
+    return _first_page(r.page_use.where("untagged"), "content is neither tagged nor an artifact")
+
+
+@rule("ua-artifact-nesting", UA, "7.1")
+def ua_artifact_nesting(r):
+    return _first_page(r.page_use.where("nested"), "an artifact and tagged content are inside one another")
+
+
+@rule("ua-xobject-mcid", UA, "7.20")
+def ua_xobject_mcid(r):
+    many = r.do_edge.groupBy("doc_id", F.col("dst").alias("obj_num")).agg(F.sum("n").alias("n"), F.bool_or("marked").alias("marked")).where("n > 1 AND marked AND obj_num >= 0")
+    return objs(many, "a form XObject with marked content is drawn more than once")
+
+
+@rule("ua-text-unicode", UA, "7.21.7")
+def ua_text_unicode(r):
+    return once_a_value(r.font_use.where("size(unmapped) > 0"), "base_font", "a shown code has no text in ")
+
+
+@rule("pdfa2u-tounicode", 2, "6.2.11.7")
+def a2u_unicode(r):
+    return once_a_value(r.font_use.where("size(unmapped) > 0"), "base_font", "a shown code has no text in ")
+
+
+@rule("ua-content-lang", UA, "7.2")
+def ua_content_lang(r):
+    without = r.doc.where("error IS NULL").where(~has("catalog", "$.Lang")).select("doc_id")
+    owner = r.object_ref.groupBy("doc_id", "obj_num").agg(F.max("node").alias("node")).join(r.struct_node.select("doc_id", "node", has("body", "$.Lang").alias("covered")), ["doc_id", "node"]).select("doc_id", "obj_num", "covered")
+    annots = r.annot.where(val("body", "$.Contents") > "s:").where(~has("body", "$.Lang")).join(owner, ["doc_id", "obj_num"], "left").where("NOT coalesce(covered, false)")
+    fields = r.form_field.where("tu <> '' AND lang IS NULL")
+    alternatives = r.xmp_prop.where("form = 'alt'").groupBy("doc_id", "namespace", "name").agg(F.bool_and(F.col("lang") == "x-default").alias("only")).where("only")
+    out = annots.select("doc_id", F.lit("an annotation's description has no language").alias("message"))
+    out = out.unionByName(fields.select("doc_id", F.concat(F.lit("a field's description has no language: "), F.col("full_name")).alias("message")))
+    out = out.unionByName(alternatives.select("doc_id", F.concat(F.lit("a metadata property has no language: "), F.col("name")).alias("message")))
+    return out.join(without, "doc_id", "left_semi")
+
+
+def _tables(r) -> DataFrame:
+    """doc_id, node of each table with its rows of cells in order: array<array<struct<...>>>; rows may be empty."""
+    types = written(_types(r).select("doc_id", "node", "parent", "std", "body"))
+    up = types.select("doc_id", F.col("node").alias("parent"), F.col("std").alias("above"), F.col("parent").alias("above_parent"))
+    rows = types.where("std = 'TR'").join(up, ["doc_id", "parent"])
+    top = types.where("std = 'Table'").select("doc_id", F.col("node").alias("table"))
+    rows = rows.withColumn("table", F.when(F.col("above") == "Table", F.col("parent")).when(F.col("above").isin("THead", "TBody", "TFoot"), F.col("above_parent")))
+    rows = rows.join(top, ["doc_id", "table"], "left_semi").select("doc_id", "table", F.col("node").alias("row"))
+    # Attributes are one dictionary or an array of them; the last that has a key counts.
+    held = F.coalesce(F.from_json(F.get_json_object("body", "$.A"), "array<struct<RowSpan:int,ColSpan:int,Scope:string,Headers:array<string>>>"), F.array())
+    last = lambda k: F.element_at(F.filter(F.transform(held, lambda a: a[k]), lambda v: v.isNotNull()), -1)
+    some = lambda k: F.when(F.exists(held, lambda a: a[k].isNotNull()), last(k))
+    cells = types.where("std IN ('TH', 'TD')").select("doc_id", F.col("parent").alias("row"), "node", (F.col("std") == "TH").alias("th"), F.coalesce(some("RowSpan"), F.lit(1)).alias("rows"), F.coalesce(some("ColSpan"), F.lit(1)).alias("cols"), some("Scope").alias("scope"), F.coalesce(some("Headers"), F.array().cast("array<string>")).alias("headers"), val("body", "$.ID").alias("id"))
+    line = rows.join(cells, ["doc_id", "row"], "left").groupBy("doc_id", "table", "row").agg(F.array_sort(F.collect_list(F.when(F.col("node").isNotNull(), F.struct("node", "th", "rows", "cols", "scope", "headers", "id")))).alias("cells"))
+    return line.groupBy("doc_id", F.col("table").alias("node")).agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("lines"))
+
+
+def table_grid(lines: list[list[dict]]) -> tuple[dict[tuple[int, int], tuple], int, str | None]:
+    """The slots of a table (slot -> cell, its row, its column), its width, and what is irregular first: cells that share
+    a slot, a span beyond the last row, rows of different width."""
+    slots: dict[tuple[int, int], tuple] = {}
+    width, shared, beyond = 0, False, False
+    for r, cells in enumerate(lines):
+        c = 0
+        for cell in cells:
+            while (r, c) in slots:
+                c += 1
+            for y in range(r, r + cell["rows"]):
+                beyond |= y >= len(lines)
+                for x in range(c, c + cell["cols"]):
+                    shared |= (y, x) in slots
+                    slots.setdefault((y, x), (cell, r, c))
+            c += cell["cols"]
+            width = max(width, c)
+    if shared:
+        return slots, width, "cells of a table overlap"
+    if beyond:
+        return slots, width, "a cell spans rows beyond the table"
+    full = all((r, c) in slots for r in range(len(lines)) for c in range(width))
+    return slots, width, None if full else "the rows of a table are not equally wide"
+
+
+def unheaded_cell(lines: list[list[dict]]) -> str | None:
+    """The first data cell of a regular table that no header belongs to; none where every header cell has a scope."""
+    slots, width, irregular = table_grid(lines)
+    heads = [c for row in lines for c in row if c["th"]]
+    if not lines or irregular or all(h["scope"] for h in heads):
+        return None
+    ids = {h["id"] for h in heads if h["id"] and h["id"] != "s:"}
+
+    def scoped(line: list[tuple[int, int]], want: str) -> bool:
+        met = False
+        for at in line:
+            cell = slots[at][0]
+            if cell["th"] and cell["scope"] in ("/Both", want):
+                return True
+            if met and not cell["th"]:
+                return False
+            met |= cell["th"]
+        return False
+
+    for r in range(len(lines)):
+        for c in range(width):
+            cell, top, left = slots[r, c]
+            if cell["th"] or (top, left) != (r, c) or (r, c) == (0, 0):
+                continue
+            known = [h in ids for h in cell["headers"]]
+            if known and all(known):
+                continue
+            ups = any(scoped([(y, x) for y in range(r - 1, -1, -1)], "/Column") for x in range(c, min(c + cell["cols"], width)))
+            if ups or any(scoped([(y, x) for x in range(c - 1, -1, -1)], "/Row") for y in range(r, min(r + cell["rows"], len(lines)))):
+                continue
+            return "a data cell refers to unknown headers" if known else "a data cell has no header"
+    return None
+
+
+def _each_table(r, judge: Callable[[list[list[dict]]], str | None]) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            found = [judge([x["cells"] for x in lines]) for lines in batch.column("lines").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "message"])
+
+    return _tables(r).mapInArrow(run, "doc_id string, message string").where("message IS NOT NULL")
+
+
+@rule("ua-table-regular", UA, "7.5")
+def ua_table_regular(r):
+    return _each_table(r, lambda lines: table_grid(lines)[2])
+
+
+@rule("ua-table-header", UA, "7.5")
+def ua_table_header(r):
+    return _each_table(r, unheaded_cell)
+
+
+@rule("explicit-resources", PDFA, "6.2.2")
+def explicit_resources(r):
+    owners = r.page_use.select("doc_id", F.explode("fallback").alias("owner"), "page_idx")
+    on_page = pages(owners.where("owner = 0"), "a page names resources that only an ancestor has")
+    inside = owners.where("owner <> 0").select("doc_id", F.col("owner").alias("obj_num")).distinct()
+    return on_page.unionByName(objs(inside, "a form names resources that only its user has"), allowMissingColumns=True)
+
+
+def _intents(r, subtype: str) -> DataFrame:
+    """doc_id and the colour family of its intent's profile."""
+    icc = r.icc_profile.select("doc_id", F.col("obj_num").alias("profile_ref"), "space")
+    held = r.output_intent.where(F.col("subtype") == subtype).where("has_profile").join(icc, ["doc_id", "profile_ref"], "left")
+    return held.groupBy("doc_id").agg(F.min_by(F.coalesce("space", F.lit("Other")), "ord").alias("intent"))
+
+
+def _uncovered(used: DataFrame, family: str, intents: DataFrame) -> DataFrame:
+    """Rows whose device family the intent does not cover: RGB and CMYK need their own kind, Gray any."""
+    both = used.join(intents, "doc_id", "left")
+    return both.where((F.col(family).isin("RGB", "CMYK") & ~F.col("intent").eqNullSafe(F.col(family))) | ((F.col(family) == "Gray") & F.col("intent").isNull()))
+
+
+def _device(r, subtype: str) -> DataFrame:
+    used = r.page_use.select("doc_id", F.explode("device").alias("family")).distinct()
+    return _uncovered(used, "family", _intents(r, subtype)).select("doc_id", F.concat(F.lit("device colour without an output intent for it: "), F.col("family")).alias("message"))
+
+
+@rule("device-colour", PDFA, "6.2.4.3")
+def device_colour(r):
+    return _device(r, "GTS_PDFA1")
+
+
+@rule("pdfx-device-colour", X4, "6.2.2")
+def pdfx_device_colour(r):
+    return _device(r, "GTS_PDFX")
+
+
+def _family(space: str) -> Column:
+    return F.when(F.col(space).isin("DeviceGray", "DeviceRGB", "DeviceCMYK"), F.substr(F.col(space), F.lit(7)))
+
+
+@rule("transparency-colour", PDFA, "6.2.10")
+def transparency_colour(r):
+    facts = r.page_use.where("transparent").join(_intents(r, "GTS_PDFA1"), "doc_id", "left")
+    undefined = facts.where("blend_space IS NULL AND intent IS NULL")
+    out = pages(undefined, "a page with transparency has no blending space")
+    blends = r.page_use.where("transparent").select("doc_id", "page_idx", _family("blend_space").alias("family")).where("family IS NOT NULL")
+    out = out.unionByName(pages(_uncovered(blends, "family", _intents(r, "GTS_PDFA1")), "a blending space has no output intent"))
+    return out.unionByName(blend_mode(r), allowMissingColumns=True)
+
 
+@rule("pdfx-transparency-colour", X4, "6.18")
+def pdfx_transparency_colour(r):
+    groups = r.group.select("doc_id", "obj_num", _family("space").alias("family")).where("family IS NOT NULL")
+    return objs(_uncovered(groups, "family", _intents(r, "GTS_PDFX")), "a transparency group's device space has no output intent")
 
-class Tables:
-    """Relations written once and read by all rules."""
 
-    def __init__(self, relations: Relations):
-        self._relations, self._made = relations, {}
+@rule("icc-cmyk-overprint", PDFA, "6.2.4.2")
+def icc_overprint(r):
+    return pages(r.page_use.where("icc_overprint"), "overprint mode 1 with a profiled CMYK colour")
 
-    def __getattr__(self, what: str) -> DataFrame:
-        if what.startswith("_") or what not in SCHEMAS:
-            raise AttributeError(what)
-        if what not in self._made:
-            self._made[what] = written(getattr(self._relations, what))
-        return self._made[what]
+
+@rule("pdfx-separation-consistency", ALL, "6.2.4.4")
+def separation_consistency(r):
+    each = r.colorant.where("kind = 'Separation' AND name NOT IN ('', 'None', 'All')")
+    many = each.groupBy("doc_id", "name").agg(F.count_distinct(F.struct("alternate", "tint")).alias("n")).where("n > 1")
+    return many.select("doc_id", F.concat(F.lit("a colorant is defined in two ways: "), F.col("name")).alias("message"))
+
+
+@rule("pdfx-nchannel-colorants", ALL, "6.2.4.4")
+def nchannel_colorants(r, profile: str = "A-2b"):
+    spots = r.colorant.where("kind = 'DeviceN' AND NOT in_colorants").where(~F.col("name").isin("None", "All", *PROCESS))
+    return once_a_value(spots.where("nchannel") if profile == "X-4" else spots, "name", "a spot colour is not among Colorants: ")
+
+
+@rule("jpeg2000", PDFA, "6.2.8.3")
+def jpeg2000(r):
+    best = F.filter("specs", lambda x: x["approx"] == 1)
+    spec = F.when(F.size(best) > 0, best[0]).when(F.size("specs") == 1, F.col("specs")[0])
+    own = (F.size("specs") > 1) & (F.size(best) != 1) | F.coalesce(~spec["meth"].between(1, 3), F.lit(False)) | F.coalesce((spec["meth"] == 1) & (spec["enum"] == 19), F.lit(False))
+    bad = F.coalesce(~F.col("components").isin(1, 3, 4), F.lit(False)) | F.col("bpcc") | F.coalesce(~F.col("depth").between(1, 38), F.lit(False)) | (~F.col("has_space") & own)
+    return objs(r.jp2_image.where(bad), "a JPEG 2000 image is of a kind that is not permitted")
+
+
+@rule("font-dictionary", PDFA | UA, "6.2.11.6")
+def font_dictionary(r):
+    true_type = r.font_body.where("subtype = 'TrueType'").withColumn("symbolic", F.coalesce(F.col("flags").bitwiseAND(4) != 0, F.lit(False))).withColumn("plain", F.coalesce(F.col("flags").bitwiseAND(32) != 0, F.lit(False)))
+    base = F.coalesce(name("body", "$.Encoding"), name("body", "$.Encoding.BaseEncoding"))
+    encodings = objs(true_type.where(F.col("symbolic") & has("body", "$.Encoding")), "a symbolic TrueType font has an Encoding")
+    odd = F.col("plain") & ~F.coalesce(base.isin("WinAnsiEncoding", "MacRomanEncoding"), F.lit(False))
+    encodings = encodings.unionByName(objs(true_type.where(odd), "a TrueType font's encoding is not a permitted one"))
+    wide = r.font_body.where("subtype = 'Type0'")
+    maps = F.coalesce(name("body", "$.Encoding").rlike(CMAP_NAME), true("body", "$.Encoding['#stream']"))
+    glyphs = (name("body", "$.DescendantFonts[0].Subtype") == "CIDFontType2") & has("body", "$.DescendantFonts[0].FontDescriptor.FontFile2")
+    identity = F.coalesce(name("body", "$.DescendantFonts[0].CIDToGIDMap") == "Identity", F.lit(False)) | true("body", "$.DescendantFonts[0].CIDToGIDMap['#stream']")
+    encodings = encodings.unionByName(objs(wide.where(~F.coalesce(maps, F.lit(False))), "a composite font's encoding is neither predefined nor embedded"))
+    return encodings.unionByName(objs(wide.where(F.coalesce(glyphs, F.lit(False)) & ~identity), "an embedded composite TrueType font has no CIDToGIDMap"))
+
+
+@rule("pdfa-xmp-property-predefined", PDFA, "6.6.2.3")
+def xmp_predefined(r):
+    known = F.map_from_arrays(F.array(*map(F.lit, XMP_PROPERTIES)), F.array(*[F.array(*map(F.lit, v)) for v in XMP_PROPERTIES.values()]))
+    mine = r.xmp_prop.where(F.col("namespace").isin(list(XMP_PROPERTIES))).where(~F.array_contains(F.element_at(known, F.col("namespace")), F.col("name")))
+    return once_a_value(mine, "name", "a metadata property is not defined: ")
+
+
+@rule("pdfa-xmp-property-type", PDFA, "6.6.2.3")
+def xmp_types(r):
+    bad = F.lit(False)
+    for (ns, name_), form in XMP_FORMS.items():
+        bad = bad | ((F.col("namespace") == ns) & (F.col("name") == name_) & (F.col("form") != form))
+    return once_a_value(r.xmp_prop.where(bad), "name", "a metadata property is of another type: ")
+
+
+FINDING = "doc_id rule_id severity clause message page_index object_number".split()
 
 
 def check(relations: Relations, profile: str) -> DataFrame:
     """The findings of one profile: doc_id, rule_id, severity, clause, message, page_index, object_number."""
-    bit, r = PROFILES[profile], Tables(relations)
+    bit, r = PROFILES[profile], relations.together()
     unread = r.doc.where("error IS NOT NULL").select("doc_id", F.lit("document-load").alias("rule_id"), F.lit("Error").alias("severity"), F.lit(None).cast("string").alias("clause"), F.col("error").alias("message"), F.lit(None).cast("int").alias("page_index"), F.lit(None).cast("int").alias("object_number"))
     out = unread
     for x in RULES:
         if not x.profiles & bit:
             continue
-        df = x.find(r, profile) if x.id in ("pdfa-id", "pdfa2u-tounicode-values") else x.find(r)
+        df = x.find(r, profile) if "profile" in signature(x.find).parameters else x.find(r)
         have = set(df.columns)
         out = out.unionByName(
             df.select(

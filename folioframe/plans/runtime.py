@@ -7,10 +7,16 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write and read again, below spark.checkpoint.dir (unset, as in tests: below /tmp/checkpoints)."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write and read again, below the shared spark.checkpoint.dir, which only a local session (tests) may leave unset;
+    partitioned by a column if one is given."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints"
     path = f"{base.rstrip('/')}/folioframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

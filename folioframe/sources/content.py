@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from folioframe.functions.glyphs import document_text, encoding_map
 from folioframe.sources.pdfsyntax import END, Document, Keyword, Name, Parser, Ref, Stream
 
 MAX_FORM_DEPTH = 24
@@ -62,6 +63,8 @@ class Font:
         self.wide = doc.get(d, "Subtype") == "Type0"
         m = doc.get(d, "ToUnicode")
         self.map = to_unicode(m.data(doc.resolve)) if isinstance(m, Stream) else {}
+        enc = doc.get(d, "Encoding")
+        self.encoding = encoding_map(enc, []) if isinstance(enc, str) else encoding_map(doc.get(enc, "BaseEncoding"), [doc.resolve(x) for x in doc.get(enc, "Differences") or []]) if isinstance(enc, dict) else {}
         self.first = doc.get(d, "FirstChar") or 0
         self.widths = [w if isinstance(w := doc.resolve(x), (int, float)) else 0 for x in doc.get(d, "Widths") or []]
         self.default = 1000.0 if self.wide else 500.0
@@ -76,7 +79,9 @@ class Font:
     def text(self, s: bytes) -> str:
         if s[:2] == b"\xfe\xff":
             return s[2:].decode("utf-16-be", "ignore")
-        return "".join(self.map.get(c, chr(c) if c < 256 or self.wide else "") for c in self.codes(s))
+        if self.wide:
+            return "".join(self.map.get(c, chr(c)) for c in self.codes(s))
+        return "".join(self.map[c] if c in self.map else self.encoding.get(c, chr(c)) for c in self.codes(s))
 
 
 def _matrix(v: list) -> np.ndarray:
@@ -216,7 +221,7 @@ def plain(x):
     if isinstance(x, Name):
         return "/" + x
     if isinstance(x, bytes):
-        return "s:" + (x[2:].decode("utf-16-be", "replace") if x[:2] == b"\xfe\xff" else x.decode("latin-1"))
+        return "s:" + document_text(x)
     if isinstance(x, Ref):
         return f"r:{x.num} {x.gen}"
     if isinstance(x, Stream):

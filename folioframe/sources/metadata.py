@@ -59,3 +59,33 @@ def profile_header(data: bytes) -> tuple[int, str, str | None, str | None, str |
 def fixed(data: bytes) -> float:
     """A signed 15.16 number."""
     return struct.unpack(">i", data[:4])[0] / 65536
+
+
+def jp2_header(data: bytes) -> tuple[int | None, int | None, bool, list[dict]] | None:
+    """(components, bit depth, whether depths differ by component, colour specifications) of a JPEG 2000 file's boxes."""
+    if data[4:8] != b"jP  ":
+        return None
+    components = depth = None
+    bpcc, specs, todo = False, [], [(0, len(data))]
+    while todo:
+        at, stop = todo.pop()
+        while at + 8 <= stop:
+            size, kind = struct.unpack(">I", data[at : at + 4])[0], data[at + 4 : at + 8]
+            head = 8
+            if size == 1 and at + 16 <= stop:
+                size, head = struct.unpack(">Q", data[at + 8 : at + 16])[0], 16
+            size = size or stop - at
+            if size < head or at + size > stop:
+                break
+            body = data[at + head : at + size]
+            if kind == b"jp2h":
+                todo.append((at + head, at + size))
+            elif kind == b"ihdr" and len(body) >= 11:
+                components = struct.unpack(">H", body[8:10])[0]
+                depth = (body[10] & 127) + 1 if body[10] != 255 else None
+            elif kind == b"bpcc":
+                bpcc = True
+            elif kind == b"colr" and len(body) >= 3:
+                specs.append({"meth": body[0], "approx": body[2], "enum": struct.unpack(">I", body[3:7])[0] if body[0] == 1 and len(body) >= 7 else None})
+            at += size
+    return components, depth, bpcc, specs

@@ -12,13 +12,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioframe.functions import codecs
-from folioframe.sources import content, metadata
+from folioframe.functions.glyphs import document_text
+from folioframe.sources import content, interactive, metadata, usage
 from folioframe.sources.pdfsyntax import Document, Ref, Stream, load
 
 BATCH_ROWS = 5000
@@ -33,7 +34,7 @@ SCHEMAS = {
     "content_op": "doc_id string, page_idx int, seq int, op string, operands string",
     "text_fragment": "doc_id string, page_idx int, seq int, text string, x double, y double, font_name string, font_size double, width double, text_offset int, mcid int",
     "page_text": "doc_id string, page_idx int, text string",
-    "annot": "doc_id string, page_idx int, ord int, subtype string, flags int, body string",
+    "annot": "doc_id string, page_idx int, ord int, subtype string, flags int, body string, obj_num int",
     "struct_node": "doc_id string, node int, parent int, ord int, type string, body string",
     "role_map": "doc_id string, src string, dst string",
     "font": "doc_id string, obj_num int, base_font string, subset_tag string, kind string, is_embedded boolean, has_to_unicode boolean, has_widths boolean",
@@ -47,6 +48,15 @@ SCHEMAS = {
     "xref_section": "doc_id string, at bigint, spacing_ok boolean",
     "code_map": "doc_id string, obj_num int, base_font string, code int, text string",
     "outline": "doc_id string, node int, parent int, ord int, title string",
+    "live": "doc_id string, obj_num int",
+    "font_body": "doc_id string, obj_num int, subtype string, base_font string, body string, flags int",
+    "jp2_image": "doc_id string, obj_num int, has_space boolean, components int, depth int, bpcc boolean, specs array<struct<meth:int,approx:int,enum:bigint>>",
+    "group": "doc_id string, obj_num int, space string",
+    "hex_string": "doc_id string, n_odd int, n_bad int",
+    "limit": "doc_id string, obj_num int, long_strings int, long_names int, big_integers int",
+    "problem": "doc_id string, relation string, error string",
+    **interactive.SCHEMAS,
+    **usage.SCHEMAS,
 }
 
 
@@ -54,19 +64,23 @@ def _json(x) -> str:
     return json.dumps(content.plain(x), ensure_ascii=False, sort_keys=False)
 
 
-#: Keys that lead upwards or to page content; a resolved text leaves them out.
-_UPWARDS = ("Parent", "P", "Kids", "Contents", "StructParent", "Dest", "Popup", "Prev", "Next")
+#: Keys that lead upwards, sideways or into the structure tree and pages; a resolved text leaves references there alone.
+_UPWARDS = ("Parent", "P", "Kids", "K", "Pg", "ParentTree", "Contents", "StructParent", "Dest", "Popup", "Prev", "Next", "First", "Last", "Obj")
 
 
-def _resolved(doc: Document, x, depth: int = 5):
-    """An object with its references followed, `depth` levels deep; a stream shows as its dictionary with `#stream`."""
+def _resolved(doc: Document, x, path: frozenset = frozenset()):
+    """An object with its references followed, but where they lead back; a stream shows as its dictionary with `#stream`."""
+    if isinstance(x, Ref):
+        if x.num in path:
+            return content.plain(x)
+        path = path | {x.num}
     x = doc.resolve(x)
     if isinstance(x, Stream):
-        return {"#stream": True} | (_resolved(doc, x.dict, depth) if depth else {})
+        return {"#stream": True} | _resolved(doc, x.dict, path)
     if isinstance(x, dict):
-        return {k: _resolved(doc, v, depth - 1) for k, v in x.items() if k not in _UPWARDS or not isinstance(v, (Ref, list))} if depth else {}
+        return {k: _resolved(doc, v, path) for k, v in x.items() if k not in _UPWARDS or not isinstance(v, (Ref, list))}
     if isinstance(x, list):
-        return [_resolved(doc, v, depth - 1) for v in x] if depth else []
+        return [_resolved(doc, v, path) for v in x]
     return content.plain(x)
 
 
@@ -74,18 +88,21 @@ def _full(doc: Document, x) -> str:
     return json.dumps(_resolved(doc, x), ensure_ascii=False)
 
 
-def _canonical(doc: Document, x, depth: int = 16):
-    """A text that is equal for equal content: keys in order, numbers in one form, streams by their bytes' hash."""
+def _canonical(doc: Document, x, path: frozenset = frozenset()):
+    """A text that is equal for equal content: keys in order, numbers in one form, streams by their bytes' hash, and
+    `...` where an object leads back to itself."""
+    if isinstance(x, Ref):
+        if x.num in path:
+            return "..."
+        path = path | {x.num}
     x = doc.resolve(x)
-    if depth == 0:
-        return "..."
     if isinstance(x, Stream):
         d = {k: v for k, v in x.dict.items() if k not in ("Length", "Filter", "DecodeParms", "DL")}
-        return {"#": f"{codecs.fnv1a64(x.raw):016x}", **_canonical(doc, d, depth)}
+        return {"#": f"{codecs.fnv1a64(x.raw):016x}", **_canonical(doc, d, path)}
     if isinstance(x, dict):
-        return {k: _canonical(doc, x[k], depth - 1) for k in sorted(x)}
+        return {k: _canonical(doc, x[k], path) for k in sorted(x) if k != "Parent"}
     if isinstance(x, list):
-        return [_canonical(doc, y, depth - 1) for y in x]
+        return [_canonical(doc, y, path) for y in x]
     if isinstance(x, (int, float)) and not isinstance(x, bool):
         return f"{float(x):.6g}"
     return content.plain(x)
@@ -120,7 +137,7 @@ def _name(x) -> str | None:
 
 
 def _text(x) -> str | None:
-    return content.plain(x)[2:] if isinstance(x, bytes) else None
+    return document_text(x) if isinstance(x, bytes) else None
 
 
 def _tree(doc: Document, root, children: Callable) -> Iterator[tuple[int, int | None, int, object]]:
@@ -195,15 +212,19 @@ def _annots(doc_id: str, doc: Document):
             d = doc.resolve(a)
             if isinstance(d, dict):
                 f = doc.resolve(d.get("F"))
-                yield doc_id, i, k, _name(doc.resolve(d.get("Subtype"))), f if isinstance(f, int) else None, _full(doc, d)
+                yield doc_id, i, k, _name(doc.resolve(d.get("Subtype"))), f if isinstance(f, int) else None, _full(doc, d), a.num if isinstance(a, Ref) else None
 
 
-def _structure(doc_id: str, doc: Document):
+def _elements(doc: Document) -> Callable:
     def kids(d: dict) -> list:
         k = doc.resolve(d.get("K"))
         return [x for x in (k if isinstance(k, list) else [d.get("K")]) if isinstance(y := doc.resolve(x), dict) and ("S" in y or y.get("Type") == "StructElem")]
 
-    for node, parent, ord_, x in _tree(doc, doc.catalog.get("StructTreeRoot"), kids):
+    return kids
+
+
+def _structure(doc_id: str, doc: Document):
+    for node, parent, ord_, x in _tree(doc, doc.catalog.get("StructTreeRoot"), _elements(doc)):
         yield doc_id, node, parent, ord_, _name(doc.resolve(x.get("S"))), _full(doc, {k: v for k, v in x.items() if k != "K"})
 
 
@@ -328,7 +349,91 @@ def _destinations(doc_id: str, doc: Document):
         yield doc_id, name, index.get(page.num) if isinstance(page, Ref) else None
 
 
+def _live(doc_id: str, doc: Document):
+    """Object numbers reachable from the trailer, dangling ones included."""
+    live, todo = set(), [doc.trailer]
+    while todo:
+        for _, num in _edges(todo.pop()):
+            if num not in live:
+                live.add(num)
+                todo.append(doc.objects.get(num))
+    yield from ((doc_id, num) for num in sorted(live))
+
+
+_STRINGS = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|%[^\r\n]*|<<|>>|<([^<>]*)>", re.S)
+
+
+def _hex_strings(doc_id: str, doc: Document):
+    """Hexadecimal strings of objects and page content with an odd number of digits, or with other characters."""
+    texts = []
+    for num, e in sorted(doc.xref.items()):
+        if e.kind == "used" and num in doc.objects:
+            at = e.a + doc.header_offset
+            stop = min((x for x in (doc.data.find(b"endobj", at), doc.data.find(b"stream", at)) if x >= 0), default=len(doc.data))
+            texts.append(doc.data[at:stop])
+    texts += [doc.content(p) for _, p in doc.pages()]
+    odd = bad = 0
+    for t in texts:
+        for m in _STRINGS.finditer(t):
+            if m[1] is not None:
+                bare = re.sub(rb"[ \t\r\n\f\x00]", b"", m[1])
+                odd += len(bare) % 2
+                bad += bool(re.search(rb"[^0-9A-Fa-f]", bare))
+    yield doc_id, odd, bad
+
+
+def _limits(doc_id: str, doc: Document):
+    """Objects with strings of over 32767 bytes, names of over 127, or integers of over 32 bits."""
+
+    def values(x):
+        if isinstance(x, (dict, Stream)):
+            for k, v in (x.dict if isinstance(x, Stream) else x).items():
+                yield k if isinstance(k, str) else str(k)
+                yield from values(v)
+        elif isinstance(x, list):
+            for v in x:
+                yield from values(v)
+        else:
+            yield x
+
+    for num, x in sorted(doc.objects.items()):
+        found = list(values(x))
+        got = sum(isinstance(v, bytes) and len(v) > 32767 for v in found), sum(isinstance(v, str) and len(v.encode("latin-1", "replace")) > 127 for v in found), sum(isinstance(v, int) and not isinstance(v, bool) and not -(2**31) <= v < 2**31 for v in found)
+        if any(got):
+            yield (doc_id, num, *got)
+
+
+def _font_bodies(doc_id: str, doc: Document):
+    """Fonts with their references followed, and their descriptor's flags."""
+    for num, x in sorted(doc.objects.items()):
+        if isinstance(x, dict) and doc.resolve(x.get("Type")) == "Font":
+            flags = doc.get(x, "FontDescriptor", "Flags")
+            yield doc_id, num, _name(doc.resolve(x.get("Subtype"))), _name(doc.resolve(x.get("BaseFont"))), _full(doc, {k: v for k, v in x.items() if k not in ("Widths", "CharProcs", "Resources")}), flags if isinstance(flags, int) else None
+
+
+def _jp2(doc_id: str, doc: Document):
+    """What the boxes of JPEG 2000 images declare; images whose boxes cannot be read have no row."""
+    for num, x in sorted(doc.objects.items()):
+        if isinstance(x, Stream) and x.dict.get("Subtype") == "Image" and "JPXDecode" in x.filters(doc.resolve)[0]:
+            found = metadata.jp2_header(x.raw)
+            if found:
+                yield (doc_id, num, "ColorSpace" in x.dict, *found)
+
+
+def _groups(doc_id: str, doc: Document):
+    """Transparency groups with an explicit blending space (its name, or its array's first)."""
+    for num, x in sorted(doc.objects.items()):
+        d = x.dict if isinstance(x, Stream) else x if isinstance(x, dict) else {}
+        g = doc.resolve(d.get("Group"))
+        if isinstance(g, dict) and doc.resolve(g.get("S")) == "Transparency" and "CS" in g:
+            space = doc.resolve(g["CS"])
+            yield doc_id, num, _name(doc.resolve(space[0]) if isinstance(space, list) and space else space)
+
+
 READERS: dict[str, Callable] = {
+    "font_body": _font_bodies,
+    "jp2_image": _jp2,
+    "group": _groups,
     "xref": lambda i, d: ((i, n, e.kind, e.a, e.b, e.depth) for n, e in sorted(d.xref.items())),
     "obj": _objects,
     "ref_edge": lambda i, d: ((i, n, p, t) for n, x in [(0, d.trailer), *sorted(d.objects.items())] for p, t in _edges(x)),
@@ -351,9 +456,45 @@ READERS: dict[str, Callable] = {
     "icc_profile": _profiles,
     "page_label": _labels,
     "named_dest": _destinations,
+    "live": _live,
+    "hex_string": _hex_strings,
+    "limit": _limits,
+    "form_field": interactive.fields,
+    "action": interactive.actions,
+    "layer": interactive.layers,
+    "layered": interactive.layered,
+    "page_image": interactive.images,
+    "colorant": interactive.colorants(_canonical),
+    "resource_use": interactive.resources,
+    "object_ref": interactive.object_refs(_tree, _elements),
+    "content_item": interactive.content_items(_tree, _elements),
+    "page_use": usage.page_uses,
+    "font_use": usage.font_uses,
+    "do_edge": usage.do_edges,
 }
 
 
+def _problems(doc_id: str, doc: Document):
+    """Relations that a damaged file breaks off, with their errors; they hold the rows before it."""
+    for name, reader in READERS.items():
+        try:
+            for _ in reader(doc_id, doc):
+                pass
+        except Exception as e:  # noqa: BLE001 any error of a reader is a row
+            yield doc_id, name, f"{type(e).__name__}: {e}"
+
+
+def _rows(name: str, doc_id: str, data: bytes, doc: Document | None, error: str | None) -> Iterator[tuple]:
+    """The rows of one relation of one file. A reader's error ends them; `problem` tells."""
+    if name == "doc":
+        yield _describe(doc_id, data, doc, error)
+    elif doc is not None:
+        try:
+            yield from (_problems if name == "problem" else READERS[name])(doc_id, doc)
+        except Exception:  # noqa: BLE001 the relation `problem` has it
+            return
+
+
 def _describe(doc_id: str, data: bytes, doc: Document | None, error: str | None) -> tuple:
     end = data.rfind(b"%%EOF")
     after = len(data) - end - 5 if end >= 0 else None
@@ -368,8 +509,16 @@ def _describe(doc_id: str, data: bytes, doc: Document | None, error: str | None)
     return doc_id, None, doc.version, doc.header_offset, doc.rebuilt, len(doc.objects), len(doc.pages()), _json(doc.trailer), _full(doc, doc.catalog), _full(doc, doc.trailer.get("Info")), xmp, marker, len(data), after
 
 
+def _parsed(doc_id: str, data: bytes, password: bytes) -> tuple[Document | None, str | None]:
+    try:
+        return load(data, password), None
+    except Exception as e:  # noqa: BLE001 an unreadable file is a row of doc
+        return None, f"{type(e).__name__}: {e}"
+
+
 class Relations:
-    """Lazy relations over files of (doc_id, data)."""
+    """Lazy relations over files of (doc_id, data). Each is a pass over the files of its own; `together` gives them all
+    from one pass."""
 
     def __init__(self, files: DataFrame, password: bytes = b""):
         self.files, self.password = files, password
@@ -391,37 +540,95 @@ class Relations:
             for batch in batches:
                 for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     data = data.as_py() or b""
-                    doc, error = None, None
-                    try:
-                        doc = load(data, password)
-                    except Exception as e:  # noqa: BLE001 an unreadable file is a row of doc
-                        error = f"{type(e).__name__}: {e}"
-                    if name == "doc":
-                        rows.append(_describe(doc_id, data, doc, error))
-                    elif doc is not None:
-                        for row in READERS[name](doc_id, doc):
-                            rows.append(row)
-                            if len(rows) >= BATCH_ROWS:
-                                yield _batch(rows, arrow)
-                                rows = []
+                    doc, error = _parsed(doc_id, data, password)
+                    for row in _rows(name, doc_id, data, doc, error):
+                        rows.append(row)
+                        if len(rows) >= BATCH_ROWS:
+                            yield _batch(rows, arrow)
+                            rows = []
                 if rows:
                     yield _batch(rows, arrow)
                     rows = []
 
         return self.files.select("doc_id", "data").mapInArrow(run, schema)
 
+    def together(self, names: list[str] | None = None) -> Relations:
+        """The same relations read from one table that a single parse of each file writes: a row has the relation's name,
+        by which the table is partitioned, and its columns in a struct; other structs are null and never read."""
+        from folioframe.plans.runtime import written
+
+        names = list(names or SCHEMAS)
+        schema = T.StructType([T.StructField("rel", T.StringType())] + [T.StructField(n, T.StructType.fromDDL(SCHEMAS[n])) for n in names])
+        arrow, password = to_arrow_schema(schema), self.password
+
+        def packed(name: str, rows: list[tuple]) -> pa.RecordBatch:
+            kind = arrow.field(name).type
+            held = pa.StructArray.from_arrays([pa.array(c, kind.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], fields=list(kind))
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *[held if n == name else pa.nulls(len(rows), arrow.field(n).type) for n in names]], schema=arrow)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows: dict[str, list[tuple]] = {n: [] for n in names}
+            for batch in batches:
+                for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    data = data.as_py() or b""
+                    doc, error = _parsed(doc_id, data, password)
+                    for name in names:
+                        for row in _rows(name, doc_id, data, doc, error):
+                            rows[name].append(row)
+                            if len(rows[name]) >= BATCH_ROWS:
+                                yield packed(name, rows[name])
+                                rows[name] = []
+            for name in names:
+                if rows[name]:
+                    yield packed(name, rows[name])
+
+        table = written(self.files.select("doc_id", "data").mapInArrow(run, schema), by="rel")
+        made = Relations(self.files, self.password)
+        made._made = {n: table.where(F.col("rel") == n).select(f"{n}.*") for n in names}
+        return made
+
     def document_text(self, separator: str = "\n\n") -> DataFrame:
         """doc_id and the texts of its pages in order; blank pages are skipped."""
         pages = self.page_text.where(F.trim("text") != "").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_idx", "text"))).alias("p"))
         return pages.select("doc_id", F.concat_ws(separator, F.col("p.text")).alias("text"))
 
     def live_objects(self) -> DataFrame:
-        """(doc_id, obj_num) reachable from the trailer, dangling numbers included."""
-        from folioframe.operators.graph import reachable
-
-        edges = self.ref_edge.select(F.col("doc_id").alias("doc"), "src", "dst")
-        roots = self.doc.where("error IS NULL").select(F.col("doc_id").alias("doc"), F.lit(0).alias("node"))
-        return reachable(edges, roots).where("node <> 0").select(F.col("doc").alias("doc_id"), F.col("node").alias("obj_num"))
+        """(doc_id, obj_num) reachable from the trailer, dangling numbers included; edges never leave a file, so each is
+        walked where it is parsed."""
+        return self.live
+
+    def referenced(self) -> DataFrame:
+        """Each reference with the kind and type of its object, null where it dangles."""
+        target = self.obj.select("doc_id", F.col("obj_num").alias("dst"), "kind", "type")
+        return self.ref_edge.join(target, ["doc_id", "dst"], "left").select("doc_id", "src", "path", "dst", "kind", "type")
+
+    def mcid_text(self) -> DataFrame:
+        """doc_id, page_idx, mcid, text: a marked sequence's fragments in order of their places in the page's text, joined
+        by a line end where the text between them has one and else by a space, if anything lies between them."""
+        w = Window.partitionBy("doc_id", "page_idx", "mcid").orderBy("text_offset", "seq")
+        parts = self.text_fragment.where("mcid IS NOT NULL").join(self.page_text.withColumnRenamed("text", "whole"), ["doc_id", "page_idx"])
+        end = F.lag(F.col("text_offset") + F.char_length("text")).over(w)
+        gap = F.substr("whole", end + 1, F.col("text_offset") - end)
+        parts = parts.withColumn("piece", F.concat(F.when(F.col("text_offset") > end, F.when(F.contains(gap, F.lit("\n")), "\n").otherwise(" ")).otherwise(""), F.col("text")))
+        found = parts.groupBy("doc_id", "page_idx", "mcid").agg(F.array_sort(F.collect_list(F.struct("text_offset", "seq", "piece"))).alias("p"))
+        return found.select("doc_id", "page_idx", "mcid", F.trim(F.array_join("p.piece", "")).alias("text"))
+
+    def tag_tree(self) -> DataFrame:
+        """doc_id, node, parent, ord, type and the text of the node's own marked content, in order, joined by spaces."""
+        held = self.content_item.join(self.mcid_text(), ["doc_id", "page_idx", "mcid"]).where("text <> ''")
+        held = held.groupBy("doc_id", "node").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("p")).select("doc_id", "node", F.array_join("p.text", " ").alias("text"))
+        return self.struct_node.select("doc_id", "node", "parent", "ord", "type").join(held, ["doc_id", "node"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+    def font_inventory(self) -> DataFrame:
+        """Fonts with the codes that pages show in them and the pages that do, both sorted; empty where none does."""
+        used = self.font_use.where("obj_num IS NOT NULL AND size(codes) > 0").groupBy("doc_id", "obj_num").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("used_codes"), F.array_sort(F.collect_set("page_idx")).alias("pages_used_on"))
+        out = self.font.join(used, ["doc_id", "obj_num"], "left")
+        empty = F.array().cast("array<int>")
+        return out.withColumn("used_codes", F.coalesce("used_codes", empty)).withColumn("pages_used_on", F.coalesce("pages_used_on", empty))
+
+    def annotation_parents(self) -> DataFrame:
+        """doc_id, obj_num, node: the structure element that encloses an object by an object reference; the last counts."""
+        return self.object_ref.groupBy("doc_id", "obj_num").agg(F.max("node").alias("node"))
 
 
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:

@@ -8,15 +8,33 @@ from folioframe.sources.pdfsyntax import Ref, Stream
 
 XMP = b"<?xpacket begin=''?><x><pdfaid:part>2</pdfaid:part><pdfaid:conformance>B</pdfaid:conformance><pdfuaid:part>1</pdfuaid:part><dc:title><rdf:Alt><rdf:li xml:lang='x-default'>T</rdf:li></rdf:Alt></dc:title></x>"
 BASE = {"Metadata": Ref(90), "StructTreeRoot": Ref(80), "MarkInfo": {"Marked": True}, "ViewerPreferences": {"DisplayDocTitle": True}, "Lang": b"en"}
-EXTRA = {90: Stream({"Type": N("Metadata")}, XMP), 80: {"Type": N("StructTreeRoot"), "K": [Ref(81)]}, 81: {"S": N("H1")}}
+EXTRA = {90: Stream({"Type": N("Metadata")}, XMP), 80: {"Type": N("StructTreeRoot"), "K": [Ref(81)]}, 81: {"S": N("H1"), "K": [0]}}
+TEXT = b"/H1 <</MCID 0>> BDC BT /F1 10 Tf 100 700 Td (Hello) Tj ET EMC"
 
 
 def make(catalog=None, extra=None, drop=(), **kw):
     c = {k: v for k, v in (BASE | (catalog or {})).items() if k not in drop}
     embed = {3: {"Type": N("Font"), "Subtype": N("Type1"), "BaseFont": N("ABCDEF+Sans"), "FontDescriptor": {"FontFile": Ref(91)}, "FirstChar": 32, "Widths": [500] * 95}, 91: Stream({}, b"x")}
+    kw = {"pages": (TEXT,)} | kw
+    kw["page"] = {"Resources": {"Font": {"F1": Ref(3)}}} | (kw.get("page") or {})
     return classic(catalog=c, extra=embed | EXTRA | (extra or {}), **kw)
 
 
+
+
+def TABLE(rows):  # noqa: N802
+    out, num = {81: {"S": N("Table"), "K": []}}, 100
+    for row in rows:
+        tr, num = num, num + 1
+        out[tr] = {"S": N("TR"), "K": []}
+        out[81]["K"].append(Ref(tr))
+        for kind in row:
+            out[num] = {"S": N(kind)}
+            out[tr]["K"].append(Ref(num))
+            num += 1
+    return out
+
+
 LINK = {"Subtype": N("Link"), "F": 4, "Contents": b"c"}
 CASES = {
     "stream-external-file": make(extra={50: Stream({"F": b"x"}, b"")}),
@@ -68,6 +86,24 @@ CASES = {
     "ua-annotation": make(page={"Annots": [LINK], "Tabs": N("R")}),
     "ua-media-clip": make(extra={50: {"Type": N("MediaClip")}}),
     "ua-note-id": make(extra={81: {"S": N("Note")}}),
+    "hex-string-format": make().replace(b"/Marked true", b"/Marked true /Odd <abc>"),
+    "explicit-resources": make(page={"Resources": {}}),
+    "device-colour": make(pages=(b"1 0 0 rg 0 0 5 5 re f",)),
+    "transparency-colour": make(extra={50: {"Type": N("ExtGState"), "ca": 0.5}}, page={"Resources": {"ExtGState": {"G": Ref(50)}}}, pages=(b"/G gs",)),
+    "pdfx-separation-consistency": make(extra={50: [N("Separation"), N("Spot"), N("DeviceRGB"), {"N": 1}], 51: [N("Separation"), N("Spot"), N("DeviceRGB"), {"N": 2}]}),
+    "pdfx-nchannel-colorants": make(extra={50: [N("DeviceN"), [N("Spot")], N("DeviceRGB"), {"N": 1}]}),
+    "jpeg2000": make(extra={50: Stream({"Subtype": N("Image"), "Filter": N("JPXDecode")}, b"\0\0\0\x0cjP  \r\n\x87\n" + b"\0\0\0\x1ejp2h" + b"\0\0\0\x16ihdr" + b"\0\0\0\1\0\0\0\1\0\2\x07\x07\0\0")}),
+    "font-dictionary": make(extra={50: {"Type": N("Font"), "Subtype": N("TrueType"), "BaseFont": N("T"), "Encoding": N("WinAnsiEncoding"), "FontDescriptor": {"Flags": 4, "FontFile2": Ref(91)}}}),
+    "icc-cmyk-overprint": make(extra={50: [N("ICCBased"), Ref(51)], 51: Stream({"N": 4}, b""), 52: {"Type": N("ExtGState"), "op": True, "OPM": 1}}, page={"Resources": {"ColorSpace": {"C": Ref(50)}, "ExtGState": {"G": Ref(52)}}}, pages=(b"/C cs /G gs 0 0 5 5 re f",)),
+    "pdfa-xmp-property-type": make(extra={90: Stream({}, b"<x xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns:dc='http://purl.org/dc/elements/1.1/'><rdf:RDF><rdf:Description><dc:creator>me</dc:creator></rdf:Description></rdf:RDF></x>")}),
+    "pdfa-xmp-property-predefined": make(extra={90: Stream({}, b"<x xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns:dc='http://purl.org/dc/elements/1.1/'><rdf:RDF><rdf:Description><dc:other>me</dc:other></rdf:Description></rdf:RDF></x>")}),
+    "ua-content-tagged": make(pages=(b"0 0 5 5 re f",)),
+    "ua-artifact-nesting": make(pages=(b"/Artifact BMC /P <</MCID 0>> BDC EMC EMC",)),
+    "ua-text-unicode": make(extra={3: {"Type": N("Font"), "Subtype": N("Type1"), "BaseFont": N("X"), "FontDescriptor": {"Flags": 4, "FontFile": Ref(91)}}}),
+    "ua-xobject-mcid": make(extra={50: Stream({"Subtype": N("Form")}, b"/P <</MCID 0>> BDC EMC")}, page={"Resources": {"XObject": {"X": Ref(50)}}}, pages=(b"/X Do /X Do",)),
+    "ua-content-lang": make(drop=["Lang"], page={"Annots": [LINK]}),
+    "ua-table-regular": make(extra=TABLE([["TH", "TH"], ["TD"]])),
+    "ua-table-header": make(extra=TABLE([["TH", "TH"], ["TD", "TD"]])),
     "ua-reference-xobject": make(extra={50: Stream({"Subtype": N("Form"), "Ref": {"F": b"x"}}, b"")}),
 }
 

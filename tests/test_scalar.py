@@ -29,10 +29,10 @@ def test_postscript(spark, source, inputs, want):
 
 
 def test_dates(spark):
-    cases = ["D:20240229123456+02'30'", "D:1999", "20200102", "D:20240230", "x", None, "D:20240101000000-0800", "D:20240101Z"]
+    cases = ["D:20240229123456+02'30'", "D:1999", "20200102", "D:20240230", "x", None, "D:20240101000000-0800", "D:20240101Z", "D:2024garbage", "2024garbage"]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(cases)], "i int, s string").select("i", fn.parse_pdf_date(F.col("s")).alias("d"))
     got = {r.i: r.d and (r.d.ts.isoformat(), r.d.offset_minutes) for r in df.collect()}
-    assert got == {0: ("2024-02-29T12:34:56", 150), 1: ("1999-01-01T00:00:00", 0), 2: ("2020-01-02T00:00:00", 0), 3: None, 4: None, 5: None, 6: ("2024-01-01T00:00:00", -480), 7: ("2024-01-01T00:00:00", 0)}
+    assert got == {0: ("2024-02-29T12:34:56", 150), 1: ("1999-01-01T00:00:00", 0), 2: None, 8: None, 9: None, 3: None, 4: None, 5: None, 6: ("2024-01-01T00:00:00", -480), 7: ("2024-01-01T00:00:00", 0)}
 
 
 def test_curves(spark):
@@ -47,3 +47,9 @@ def test_tags_and_bits(spark):
     h = one(spark, fn.hex_facts(F.lit("0aF g\n1")))[0]
     assert (h.n_digits, h.n_other, h.is_odd) == (4, 1, False)
     assert math.isclose(one(spark, fn.clamp(F.lit(5.0), 0, 1))[0], 1.0)
+
+
+def test_iso_dates(spark):
+    cases = ["2024", "2024-02", "2024-02-29", "2024-02-29T12:34", "2024-02-29T12:34:56.5+02:30", "2024-02-30", "2024-02-29 12:34", "2024-02-29T12:34:56Z", None]
+    got = [r.d and (r.d.ts.isoformat(), r.d.offset_minutes) for r in spark.createDataFrame([(i, s) for i, s in enumerate(cases)], "i int, s string").orderBy("i").select(fn.parse_iso_date(F.col("s")).alias("d")).collect()]
+    assert got == [("2024-01-01T00:00:00", 0), ("2024-02-01T00:00:00", 0), ("2024-02-29T00:00:00", 0), ("2024-02-29T12:34:00", 0), ("2024-02-29T12:34:56.500000", 150), None, None, ("2024-02-29T12:34:56", 0), None]
