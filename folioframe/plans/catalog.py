@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import scalar as fn
@@ -143,12 +143,12 @@ def or_join_first(t):
     return rel.first_match(n, "n_nationkey", [(c, n["n_nationkey"] == c["nk"]), (s, n["n_nationkey"] == s["nk"])], ["key"], ["key"])
 
 
-_LABELS = "SELECT o_orderdate AS t, max(o_orderkey) AS label FROM orders WHERE o_orderkey % 150 = 1 GROUP BY o_orderdate"
+_LABELS = "SELECT o_orderdate AS t, max(o_orderkey) AS label FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW' GROUP BY o_orderdate"
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, label FROM lineitem ASOF LEFT JOIN ({_LABELS}) z ON l_shipdate >= t")
 def asof_label(t):
-    labels = t.orders.where("o_orderkey % 150 = 1").select(F.col("o_orderdate").alias("t"), F.col("o_orderkey").alias("label"))
+    labels = t.orders.where("o_orderstatus = 'P' AND o_orderpriority = '5-LOW'").select(F.col("o_orderdate").alias("t"), F.col("o_orderkey").alias("label"))
     return rel.asof_backward(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"), labels, "l_shipdate", "t", "label")
 
 
@@ -248,17 +248,17 @@ def first_offender(t):
     return ordered.first_offender(t.events, ["user_id"], "event_id", F.col("event_type") == "error")
 
 
-# Graphs: the tree region, nation, customer, order, with every third nation cut off.
+# Graphs: the tree region, nation, customer, order, without the nations of region 2.
 
 def _tree(t):
     key = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
-    nations = t.nation.where("n_nationkey % 3 <> 0").select(key("r", F.col("n_regionkey")).alias("src"), key("n", F.col("n_nationkey")).alias("dst"))
+    nations = t.nation.where("n_regionkey <> 2").select(key("r", F.col("n_regionkey")).alias("src"), key("n", F.col("n_nationkey")).alias("dst"))
     customers = t.customer.select(key("n", F.col("c_nationkey")).alias("src"), key("c", F.col("c_custkey")).alias("dst"))
     orders = t.orders.select(key("c", F.col("o_custkey")).alias("src"), key("o", F.col("o_orderkey")).alias("dst"))
     return nations.unionByName(customers).unionByName(orders).select(F.lit(0).alias("doc"), "src", "dst")
 
 
-_TREE = """e(src, dst) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL
+_TREE = """e(src, dst) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation WHERE n_regionkey <> 2 UNION ALL
   SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
 
 
@@ -268,37 +268,39 @@ def reachable(t):
     return graph.reachable(_tree(t), roots).select("node", "depth")
 
 
-@query(f"""WITH RECURSIVE {_TREE}, v(node, value) AS (SELECT 'r' || r_regionkey, r_name FROM region UNION ALL SELECT 'c' || c_custkey, c_mktsegment FROM customer WHERE c_custkey % 4 = 0),
+@query(f"""WITH RECURSIVE {_TREE}, v(node, value) AS (SELECT 'r' || r_regionkey, r_name FROM region UNION ALL SELECT 'c' || c_custkey, c_mktsegment FROM customer WHERE c_acctbal < 0),
   p AS (SELECT dst AS node, src AS parent FROM e UNION ALL SELECT 'r' || r_regionkey, NULL FROM region),
   u(node, up, depth) AS (SELECT node, node, 0 FROM p UNION ALL SELECT u.node, p.parent, depth + 1 FROM u JOIN p ON p.node = u.up WHERE p.parent IS NOT NULL)
   SELECT u.node, arg_min(v.value, depth) AS value FROM u LEFT JOIN v ON v.node = u.up GROUP BY u.node""")
 def inherited_attr(t):
     own = t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.col("r_name").alias("value"))
-    own = own.unionByName(t.customer.where("c_custkey % 4 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_mktsegment").alias("value")))
+    own = own.unionByName(t.customer.where("c_acctbal < 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_mktsegment").alias("value")))
     nodes = _tree(t).select("doc", F.col("dst").alias("node"), F.col("src").alias("parent"))
     nodes = nodes.unionByName(t.region.select(F.lit(0).alias("doc"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.lit(None).cast("string").alias("parent")))
     return graph.inherited(nodes.join(own, "node", "left"), "value").select("node", "value")
 
 
-_ROLES = [(1, "Head", "Title"), (1, "Title", "H1"), (1, "Para", "P"), (1, "X", "Y"), (1, "Y", "X"), (1, "Z", "X"), (2, "Note", "Aside"), (2, "Loop", "Loop")]
-_ROLES_SQL = "role(doc, src, dst) AS (VALUES " + ", ".join(f"({d}, '{a}', '{b}')" for d, a, b in _ROLES) + ")"
+# Mappings of names: each order leads to the next one of its customer; the last leads to `P` where it is open, back to
+# the first where it is finished, and nowhere else.
+
+_ROLES = """role AS (SELECT o_custkey AS doc, o_orderkey::VARCHAR AS src, coalesce(lead(o_orderkey) OVER w::VARCHAR, CASE o_orderstatus WHEN 'O' THEN 'P' WHEN 'F' THEN first_value(o_orderkey) OVER w::VARCHAR ELSE 'none' END) AS dst,
+  last_value(o_orderstatus) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))"""
 
 
 def _roles(t):
-    return t.spark.createDataFrame(_ROLES, "doc int, src string, dst string")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    last = F.when(F.col("o_orderstatus") == "O", "P").when(F.col("o_orderstatus") == "F", F.first("o_orderkey").over(w).cast("string")).otherwise("none")
+    return t.orders.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").cast("string").alias("src"), F.coalesce(F.lead("o_orderkey").over(w).cast("string"), last).alias("dst"))
 
 
-@query(f"""WITH RECURSIVE {_ROLES_SQL}, c(doc, src, final, k) AS (SELECT doc, src, dst, 0 FROM role UNION ALL
-  SELECT c.doc, c.src, r.dst, k + 1 FROM c JOIN role r ON r.doc = c.doc AND r.src = c.final WHERE c.final NOT IN ('P', 'H1') AND k < 8)
-  SELECT doc, src, arg_max(final, k) AS final FROM c GROUP BY doc, src""")
+@query(f"WITH {_ROLES} SELECT doc, src, CASE last WHEN 'O' THEN 'P' WHEN 'P' THEN 'none' END AS final FROM role")
 def role_closure(t):
-    return graph.closure(_roles(t), t.spark.createDataFrame([("P",), ("H1",)], "name string"), 8)
+    return graph.closure(_roles(t), t.spark.range(1).select(F.lit("P").alias("name")))
 
 
-@query(f"""WITH RECURSIVE {_ROLES_SQL}, c(doc, src, tip, k) AS (SELECT doc, src, dst, 1 FROM role UNION ALL SELECT c.doc, c.src, r.dst, k + 1 FROM c JOIN role r ON r.doc = c.doc AND r.src = c.tip WHERE k < 16)
-  SELECT DISTINCT doc, src FROM c WHERE k = 16""")
+@query(f"WITH {_ROLES} SELECT doc, src FROM role WHERE last = 'F'")
 def role_cycle(t):
-    return graph.on_cycles(_roles(t), 16)
+    return graph.on_cycles(_roles(t))
 
 
 # Scalar functions.

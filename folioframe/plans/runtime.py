@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Write and read again, below the shared spark.checkpoint.dir, which only a local session (tests) may leave unset;
-    partitioned by a column if one is given."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below the shared spark.checkpoint.dir, which only a local session (tests) may leave unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/folioframe-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/folioframe-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write to a scratch folder and read again; partitioned by a column if one is given."""
+    path = scratch(df.sparkSession)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

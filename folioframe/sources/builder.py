@@ -5,13 +5,13 @@ A specification is a dictionary (JSON text in a DataFrame):
     version, info {title, author, trapped}, id (bool), lang, xmp [[namespace, prefix, name, value]], marked, suspects,
     show_title, pages [{lines [[text, tag, mcid]], rotate, media, trim, annots [{subtype, flags, contents, rect, ap,
     struct, action, oc}], ops (raw operators before the text), font, images}], fonts [{name, embedded, unicode}], roles
-    {src: dst}, structure [[parent, type, {Alt, ID, Scope, Headers, ColSpan, RowSpan, Lang}, page, mcid]], outline
+    {src: dst}, structure [[parent, type, {Alt, ID, Scope, Headers, ColSpan, RowSpan, Lang, Obj: [page, annotation]}, page, mcid]], outline
     [[parent, title, page]], labels [[start, style, prefix, first]], dests {name: page}, files [{name, mime, relation,
     text}], intents [{subtype, identifier, space}], fields [[parent, name, type, value, flags]], layers [{name,
-    visible}], actions [{S, N, next}], requirements, objects {number: raw text}
+    visible}], actions [{S, N}] (each the next of the one before), requirements
 
 and its layout: packed (object streams with a cross-reference stream), update (a second title in an incremental update),
-broken (startxref points nowhere), tail (bytes after the end), encrypt.
+broken (startxref points nowhere), tail (bytes after the end).
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ class Builder:
     """Objects under construction; numbers are given out in the order of `add`."""
 
     def __init__(self, spec: dict):
-        self.spec, self.objs = spec, {}
+        self.spec, self.objs, self.annots = spec, {}, {}
 
     def add(self, x) -> Ref:
         num = max(self.objs, default=0) + 1
@@ -102,7 +102,7 @@ class Builder:
             off = [r for r, x in zip(layers, s["layers"], strict=True) if not x.get("visible", True)]
             catalog["OCProperties"] = {"OCGs": layers, "D": {"Name": b"Default", "Order": layers, "OFF": off}}
             tree["Resources"]["Properties"] = {f"L{i}": r for i, r in enumerate(layers)}
-        pages = [self._page(p, tree_ref, tree["Resources"], layers) for p in s.get("pages") or []]
+        pages = [self._page(i, p, tree_ref, tree["Resources"], layers) for i, p in enumerate(s.get("pages") or [])]
         tree["Kids"], tree["Count"] = pages, len(pages)
         if s.get("lang"):
             catalog["Lang"] = text_string(s["lang"])
@@ -136,8 +136,6 @@ class Builder:
             catalog["OpenAction"] = self._action(s["actions"])
         if s.get("requirements"):
             catalog["Requirements"] = [{"S": Name("EnableJavaScripts")}]
-        for num, raw in (s.get("objects") or {}).items():
-            self.objs[int(num)] = json.loads(raw) if isinstance(raw, str) else raw
         trailer = {"Root": root} | ({"Info": info_ref} if info_ref else {}) | ({"ID": [b"0" * 16, b"1" * 16]} if s.get("id", True) else {})
         version = s.get("version", "1.7")
         out = packed(self.objs, trailer, version) if s.get("packed") else serialise(self.objs, trailer, version)
@@ -156,7 +154,7 @@ class Builder:
             d["ToUnicode"] = self.add(Stream({}, to_unicode_map({c: chr(c) for c in range(32, 127)})))
         return self.add(d)
 
-    def _page(self, p: dict, parent: Ref, resources: dict, layers: list) -> Ref:
+    def _page(self, at: int, p: dict, parent: Ref, resources: dict, layers: list) -> Ref:
         body = (p.get("ops") or "").encode()
         body += b"BT /F%d 10 Tf 12 TL 50 742 Td\n" % (p.get("font") or 1)
         for text, tag, mcid in p.get("lines") or []:
@@ -175,6 +173,7 @@ class Builder:
             page["Resources"] = resources | {"XObject": {f"I{i}": self.add(Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": w, "Height": h, "ColorSpace": Name(space), "BitsPerComponent": 8}, bytes(w * h * (3 if space == "DeviceRGB" else 1)))) for i, (w, h, space) in enumerate(p["images"])}}
         if p.get("annots"):
             page["Annots"] = [self._annot(a, layers) for a in p["annots"]]
+            self.annots |= {(at, k): r for k, r in enumerate(page["Annots"])}
         return self.add(page)
 
     def _annot(self, a: dict, layers: list) -> Ref:
@@ -200,7 +199,9 @@ class Builder:
             d: dict = {"Type": Name("StructElem"), "S": Name(kind), "P": refs[parent], "K": []}
             grid = {}
             for k, v in (attributes or {}).items():
-                if k == "Scope":
+                if k == "Obj":
+                    d["K"].append({"Type": Name("OBJR"), "Obj": self.annots[tuple(v)]})
+                elif k == "Scope":
                     grid[k] = Name(v)
                 elif k in ("ColSpan", "RowSpan"):
                     grid[k] = int(v)

@@ -23,6 +23,8 @@ from folioframe.sources import content, interactive, metadata, usage
 from folioframe.sources.pdfsyntax import Document, Ref, Stream, load
 
 BATCH_ROWS = 5000
+#: Stored bytes of a table that one partition of files built from it should take.
+ROW_BYTES = 1 << 20
 
 SCHEMAS = {
     "doc": "doc_id string, error string, version string, header_offset int, rebuilt boolean, n_objects int, n_pages int, trailer string, catalog string, info string, xmp string, binary_marker boolean, size bigint, bytes_after_eof int",
@@ -516,6 +518,12 @@ def _parsed(doc_id: str, data: bytes, password: bytes) -> tuple[Document | None,
         return None, f"{type(e).__name__}: {e}"
 
 
+def parts_of(df: DataFrame) -> int:
+    """Partitions for files built from a table, by the size of what is scanned; 1 where Catalyst does not know it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 1 if size >= 1 << 60 else max(1, -(-size // ROW_BYTES))
+
+
 class Relations:
     """Lazy relations over files of (doc_id, data). Each is a pass over the files of its own; `together` gives them all
     from one pass."""

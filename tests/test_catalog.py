@@ -6,9 +6,10 @@ import os
 import duckdb
 import pytest
 
-from folioframe.plans.catalog import ORACLES, QUERIES
+from folioframe.plans import catalog, filecat
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLES = catalog.QUERIES | filecat.QUERIES, catalog.ORACLES | filecat.ORACLES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
