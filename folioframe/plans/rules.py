@@ -453,11 +453,14 @@ def ua_encryption(r):
 
 
 def _types(r) -> DataFrame:
-    """Structure nodes with their standard type, by the role map."""
-    standard = r.role_map.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, STRUCTURE))).alias("name"))
-    final = graph.closure(r.role_map.select(F.col("doc_id").alias("doc"), "src", "dst"), standard)
-    final = final.select(F.col("doc").alias("doc_id"), F.col("src").alias("type"), "final")
-    return r.struct_node.join(final, ["doc_id", "type"], "left").withColumn("std", F.when(F.col("type").isin(STRUCTURE), F.col("type")).otherwise(F.coalesce("final", "type")))
+    """Structure nodes with their standard type, by the role map; written once for all rules of a check."""
+    if "types" not in r.shared:
+        standard = r.role_map.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, STRUCTURE))).alias("name"))
+        final = graph.closure(r.role_map.select(F.col("doc_id").alias("doc"), "src", "dst"), standard)
+        final = final.select(F.col("doc").alias("doc_id"), F.col("src").alias("type"), "final")
+        named = r.struct_node.join(final, ["doc_id", "type"], "left")
+        r.shared["types"] = written(named.withColumn("std", F.when(F.col("type").isin(STRUCTURE), F.col("type")).otherwise(F.coalesce("final", "type"))))
+    return r.shared["types"]
 
 
 @rule("ua-standard-type", UA, "7.1")
@@ -485,7 +488,7 @@ def ua_figure(r):
 
 @rule("ua-structure-nesting", UA, "7.2")
 def ua_nesting(r):
-    types = written(_types(r).select("doc_id", "node", "parent", "ord", "std"))
+    types = _types(r).select("doc_id", "node", "parent", "ord", "std")
     up = types.select("doc_id", F.col("node").alias("parent"), F.col("std").alias("above"))
     ok = F.lit(True)
     for child, parents in PARENTS.items():
@@ -497,7 +500,7 @@ def ua_nesting(r):
 
 @rule("ua-headings", UA, "7.4.2")
 def ua_headings(r):
-    types = written(_types(r).select("doc_id", "node", "parent", "std"))
+    types = _types(r).select("doc_id", "node", "parent", "std")
     heads = types.where(F.col("std").rlike("^H[1-6]$")).withColumn("level", F.substr("std", F.lit(2)).cast("int"))
     seq = heads.withColumn("previous", F.lag("level").over(Window.partitionBy("doc_id").orderBy("node")))
     bad = seq.where(F.when(F.col("previous").isNull(), F.col("level") != 1).otherwise(F.col("level") > F.col("previous") + 1))
@@ -611,7 +614,9 @@ def ua_content_lang(r):
 
 def _tables(r) -> DataFrame:
     """doc_id, node of each table with its rows of cells in order: array<array<struct<...>>>; rows may be empty."""
-    types = written(_types(r).select("doc_id", "node", "parent", "std", "body"))
+    if "tables" in r.shared:
+        return r.shared["tables"]
+    types = _types(r).select("doc_id", "node", "parent", "std", "body")
     up = types.select("doc_id", F.col("node").alias("parent"), F.col("std").alias("above"), F.col("parent").alias("above_parent"))
     rows = types.where("std = 'TR'").join(up, ["doc_id", "parent"])
     top = types.where("std = 'Table'").select("doc_id", F.col("node").alias("table"))
@@ -623,7 +628,8 @@ def _tables(r) -> DataFrame:
     some = lambda k: F.when(F.exists(held, lambda a: a[k].isNotNull()), last(k))
     cells = types.where("std IN ('TH', 'TD')").select("doc_id", F.col("parent").alias("row"), "node", (F.col("std") == "TH").alias("th"), F.coalesce(some("RowSpan"), F.lit(1)).alias("rows"), F.coalesce(some("ColSpan"), F.lit(1)).alias("cols"), some("Scope").alias("scope"), F.coalesce(some("Headers"), F.array().cast("array<string>")).alias("headers"), val("body", "$.ID").alias("id"))
     line = rows.join(cells, ["doc_id", "row"], "left").groupBy("doc_id", "table", "row").agg(F.array_sort(F.collect_list(F.when(F.col("node").isNotNull(), F.struct("node", "th", "rows", "cols", "scope", "headers", "id")))).alias("cells"))
-    return line.groupBy("doc_id", F.col("table").alias("node")).agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("lines"))
+    r.shared["tables"] = written(line.groupBy("doc_id", F.col("table").alias("node")).agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("lines")))
+    return r.shared["tables"]
 
 
 def table_grid(lines: list[list[dict]]) -> tuple[dict[tuple[int, int], tuple], int, str | None]:
@@ -817,12 +823,17 @@ def xmp_types(r):
     return once_a_value(r.xmp_prop.where(bad), "name", "a metadata property is of another type: ")
 
 
+#: The relations that rules read.
+READ = (
+    "doc obj stream page content_op annot struct_node role_map font output_intent xmp_prop icc_profile object_spacing xref_section code_map outline hex_string limit form_field action colorant "
+    "object_ref content_item page_use font_use do_edge font_body jp2_image group"
+).split()
 FINDING = "doc_id rule_id severity clause message page_index object_number".split()
 
 
 def check(relations: Relations, profile: str) -> DataFrame:
     """The findings of one profile: doc_id, rule_id, severity, clause, message, page_index, object_number."""
-    bit, r = PROFILES[profile], relations.together()
+    bit, r = PROFILES[profile], relations.together(READ)
     unread = r.doc.where("error IS NOT NULL").select("doc_id", F.lit("document-load").alias("rule_id"), F.lit("Error").alias("severity"), F.lit(None).cast("string").alias("clause"), F.col("error").alias("message"), F.lit(None).cast("int").alias("page_index"), F.lit(None).cast("int").alias("object_number"))
     out = unread
     for x in RULES:

@@ -29,7 +29,8 @@ ROW_BYTES = 1 << 20
 SCHEMAS = {
     "doc": "doc_id string, error string, version string, header_offset int, rebuilt boolean, n_objects int, n_pages int, trailer string, catalog string, info string, xmp string, binary_marker boolean, size bigint, bytes_after_eof int",
     "xref": "doc_id string, obj_num int, kind string, a bigint, b int, depth int",
-    "obj": "doc_id string, obj_num int, kind string, type string, subtype string, body string, canon string",
+    "obj": "doc_id string, obj_num int, kind string, type string, subtype string, body string",
+    "object_text": "doc_id string, obj_num int, canon string",
     "ref_edge": "doc_id string, src int, path string, dst int",
     "stream": "doc_id string, obj_num int, filters array<string>, raw_length bigint, declared_length bigint, data_length bigint, error string",
     "page": "doc_id string, page_idx int, obj_num int, media_box array<double>, crop_box array<double>, rotate int, body string",
@@ -102,7 +103,7 @@ def _canonical(doc: Document, x, path: frozenset = frozenset()):
         d = {k: v for k, v in x.dict.items() if k not in ("Length", "Filter", "DecodeParms", "DL")}
         return {"#": f"{codecs.fnv1a64(x.raw):016x}", **_canonical(doc, d, path)}
     if isinstance(x, dict):
-        return {k: _canonical(doc, x[k], path) for k in sorted(x) if k != "Parent"}
+        return {k: _canonical(doc, x[k], path) for k in sorted(x) if k not in _UPWARDS}
     if isinstance(x, list):
         return [_canonical(doc, y, path) for y in x]
     if isinstance(x, (int, float)) and not isinstance(x, bool):
@@ -169,7 +170,12 @@ def _names(doc: Document, root) -> Iterator[tuple[bytes, object]]:
 def _objects(doc_id: str, doc: Document):
     for num, x in sorted(doc.objects.items()):
         d = x.dict if isinstance(x, Stream) else x if isinstance(x, dict) else {}
-        yield doc_id, num, _kind(x), _name(doc.resolve(d.get("Type"))), _name(doc.resolve(d.get("Subtype"))), _json(x), json.dumps(_canonical(doc, x), ensure_ascii=False)
+        yield doc_id, num, _kind(x), _name(doc.resolve(d.get("Type"))), _name(doc.resolve(d.get("Subtype"))), _json(x)
+
+
+def _object_texts(doc_id: str, doc: Document):
+    for num, x in sorted(doc.objects.items()):
+        yield doc_id, num, json.dumps(_canonical(doc, x), ensure_ascii=False)
 
 
 def _streams(doc_id: str, doc: Document):
@@ -438,6 +444,7 @@ READERS: dict[str, Callable] = {
     "group": _groups,
     "xref": lambda i, d: ((i, n, e.kind, e.a, e.b, e.depth) for n, e in sorted(d.xref.items())),
     "obj": _objects,
+    "object_text": _object_texts,
     "ref_edge": lambda i, d: ((i, n, p, t) for n, x in [(0, d.trailer), *sorted(d.objects.items())] for p, t in _edges(x)),
     "stream": _streams,
     "page": _pages,
@@ -486,15 +493,16 @@ def _problems(doc_id: str, doc: Document):
             yield doc_id, name, f"{type(e).__name__}: {e}"
 
 
-def _rows(name: str, doc_id: str, data: bytes, doc: Document | None, error: str | None) -> Iterator[tuple]:
-    """The rows of one relation of one file. A reader's error ends them; `problem` tells."""
+def _rows(name: str, doc_id: str, data: bytes, doc: Document | None, error: str | None, problems: list | None = None) -> Iterator[tuple]:
+    """The rows of one relation of one file. A reader's error ends them; `problem` tells, and so does the list if given."""
     if name == "doc":
         yield _describe(doc_id, data, doc, error)
     elif doc is not None:
         try:
             yield from (_problems if name == "problem" else READERS[name])(doc_id, doc)
-        except Exception:  # noqa: BLE001 the relation `problem` has it
-            return
+        except Exception as e:  # noqa: BLE001 the relation `problem` has it
+            if problems is not None:
+                problems.append((doc_id, name, f"{type(e).__name__}: {e}"))
 
 
 def _describe(doc_id: str, data: bytes, doc: Document | None, error: str | None) -> tuple:
@@ -531,6 +539,8 @@ class Relations:
     def __init__(self, files: DataFrame, password: bytes = b""):
         self.files, self.password = files, password
         self._made: dict[str, DataFrame] = {}
+        #: What rules derive from these relations and share.
+        self.shared: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in SCHEMAS:
@@ -566,6 +576,7 @@ class Relations:
         from folioframe.plans.runtime import written
 
         names = list(names or SCHEMAS)
+        readers = [n for n in names if n != "problem"]
         schema = T.StructType([T.StructField("rel", T.StringType())] + [T.StructField(n, T.StructType.fromDDL(SCHEMAS[n])) for n in names])
         arrow, password = to_arrow_schema(schema), self.password
 
@@ -580,8 +591,8 @@ class Relations:
                 for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     data = data.as_py() or b""
                     doc, error = _parsed(doc_id, data, password)
-                    for name in names:
-                        for row in _rows(name, doc_id, data, doc, error):
+                    for name in readers:
+                        for row in _rows(name, doc_id, data, doc, error, rows.get("problem")):
                             rows[name].append(row)
                             if len(rows[name]) >= BATCH_ROWS:
                                 yield packed(name, rows[name])

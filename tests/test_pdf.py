@@ -81,7 +81,7 @@ def test_relations(spark, tmp_path):
     assert r.stream.where("error IS NOT NULL").count() == 0 and r.xref.count() > 10
     live = {x.obj_num for x in r.live_objects().where("doc_id LIKE '%a.pdf'").collect()}
     assert 13 in live and 20 not in live
-    assert r.obj.where("obj_num = 20").first().canon == '{"Orphan": true}'
+    assert r.object_text.where("obj_num = 20").first().canon == '{"Orphan": true}'
 
 
 def test_optimised(spark):
