@@ -1,14 +1,16 @@
 """PII replacement by keyed surrogates.
 
 Detected entities are e-mail addresses, phone numbers, card and account numbers, IBANs, social security numbers, IPv4
-addresses, access keys, assigned secrets, and names after a title. The parts of an entity that tell who it is are
-replaced; its type, format, letter case, script and the gender of a name stay: separators, country codes, a card's first
-digit and valid check digit, an address's network class and a mail address's top-level domain are kept.
+addresses, access keys, assigned secrets, and names: the capitalised words after a title, and the same words wherever
+else they stand in the document. The parts of an entity that tell who it is are replaced; its type, format, letter case,
+script and the gender of a name stay: separators, country codes, a card's first digit and valid check digit, an IBAN's
+valid check digits, an address's network class and a mail address's top-level domain are kept.
 
 A part of n letters and digits is a number in its shape's mixed radix, and its surrogate comes from a keyed permutation
 (Feistel rounds of BLAKE2b with cycle walking) of the numbers of that shape. So parts that differ get surrogates that
 differ, and equal parts get the same one wherever they occur, whatever the format around them (coreference). Names are
-built of syllables from a keyed hash.
+built of syllables from a keyed hash of the name alone, whatever the title; a given name's ending tells its gender, by
+the document's titles for that name or, where they do not say, by its own last letter.
 
 Collision check: the distinct entities of the corpus are gathered (a shuffle of entities, no texts); a surrogate that
 equals a real entity of its kind or the surrogate of a smaller entity is drawn again with the next attempt, until none
@@ -70,7 +72,11 @@ ENDINGS = {
     "greek": {"m": "ς", "f": "λία", "n": "ρις"},
 }
 
-_NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)?"
+#: Capitals of the Latin, Greek and Cyrillic scripts.
+_CAPITALS = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
+_NAME = rf"[{_CAPITALS}][^\W\d_]*(?:[-'’][^\W\d_]+)*"
+#: Last letters that make a given name count as female where no title tells.
+_FEMALE = "aαηая"
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     r"|(?P<access>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b)"
@@ -79,9 +85,10 @@ PATTERN = re.compile(
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<phone>(?<!\w)\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
-    r"|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))"
+    r"|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])"
+    r"|(?<![\w.-])0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4}(?![ -]?[0-9]|[\w-]))"
     r"|(?P<card>(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?![\w]))"
-    r"|(?P<title>(?<!\w)(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r"))\.?[ \t](?P<name>" + _NAME + r"(?:[ \t]" + _NAME + r")?)"
+    r"|(?P<title>(?<!\w)(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r"))\.?[ \t](?P<name>" + _NAME + r"(?:[ \t]" + _NAME + r"){0,3})"
 )
 #: A text without any of these has no entity.
 _CLUE = re.compile(r"[0-9@=:]|" + "|".join(f"{re.escape(t)}[. \t]" for t in TITLES))
@@ -114,39 +121,77 @@ def _network(octets: list[int]) -> int:
     return 2 if (a == 172 and 16 <= b < 32) or (a, b) in ((192, 168), (169, 254)) else 0
 
 
+def _name_parts(value: str, genders: dict[str, str], neutral: str = "n") -> list[Part]:
+    """The parts of a name: given names by gender, and its last word as the surname."""
+    words = [(w.start(), w.group()) for w in re.finditer(r"\S+", value)]
+    parts = []
+    for i, (at, w) in enumerate(words):
+        norm = w.lower()
+        if i < len(words) - 1:
+            gender = genders.get(norm, neutral)
+            kind = f"given:{'f' if gender == 'n' and norm[-1] in _FEMALE else gender}:{_script(w)}"
+        else:
+            kind = f"surname:{_script(w)}"
+        parts.append((kind, norm, list(range(at, at + len(w)))))
+    return parts
+
+
+def _named_again(text: str, names: list[str], genders: dict[str, str], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[Part]]]:
+    """Further mentions of the words of titled names, outside of other entities."""
+    surnames = {n.split()[-1] for n in names}
+    words = sorted({w for n in names for w in n.split()}, key=len, reverse=True)
+    one = "|".join(map(re.escape, words))
+    at = 0
+    for m in re.finditer(rf"(?<!\w)(?:{one})(?:[ \t](?:{one}))*(?!\w)", text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at < len(taken) and taken[at][0] < m.end():
+            continue
+        found = _name_parts(m.group(), genders)
+        last = m.group().split()[-1]
+        if last not in surnames:
+            # A given name alone keeps the kind that it has in front of a surname.
+            found = _name_parts(m.group() + " X", genders)[:-1]
+        yield m.start(), m.end(), found
+
+
 def find_parts(text: str) -> Iterator[tuple[int, int, list[Part]]]:
     """(start, end, parts) of each entity, in order."""
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup
-        value = m.group(kind)
-        places = [i for i, c in enumerate(value) if c.isalnum()]
-        if kind == "email":
-            at, dot = value.index("@"), value.rindex(".")
-            parts = [("mailbox", value[:at].lower(), [i for i in range(at) if value[i].isalnum()])]
-            parts.append(("domain", value[at + 1 : dot].lower(), [i for i in range(at + 1, dot) if value[i].isalnum()]))
-            yield m.start(kind), m.end(kind), [p for p in parts if p[2]]
-            continue
-        if kind == "name":
-            words = [(w.start(), w.group()) for w in re.finditer(r"\S+", value)]
-            words = words[: next((i for i, (_, w) in enumerate(words) if not w[0].isupper()), len(words))]
-            if not words:
-                continue
-            gender = TITLES[m.group("title")]
-            parts = []
-            for i, (at, w) in enumerate(words):
-                what = "surname" if i == len(words) - 1 else f"given:{gender}"
-                parts.append((f"{what}:{_script(w)}", w.lower(), list(range(at, at + len(w)))))
-            yield m.start(kind), m.start(kind) + words[-1][0] + len(words[-1][1]), parts
-            continue
-        if kind == "access":
-            places = places[4:]
-        elif kind == "iban":
-            places = places[2:]
-        elif kind == "phone" and value[0] == "+":
-            cc = re.match(r"\+([0-9]{1,3}?)(?=[ .(-]|[0-9]{10}$)", value)
-            places = places[len(cc.group(1)) if cc else 1 :]
-        norm = "".join(value[i] for i in places)
-        yield m.start(kind), m.end(kind), [(kind, norm, places)]
+    matches = list(PATTERN.finditer(text))
+    names = [m for m in matches if m.lastgroup == "name"]
+    if not names:
+        yield from map(_entity, matches)
+        return
+    genders: dict[str, str] = {}
+    for m in names:
+        if TITLES[m.group("title")] != "n":
+            for w in m.group("name").split()[:-1]:
+                genders.setdefault(w.lower(), TITLES[m.group("title")])
+    found = [(m.start("name"), m.end("name"), _name_parts(m.group("name"), genders)) if m.lastgroup == "name" else _entity(m) for m in matches]
+    found += list(_named_again(text, [m.group("name") for m in names], genders, [(a, b) for a, b, _ in found]))
+    yield from sorted(found, key=lambda e: e[0])
+
+
+def _entity(m: re.Match) -> tuple[int, int, list[Part]]:
+    kind = m.lastgroup
+    value = m.group(kind)
+    places = [i for i, c in enumerate(value) if c.isalnum()]
+    if kind == "email":
+        at, dot = value.index("@"), value.rindex(".")
+        parts = [("mailbox", value[:at].lower(), [i for i in range(at) if value[i].isalnum()])]
+        parts.append(("domain", value[at + 1 : dot].lower(), [i for i in range(at + 1, dot) if value[i].isalnum()]))
+        return m.start(kind), m.end(kind), [p for p in parts if p[2]]
+    if kind == "access":
+        places = places[4:]
+    elif kind == "phone" and value[0] == "+":
+        cc = re.match(r"\+([0-9]{1,3}?)(?=[ .(-]|[0-9]{10}$)", value)
+        places = places[len(cc.group(1)) if cc else 1 :]
+    return m.start(kind), m.end(kind), [(kind, "".join(value[i] for i in places), places)]
+
+
+def _remainder(iban: str) -> int:
+    """The rest modulo 97 of an IBAN, its first four characters last and letters as numbers from 10."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
 def _permuted(key: bytes, tweak: str, x: int, n: int, back: bool = False) -> int:
@@ -197,6 +242,9 @@ def _space(kind: str, norm: str) -> tuple[str, int]:
     if kind == "phone" and len(norm) == 10:
         area = norm[0] > "1"
         return f"{kind}|10|{area}", (8 if area else 2) * 10**9
+    if kind == "iban":
+        valid, shape = _remainder(norm) == 1, _shape(kind, norm[4:])
+        return f"{kind}|{norm[:2]}|{valid}|{shape}", (1 if valid else 96) * math.prod(len(_SETS[s]) for s in shape)
     shape = _shape(kind, norm)
     size = math.prod(len(_SETS[s]) for s in shape if s != "-")
     if kind == "secret" and "h" not in shape and not set(shape) & {"u", "-"}:
@@ -245,6 +293,15 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
             out = norm[0] + _same_shape(key, f"{tweak}|plain|{norm[0]}", out[1:], "d" * (len(norm) - 1), move)
             if not _luhn(out):
                 return out
+    if kind == "iban":
+        country, out = norm[:2], norm
+        if _remainder(norm) == 1:
+            body = _same_shape(key, f"{tweak}|{country}", norm[4:], _shape(kind, norm[4:]), move)
+            return f"{country}{98 - _remainder(f'{country}00{body}'):02d}{body}"
+        while True:
+            out = country + _same_shape(key, f"{tweak}|plain|{country}", out[2:], _shape(kind, out[2:]), move)
+            if _remainder(out) != 1:
+                return out
     if kind == "phone" and len(norm) == 10 and norm[0] > "1":
         out = norm
         while True:
@@ -253,7 +310,7 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
                 return out
     if kind.startswith(("given", "surname")):
         script = kind.rsplit(":", 1)[1]
-        x = int.from_bytes(hmac.new(key, f"{tweak}|{norm}".encode(), "sha256").digest(), "big")
+        x = int.from_bytes(hmac.new(key, f"{kind.split(':')[0]}:{script}|{attempt}|{norm}".encode(), "sha256").digest(), "big")
         syllables = SYLLABLES[script]
         out = []
         for _ in range(3 + (kind[0] == "s") + attempt // 2):
@@ -411,9 +468,9 @@ def _with_told(source: DataFrame, told: DataFrame) -> DataFrame:
                     for start, end, parts in find_parts(t):
                         out.update((a, b, k, _normal(k, n, t[start:end])) for k, n, _ in parts)
             cols = list(zip(*sorted(out), strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["h1", "h2", "kind", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["__h1", "__h2", "kind", "norm"])
 
-    hashed = source.withColumn("h1", F.xxhash64("__text")).withColumn("h2", F.md5("__text"))
-    held = hashed.select("h1", "h2", "__text").mapInArrow(run, "h1 bigint, h2 string, kind string, norm string").distinct()
-    held = held.join(told, ["kind", "norm"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("__told"))
-    return hashed.join(held, ["h1", "h2"], "left").drop("h1", "h2")
+    hashed = source.withColumn("__h1", F.xxhash64("__text")).withColumn("__h2", F.md5("__text"))
+    held = hashed.select("__h1", "__h2", "__text").mapInArrow(run, "__h1 bigint, __h2 string, kind string, norm string").distinct()
+    held = held.join(told, ["kind", "norm"]).groupBy("__h1", "__h2").agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("__told"))
+    return hashed.join(held, ["__h1", "__h2"], "left").drop("__h1", "__h2")

@@ -1,4 +1,6 @@
 import itertools
+import random
+import re
 
 from folioframe.llm import pii
 
@@ -84,3 +86,47 @@ def test_deranged_spaces():
     for kind, norms in (("ssn", [f"{i:03}" for i in range(1000)]), ("phone", [f"{i:04}" for i in range(3000)]), ("card", [f"4{i:03}" for i in range(1000)])):
         new = [pii.surrogate(KEY, kind, x, pii.DERANGED) for x in norms]
         assert len(set(new)) == len(norms) and all(a != b and pii._space(kind, a) == pii._space(kind, b) for a, b in zip(norms, new))
+
+
+def test_ibans_keep_valid_check_digits():
+    out, kinds = pii.rewrite(b"k", "pay DE89 3704 0044 0532 0130 00 or DE88370400440532013000", {})
+    assert kinds == ["iban", "iban"]
+    valid, other = re.fullmatch(r"pay (.*) or (.*)", out).groups()
+    assert pii._remainder(valid.replace(" ", "")) == 1 and pii._remainder(other) != 1
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", valid) and valid != "DE89 3704 0044 0532 0130 00"
+
+
+def test_a_name_is_one_identity():
+    text = "Mrs Anna Maria Smith met Dr Anna Smith. Smith left; Anna Smith and Anna stayed, annals too."
+    out, kinds = pii.rewrite(b"k", text, {})
+    assert kinds == ["name"] * 5
+    assert "Smith" not in out and "Anna" not in out and "Maria" not in out and out.endswith("annals too.")
+    first = re.match(r"Mrs (\w+) (\w+) (\w+) met Dr (\w+) (\w+)\. (\w+) left; (\w+) (\w+) and (\w+) stayed", out).groups()
+    assert first[0] == first[3] == first[6] == first[8] and first[2] == first[4] == first[5] == first[7] and first[0] != first[1]
+    assert pii.rewrite(b"k", "Dr Anna Smith", {})[0] == f"Dr {first[0]} {first[2]}"
+
+
+def test_national_phone_numbers():
+    out, kinds = pii.rewrite(b"k", "call 020 7946 0958 now", {})
+    assert kinds == ["phone"] and "7946" not in out
+
+
+def test_surrogates_are_distinct_and_equal_entities_stay_equal(spark):
+    """Brute force over the whole result: a mapping of entities that is one to one and leads to no real entity."""
+    rng = random.Random(9)
+    rows = []
+    for d in range(300):
+        a, b = f"user{rng.randrange(90)}@mail{rng.randrange(6)}.com", f"10.0.{rng.randrange(3)}.{rng.randrange(60)}"
+        rows.append((d, f"from {a} at {b} by Mr Jon Doe{chr(97 + d % 7)}", a, b))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, h1 string, h2 string")
+    got = {r.doc_id: r for r in pii.replace(df, b"key", keep=("doc_id", "h1", "h2"), max_told=rng.choice([0, 100_000])).collect()}
+    to = {}
+    for d, _, a, b in rows:
+        r = got[d]
+        new = re.match(r"from (\S+) at (\S+) by Mr (\w+ \w+)$", r.text).groups()
+        assert (r.h1, r.h2) == (a, b)
+        for kind, old, x in (("email", a, new[0]), ("ip", b, new[1]), ("name", chr(97 + d % 7), new[2])):
+            assert to.setdefault((kind, old), x) == x
+    for kind in ("email", "ip", "name"):
+        pairs = {o: n for (k, o), n in to.items() if k == kind}
+        assert len(set(pairs.values())) == len(pairs) and not set(pairs.values()) & set(pairs)
