@@ -6,13 +6,14 @@ the sum of its two distances with a heap, until the cells it met hold a share of
 reranked by the cosine of the original vectors in double precision. The share is the one that finds TARGET_RECALL of the
 true neighbours inside the sample, so clustered vectors need few cells and vectors without structure need many.
 
-Every row is indexed. Entries are dealt out by a hash of the vector over shards of about SHARD_ROWS, so that each shard
-holds a slice of every cell and no cell or repeated vector makes a large one; equal vectors are one entry with the
-smallest vec_ids that any query can need, combined before the shuffle. Queries go to all shards in blocks of QUERY_BLOCK
-with the bit set of their cells; a shard returns the best k of a query.
+Every row is indexed. Centroids grow with the square root of the table, so that cells keep their size, up to what the
+sample can tell apart. Neighbouring cells form shards of about SHARD_ROWS entries; a cell of more than that is split over
+several by a hash of the vector. Equal vectors of a batch are one entry with the smallest vec_ids that any query can
+need. A query goes only to the shards that hold its cells, with the bits of the cells there; where over QUERY_BLOCK
+queries meet in a shard, its entries are sent once for each block of them. A shard returns the best k of a query.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without vec_id or
-vectors of another length than most of the sample; of queries with one id the least vector counts. Ties go to the
+vectors of another length than most of the others; of queries with one id the least vector counts. Ties go to the
 smaller vec_id. With fewer than k candidates all are returned. An empty table gives an empty result.
 """
 
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from folioframe.llm.runtime import persisted
 
 SAMPLE = 20_000
-CENTROIDS = 64
+#: Rows of the table for each cell, and vectors of the sample for each centroid, at least.
+CELL_ROWS = 12
+CENTROID_ROWS = 64
 ITERATIONS = 12
 TARGET_RECALL = 0.97
 CALIBRATION_QUERIES = 300
@@ -132,13 +134,11 @@ class MultiIndex:
         return np.packbits(out, axis=1)
 
 
-def fit(rows: list[np.ndarray], k: int, centroids: int = CENTROIDS, target: float = TARGET_RECALL) -> MultiIndex | None:
-    """Codebooks and the share of entries to look at, from a sample of vectors; None without any vector."""
-    lengths = Counter(len(x) for x in rows if len(x))
-    if not lengths:
+def fit(v: np.ndarray, k: int, centroids: int, target: float = TARGET_RECALL) -> MultiIndex | None:
+    """Codebooks and the share of entries to look at, from a sample of vectors of one length; None without any."""
+    if not v.size:
         return None
-    dims = max(lengths, key=lambda n: (lengths[n], n))
-    v = np.array([x for x in rows if len(x) == dims], np.float64)
+    dims = v.shape[1]
     u = unit(np.unique(v, axis=0))
     half = dims // 2
     books = kmeans(u[:, :half], centroids, 1) if half else np.zeros((1, 0)), kmeans(u[:, half:], centroids, 2)
@@ -161,18 +161,21 @@ def fit(rows: list[np.ndarray], k: int, centroids: int = CENTROIDS, target: floa
     return index
 
 
-def build(base: DataFrame, k: int, sample: int = SAMPLE, share: float | None = None) -> tuple[MultiIndex | None, DataFrame | None, int]:
-    """The index, its entries (shard, cell, ids, vec) and how many shards there are. base: vec_id, embedding."""
+def build(base: DataFrame, k: int, sample: int = SAMPLE, share: float | None = None) -> tuple[MultiIndex | None, DataFrame | None, np.ndarray | None]:
+    """The index, its entries (cell, ids, vec) and how many each cell has. base: vec_id, embedding."""
     base = base.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     usable = base.where("NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(embedding, x -> x <> 0)")
-    rows = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column(0)
-    index = fit([np.array(x) for x in rows.to_pylist()], k)
+    size = usable.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
+    if size is None or not size.dims:
+        return None, None, None
+    rows = usable.where(F.size("embedding") == size.dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column(0).combine_chunks()
+    drawn = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, size.dims)
+    index = fit(drawn, k, min(max(8, math.ceil(math.sqrt(size.n / CELL_ROWS))), max(8, sample // CENTROID_ROWS)))
     if index is None:
-        return None, None, 0
+        return None, None, None
     if share is not None:
         index.share = share
     most = k + 1
-    shards = max(1, -(-usable.count() // SHARD_ROWS), int(base.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,8 +193,26 @@ def build(base: DataFrame, k: int, sample: int = SAMPLE, share: float | None = N
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in once], pa.binary())], names=["cell", "ids", "vec"])
 
     entries = base.mapInArrow(enter, "cell int, ids array<bigint>, vec binary")
-    entries = entries.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int"))
-    return index, persisted(entries, "entries"), shards
+    entries = persisted(entries, "entries")
+    counts = np.zeros(len(index.books[0]) * len(index.books[1]), np.int64)
+    for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # one row a cell
+        counts[r.cell] = r.n
+    return index, entries, counts
+
+
+def dealt(counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shard of each cell and over how many the cell is split: cells in order, about `rows` entries a shard."""
+    split = np.maximum(1, -(-counts // rows))
+    first = np.zeros(len(counts), np.int64)
+    shard = held = 0
+    for c, (n, s) in enumerate(zip(counts.tolist(), split.tolist(), strict=True)):
+        if held and (held + n > rows or s > 1):
+            shard, held = shard + 1, 0
+        first[c] = shard
+        held += n
+        if s > 1:
+            shard, held = shard + s, 0
+    return first, split
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE, share: float | None = None) -> DataFrame:
@@ -199,12 +220,15 @@ def search(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE
     those whose vec_id is its query_id."""
     spark = base.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    index, entries, shards = build(base, k, sample, share)
+    index, entries, counts = build(base, k, sample, share)
     if index is None:
         return spark.createDataFrame([], schema)
-    counts = np.zeros(len(index.books[0]) * len(index.books[1]), np.int64)
-    for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # one row a cell
-        counts[r.cell] = r.n
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    first, split = dealt(counts, max(1, min(SHARD_ROWS, -(-int(counts.sum()) // parts))))
+    last = first + split - 1
+    # Shards of whole cells: where each begins and ends.
+    lo = np.searchsorted(last, np.arange(int(last[-1]) + 1))
+    hi = np.searchsorted(first, np.arange(int(last[-1]) + 1), "right")
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("query_id IS NOT NULL AND embedding IS NOT NULL")
     asked = asked.groupBy("query_id").agg(F.min("embedding").alias("embedding"))
 
@@ -212,20 +236,34 @@ def search(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE
         for batch in batches:
             at, v = vectors(batch.column(1), index.dims)
             if len(at):
-                bits = index.walk(v, counts)
-                ids = batch.column(0).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([x.tobytes() for x in v], pa.binary())], names=["query_id", "bits", "vec"])
+                met = np.unpackbits(index.walk(v, counts), axis=1)[:, : len(counts)].astype(bool) & (counts > 0)
+                ids = batch.column(0).take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64)
+                for q, x, bits in zip(ids, v, met, strict=True):
+                    cells = np.flatnonzero(bits)
+                    edge = np.zeros(len(lo) + 1, np.int64)
+                    np.add.at(edge, first[cells], 1)
+                    np.add.at(edge, last[cells] + 1, -1)
+                    shard = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                    here = [np.packbits(bits[lo[s] : hi[s]]).tobytes() for s in shard]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shard), q)), pa.array(shard, pa.int32()), pa.array(here, pa.binary()), pa.array([x.tobytes()] * len(shard), pa.binary())], names=["query_id", "shard", "bits", "vec"])
+
+    sent = persisted(asked.mapInArrow(plan, "query_id bigint, shard int, bits binary, vec binary"), "queries")
+    blocks = sent.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    sent = sent.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, salt = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            shard = first[cell] + salt % split[cell]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(cell - lo[shard], pa.int32()), *batch.columns[1:3]], names=["shard", "at", "ids", "vec"])
 
-    planned = persisted(asked.mapInArrow(plan, "query_id bigint, bits binary, vec binary"), "queries")
-    blocks = max(1, -(-planned.count() // QUERY_BLOCK))
-    planned = planned.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    sent = planned.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    kept = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    kept = entries.select("cell", "ids", "vec", F.pmod(F.xxhash64("vec"), F.lit(1 << 30)).alias("salt")).mapInArrow(placed, "shard int, at int, ids array<bigint>, vec binary")
+    kept = kept.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
         out = []
         if asked.num_rows and held.num_rows:
-            cell = held.column("cell").to_numpy()
+            cell = held.column("at").to_numpy()
             v = np.frombuffer(b"".join(held.column("vec").to_pylist()), np.float64).reshape(-1, index.dims)
             u = unit(v)
             ids = held.column("ids").to_pylist()

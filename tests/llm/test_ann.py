@@ -54,7 +54,7 @@ def test_recall(spark):
 def test_the_heap_goes_by_summed_distance():
     rng = np.random.default_rng(1)
     v = rng.normal(size=(500, 8))
-    index = ann.fit(list(v), 5, centroids=6)
+    index = ann.fit(v, 5, centroids=6)
     index.share = 0.3
     counts = np.bincount(index.cells(v), minlength=36)
     bits = np.unpackbits(index.walk(v[:20], counts), axis=1)[:, :36]
@@ -71,3 +71,17 @@ def test_small_tables(spark):
     assert run(frame(spark, [(0, [1.0, 2.0])])) == []
     rows = run(frame(spark, [(0, [1.0, 0.0]), (7, [1.0, 1.0]), (3, [2.0, 2.0])]))
     assert [(r.rank, r.vec_id) for r in rows] == [(1, 3), (2, 7)]
+
+
+def test_cells_are_dealt_over_shards():
+    counts = np.array([3, 0, 5, 40, 0, 2, 9, 1])
+    first, split = ann.dealt(counts, 10)
+    assert first.tolist() == [0, 0, 0, 1, 5, 5, 6, 6] and split.tolist() == [1, 1, 1, 4, 1, 1, 1, 1]
+
+
+def test_many_shards_and_blocks_give_the_exact_result(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 70)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 9)
+    rows = corpus(800)
+    got = {(r.query_id, r.vec_id) for r in run(frame(spark, rows), share=1.0)}
+    assert got == {(q, j) for q, best in brute(rows, 5).items() for _, j in best}
