@@ -123,6 +123,20 @@ def send_keys(src: int, keys: list[np.ndarray], docs: list[np.ndarray], parts: i
     return scatter(src, (k[start] << U64(1)) | many.astype(U64), (), parts)
 
 
+def least_by_key(k: np.ndarray, s: np.ndarray, d: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
+    """Distinct (k, s) with the least d and whether there are several d."""
+    if not len(k):
+        return [k, s, d, m]
+    order = np.lexsort((d, s, k))
+    k, s, d, m = k[order], s[order], d[order], m[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(k)) - 1
+    many = np.maximum.reduceat(m, start) | (d[start] != d[stop])
+    return [k[start], s[start], d[start], many]
+
+
 class Anchors:
     """The three steps on one bucket of documents."""
 
@@ -174,24 +188,10 @@ class Anchors:
             w = Words(data, offsets)
             at, k, s = self._candidates(w, found)
             d = ids[np.searchsorted(w.first, at, "right") - 1]
-            parts.append(self._least(k[d != NO_DOC], s[d != NO_DOC], d[d != NO_DOC], np.zeros((d != NO_DOC).sum(), np.int64)))
-        k, s, d, m = self._least(*concat(parts, 4))
+            parts.append(least_by_key(k[d != NO_DOC], s[d != NO_DOC], d[d != NO_DOC], np.zeros((d != NO_DOC).sum(), np.int64)))
+        k, s, d, m = least_by_key(*concat(parts, 4))
         return scatter(src, k, (s, d, m), self.parts)
 
-    @staticmethod
-    def _least(k: np.ndarray, s: np.ndarray, d: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
-        """Distinct (k, s) with the least d and whether there are several d."""
-        if not len(k):
-            return [k, s, d, m]
-        order = np.lexsort((d, s, k))
-        k, s, d, m = k[order], s[order], d[order], m[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        start = np.flatnonzero(new)
-        stop = np.append(start[1:], len(k)) - 1
-        many = np.maximum.reduceat(m, start) | (d[start] != d[stop])
-        return [k[start], s[start], d[start], many]
-
     def finish(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         if not docs.num_rows:

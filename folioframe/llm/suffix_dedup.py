@@ -14,7 +14,12 @@ A byte is removed if a `width`-byte string covers it that also starts in a docum
 
 The suffix array is so distributed by gram: one array over all bytes of the corpus would have to move 8 bytes or more
 for each byte of text, several times. A bucket sends a gram or stretch once, so copies and common passages meet as
-one entry a bucket; stretches of one gram that differ all go to its reducer, BATCH_BYTES at a time by gram.
+one entry a bucket.
+
+Hot grams: near the ends of a passage that very many documents share, each has a stretch of its own around the same
+gram. Buckets count the differing stretches of such grams in step 1. A gram with more than HOT_STRETCHES in all is
+split: each of its strings goes to a reducer by its own 128-bit hash, with the least doc_id, instead of in a stretch.
+Equal strings still meet, and no reducer takes more than HOT_STRETCHES of a gram, and a few from each bucket.
 
 Cases: null or empty text has no bytes; matches never cross documents; a null doc_id neither removes nor is removed
 from; documents of one doc_id do not remove from each other; extra columns are ignored; an empty table gives an empty
@@ -27,13 +32,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-from folioframe.llm.blocks import ARROW_BLOCKS, BLOCKS, gather, pack, pack_keys, rows, unpack, unpack_keys
+from folioframe.llm.blocks import ARROW_BLOCKS, BLOCKS, concat, gather, pack, pack_keys, rows, scatter, unpack, unpack_keys
 from folioframe.llm.kernels import byte_grams, expand, lookup, mix, range_hashes, runs_cover
 from folioframe.llm.runtime import bucketed, parts_for
-from folioframe.llm.substring import NO_DOC, bucket_texts, pair_place, send_keys, shared_keys
+from folioframe.llm.substring import NO_DOC, bucket_texts, least_by_key, least_doc, pair_place, send_keys, shared_keys
 from folioframe.llm.suffix import prefix_classes
 
 U64 = np.uint64
@@ -42,6 +48,23 @@ GRAM = 20
 PLACE_BITS = 31
 BATCH_BYTES = 1 << 20
 SEPARATOR = 256
+#: Differing stretches of a gram from which on its strings are spread over the reducers one by one.
+HOT_STRETCHES = 8192
+#: Kinds of blocks: grams or stretches, counts or lists of hot grams, strings of hot grams.
+PLAIN, HOT, STRING = 0, 1, 2
+
+
+def of_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pc.equal(table.column("kind"), kind))
+
+
+def as_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.set_column(2, ARROW_BLOCKS.field("kind"), pa.array(np.full(table.num_rows, kind, np.int32)))
+
+
+def key_list(table: pa.Table) -> np.ndarray:
+    """All keys of the blocks, ascending."""
+    return np.sort(np.concatenate([x[0] for _, _, x in gather(table)] + [np.zeros(0, U64)]))
 
 
 def picks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,28 +97,73 @@ def picks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray
 class Stretches:
     """The steps on one bucket of documents and on one range of grams."""
 
-    def __init__(self, width: int, parts: int, texts: bool = False):
-        self.width, self.parts, self.texts = width, parts, texts
+    def __init__(self, width: int, parts: int, texts: bool = False, hot: int = HOT_STRETCHES):
+        self.width, self.parts, self.texts, self.hot = width, parts, texts, hot
+        #: A bucket does not report grams with fewer further stretches than this.
+        self.few = 1 + hot // 1000
 
     def send_grams(self, table: pa.Table) -> pa.Table:
-        keys, docs = [], []
+        src = table.column("src")[0].as_py()
+        keys, docs, runs = [], [], []
         for _, _, ids, data, offsets in bucket_texts(table):
-            text, _, _, g = picks(data, offsets, self.width)
+            text, at, count, g = picks(data, offsets, self.width)
             keys.append(g >> U64(1))
             docs.append(ids[text])
-        return send_keys(table.column("src")[0].as_py(), keys, docs, self.parts)
+            runs.append((data, at, at + count + self.width - 1))
+        blocks = send_keys(src, keys, docs, self.parts)
+        k, further = self._further(keys, runs)
+        return pa.concat_tables([blocks, scatter(src, k << U64(1), (further,), self.parts, HOT)]) if len(k) else blocks
+
+    def _further(self, keys: list[np.ndarray], runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Grams of a bucket that have `few` or more differing stretches beyond the first, ascending, and how many."""
+        k, n = np.unique(np.concatenate(keys), return_counts=True)
+        often = k[n > self.few] << U64(1)
+        ks, hs = [], []
+        for key, (data, at, end) in zip(keys, runs, strict=True):
+            hit = np.flatnonzero(lookup(key << U64(1), often) >= 0)
+            ks.append(key[hit])
+            hs.append(range_hashes(data, at[hit], end[hit]))
+        k, h = np.concatenate(ks), np.concatenate(hs)
+        order = np.lexsort((h, k))
+        k, h = k[order], h[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+        k, n = np.unique(k[new], return_counts=True)
+        return k[n > self.few], n[n > self.few] - 1
+
+    def shared_grams(self, table: pa.Table) -> pa.Table:
+        """Reducer of step 1: the grams that two documents hold, for each bucket that sent them, and the hot ones."""
+        found = shared_keys(of_kind(table, PLAIN))
+        k, further = concat([x for _, _, x in gather(of_kind(table, HOT))], 2)
+        k, at = np.unique(k, return_inverse=True)
+        hot = k[np.bincount(at, weights=further, minlength=len(k)) > self.hot] >> U64(1)
+        if not len(hot):
+            return found
+        n, load = found.num_rows, pack_keys(hot)
+        return pa.concat_tables([found, rows(found.column("dst").to_numpy(), found.column("src").to_numpy(), [HOT] * n, [load] * n)])
+
+    def _strings(self, data: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The strings of runs one by one: the run, the place, and the two halves of the hash."""
+        run, at = np.repeat(np.arange(len(at)), count), expand(at, count)
+        return run, at, range_hashes(data, at, at + self.width), range_hashes(data, at, at + self.width, 1).view(np.int64)
 
     def send_stretches(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows or not replies.num_rows:
             return ARROW_BLOCKS.empty_table()
         src = docs.column("src")[0].as_py()
-        found = np.sort(np.concatenate([x[0] for _, _, x in gather(replies)]))
+        found, hot = key_list(of_kind(replies, PLAIN)), key_list(of_kind(replies, HOT))
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
-        blobs, base = [], 0
+        blobs, strings = [], []
         for _, _, ids, data, offsets in bucket_texts(docs):
             text, at, count, g = picks(data, offsets, self.width)
             k = np.flatnonzero((lookup((g >> U64(1)) << U64(1), found << U64(1)) >= 0) & (ids[text] != NO_DOC))
-            text, at, size, g = text[k], at[k], count[k] + self.width - 1, g[k]
+            text, at, count, g = text[k], at[k], count[k], g[k]
+            if len(hot):
+                split = lookup((g >> U64(1)) << U64(1), hot << U64(1)) >= 0
+                run, _, one, two = self._strings(data, at[split], count[split])
+                strings.append(least_by_key(one, two, ids[text[split]][run], np.zeros(len(run), np.int64)))
+                text, at, count, g = text[~split], at[~split], count[~split], g[~split]
+            size = count + self.width - 1
             h = range_hashes(data, at, at + size)
             # Distinct within the slice, of the least doc_id, which comes first.
             order = np.lexsort((ids[text], h, g))
@@ -130,11 +198,21 @@ class Stretches:
             p = slice(cut[d], cut[d + 1])
             head = pack_keys(g[p], h[p], doc[p], many[p], size[p])
             load.append(len(head).to_bytes(8, "little") + head + squeeze.compress(blob[expand(offset[p], size[p])].tobytes()))
-        return rows(dst, [src] * len(dst), [0] * len(dst), load)
+        out = [rows(dst, [src] * len(dst), [PLAIN] * len(dst), load)]
+        if len(hot):
+            k, s, d, m = least_by_key(*concat(strings, 4))
+            # The bucket needs its list of hot grams again at the end; a reducer sends it back as it is.
+            out += [scatter(src, k, (s, d, m), self.parts, STRING), rows([src % self.parts], [src], [HOT], [pack_keys(hot)])]
+        return pa.concat_tables(out)
 
     def classify(self, table: pa.Table) -> pa.Table:
-        """Reducer: for each bucket and stretch that it sent, the least doc_id of each of its strings, NO_DOC where one
-        document alone holds it."""
+        """Reducer: answers to stretches, and to strings of hot grams that several documents hold; hot lists as sent."""
+        strings = as_kind(least_doc(of_kind(table, STRING)), STRING)
+        return pa.concat_tables([self._stretches(of_kind(table, PLAIN)), strings, of_kind(table, HOT).cast(ARROW_BLOCKS)])
+
+    def _stretches(self, table: pa.Table) -> pa.Table:
+        """For each bucket and stretch that it sent, the least doc_id of each of its strings, NO_DOC where one document
+        alone holds it."""
         d = table.to_pydict()
         blocks = []
         for i in sorted(range(table.num_rows), key=lambda i: d["src"][i]):
@@ -216,7 +294,7 @@ class Stretches:
         if not docs.num_rows:
             return schema.empty_table()
         heads, values = [], []
-        for raw in replies.column("payload").to_pylist():
+        for raw in of_kind(replies, PLAIN).column("payload").to_pylist():
             n = int.from_bytes(raw[:8], "little")
             heads.append(unpack_keys(raw[8 : 8 + n]))
             values.append(np.cumsum(unpack(raw[8 + n :])[0]))
@@ -226,11 +304,21 @@ class Stretches:
             first = np.cumsum(windows) - windows
             order = np.lexsort((h, g))
             g, h, first = g[order], h[order], first[order]
+        hot = key_list(of_kind(replies, HOT))
+        one, two, lowest = concat([x for _, _, x in gather(of_kind(replies, STRING))], 3)
+        order = np.lexsort((two, one))
+        one, two, lowest = one[order], two[order], lowest[order]
         out = []
         for _, _, ids, data, offsets in bucket_texts(docs):
             flag = np.zeros(len(data), bool)
-            if heads and len(g):
+            if len(one) or (heads and len(g)):
                 text, at, count, key = picks(data, offsets, self.width)
+            if len(one):
+                split = np.flatnonzero((lookup((key >> U64(1)) << U64(1), hot << U64(1)) >= 0) & (ids[text] != NO_DOC))
+                run, place, a, b = self._strings(data, at[split], count[split])
+                p = pair_place(a, b, one, two)
+                flag[place[(p >= 0) & (lowest[p] < ids[text[split]][run])]] = True
+            if heads and len(g):
                 k = np.flatnonzero(lookup(key, g) >= 0)
                 text, at, count, key = text[k], at[k], count[k], key[k]
                 hash_ = range_hashes(data, at, at + count + self.width - 1).view(np.int64)
@@ -257,15 +345,15 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 RESULT_TEXT = RESULT.append(pa.field("kept", pa.binary()))
 
 
-def dedup_bytes(docs: DataFrame, width: int = 50, with_text: bool = False) -> DataFrame:
+def dedup_bytes(docs: DataFrame, width: int = 50, with_text: bool = False, hot: int = HOT_STRETCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document, and the kept bytes if asked for."""
     if width <= GRAM:
         raise ValueError(f"a string takes more than {GRAM} bytes")
     parts = parts_for(docs)
-    step = Stretches(width, parts, with_text)
+    step = Stretches(width, parts, with_text, hot)
     dealt = bucketed(docs.selectExpr("doc_id", "text"), "doc_id", "text", parts)
     grams = dealt.groupBy("src").applyInArrow(lambda t: step.send_grams(t), BLOCKS)
-    shared = grams.groupBy("dst").applyInArrow(shared_keys, BLOCKS)
+    shared = grams.groupBy("dst").applyInArrow(lambda t: step.shared_grams(t), BLOCKS)
     stretches = dealt.groupBy("src").cogroup(shared.groupBy("src")).applyInArrow(lambda t, r: step.send_stretches(t, r), BLOCKS)
     least = stretches.groupBy("dst").applyInArrow(lambda t: step.classify(t), BLOCKS)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_text else "")

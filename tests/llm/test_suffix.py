@@ -2,8 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from folioframe.llm import suffix, suffix_dedup
+from folioframe.llm.blocks import unpack_keys
 
 
 def test_suffix_array_matches_sorting():
@@ -77,4 +80,31 @@ def test_matches_brute_force(spark):
         df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id bigint, text string, dst int")
         got = sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in suffix_dedup.dedup_bytes(df, width, with_text=True).collect()), key=str)
         assert got == brute(rows, width)
+        # The same with every gram of differing stretches split.
+        got = sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in suffix_dedup.dedup_bytes(df, width, with_text=True, hot=0).collect()), key=str)
+        assert got == brute(rows, width)
     assert suffix_dedup.dedup_bytes(df.limit(0)).count() == 0
+
+
+def test_hot_gram_is_split():
+    rng = np.random.default_rng(3)
+    passage = bytes(rng.integers(97, 123, 120).astype(np.uint8)).decode()
+    made = [(d, "".join(map(chr, rng.integers(97, 123, 60))) + passage + "".join(map(chr, rng.integers(97, 123, 60)))) for d in range(600)]
+    made += [(d + 600, t[:90]) for d, t in made[:5]]
+    step = suffix_dedup.Stretches(50, 4, texts=True, hot=100)
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("src", pa.int32())])
+    dealt = [pa.Table.from_pylist([{"doc_id": d, "text": t, "src": s} for d, t in made if d % 8 == s], schema) for s in range(8)]
+
+    def by(tables, column, n):
+        whole = pa.concat_tables(tables)
+        return [whole.filter(pc.equal(whole.column(column), i)) for i in range(n)]
+
+    shared = by([step.shared_grams(t) for t in by([step.send_grams(t) for t in dealt], "dst", 4)], "src", 8)
+    sent = [step.send_stretches(t, r) for t, r in zip(dealt, shared)]
+    assert all(suffix_dedup.of_kind(t, suffix_dedup.STRING).num_rows == 4 for t in sent)
+    least = by([step.classify(t) for t in by(sent, "dst", 4)], "src", 8)
+    got = pa.concat_tables([step.finish(t, r) for t, r in zip(dealt, least)]).to_pylist()
+    assert sorted((tuple(r.values()) for r in got), key=str) == brute(made, 50)
+    # No reducer holds the differing stretches of a split gram.
+    entries = sum(len(unpack_keys(p[8 : 8 + int.from_bytes(p[:8], "little")])[0]) for t in sent for p in suffix_dedup.of_kind(t, 0).column("payload").to_pylist())
+    assert entries < 600
