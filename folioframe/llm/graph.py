@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.runtime import persisted
+from folioframe.llm.runtime import in_files, persisted
 
 MAX_ROUNDS = 100
 
@@ -30,16 +30,18 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links -> (node, component), the least node of its component, for every node of a link but the roots'
     own links. Nulls are ignored; an empty input gives an empty result. Rounds grow with the logarithm of the longest
-    path; a hub's links are split among tasks by adaptive skew joins, and counts are combined before they move."""
+    path; a hub's links are split among tasks by adaptive skew joins, and counts are combined before they move. No round
+    has more links than the one before, so its count tells how many files it takes."""
     now = persisted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _mark(now)
     for _ in range(MAX_ROUNDS):
         if mark[0] == 0:
             break
-        now = persisted(_small(_large(now).distinct()).distinct(), "stars")
+        now = persisted(in_files(_small(_large(now).distinct()).distinct(), mark[0]), "stars")
         last, mark = mark, _mark(now)
         if mark == last:
             break
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    own = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return in_files(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own), 2 * mark[0])

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of stored input that one partition of a packed exchange should take.
 TARGET_BYTES = 12 << 20
+#: Rows of a few numbers that one file of a table between steps should take.
+ROWS_A_FILE = 1 << 18
 #: Estimates from here on mean that Catalyst does not know.
 UNKNOWN_BYTES = 1 << 60
 
@@ -36,6 +38,12 @@ def persisted(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """`df` of at most `rows` narrow rows in no more partitions than they need, so that rounds over small tables do not
+    write a file for each shuffle partition."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the plan; for scans, the size of the files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
