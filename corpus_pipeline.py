@@ -28,10 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group, and those without words or doc_id."""
-    groups = jaccard.join(docs, k=SHINGLE_WORDS, num=SIMILARITY_PERCENT, den=100)
-    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group, that of smallest doc_id, and those without words; see jaccard.first_of_groups."""
+    return jaccard.first_of_groups(docs.select(*COLUMNS), k=SHINGLE_WORDS, num=SIMILARITY_PERCENT, den=100)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,8 @@ COUNT_MASK = U64(0xFFFFFFFFFF000000)
 #: Bytes of sets (8 a shingle and SET_BYTES a set) that one side of a verifying task takes.
 BLOCK_BYTES = 8 << 20
 SET_BYTES = 256
+#: A character of a word.
+WORD = r"[^\x20\x09-\x0D]"
 #: Rows about large components that are broadcast.
 TOLD_ROWS = 100_000
 #: Classes of shingles, by hash, in which the suffix filter counts and pairs are verified.
@@ -480,3 +482,46 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     rest = sets.where("n = 0 OR docs[0] IS NULL").select(F.explode("docs").alias("doc_id"), F.col("n").alias("n_shingles"))
     rest = rest.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("forest_links"))
     return result.unionByName(rest)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id and text that has words: `_row`, and `_at`, numbers in order of doc_id (null last)."""
+    name = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"), 256)
+    one = docs.where(F.col("text").rlike(WORD)).groupBy(name.alias("_name")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return persisted(one.orderBy(F.asc_nulls_last("_row.doc_id"), "_name").select("_row", F.monotonically_increasing_id().alias("_at")), "numbered")
+
+
+def room(plain: DataFrame, one: DataFrame) -> int | None:
+    """What to add to the numbers of `one` so that they come after all doc_ids of `plain`; None where that is too much."""
+    high = plain.agg(F.max("doc_id")).first()[0]
+    most = one.agg(F.max("_at")).first()[0] or 0
+    if high is None:
+        return 0
+    return max(high, -1) + 1 if high + 1 + most < NO_DOC else None
+
+
+def first_of_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """`docs` with one row of each component of the join, its least doc_id.
+
+    Rows without words belong to no group; all of them stay. Rows whose doc_id is null or repeated are documents by
+    doc_id and text: equal ones are one (of different other columns the least stays), others are compared each on its
+    own. They come after all rows of other doc_ids, so of a group with both a row of a doc_id of its own stays; where
+    doc_ids reach so far up that there are no numbers above them, all rows come in order of doc_id, null last. Columns
+    of `docs` must be of types with an order; extra ones are kept."""
+    again = persisted(docs.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("doc_id IS NULL OR _rows > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        gone = join(docs, k, num, den).where("component_id <> doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    known = docs.where("doc_id IS NOT NULL")
+    plain = known.join(again, "doc_id", "left_anti").select(*docs.columns)
+    odd = docs.where("doc_id IS NULL").unionByName(known.join(again, "doc_id", "left_semi"))
+    one = numbered(odd)
+    start = room(plain, one)
+    if start is None:
+        plain, odd, one, start = docs.where(F.lit(False)), docs, numbered(docs), 0
+    one = one.select((F.col("_at") + F.lit(start)).alias("_at"), "_row")
+    both = plain.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").unionByName(one.select(F.col("_at").alias("doc_id"), "_row.text"))
+    gone = persisted(join(both, k, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")), "gone")
+    kept = plain.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    first = one.join(gone, F.col("_at") == F.col("_gone"), "left_anti").select("_row.*")
+    return kept.unionByName(first).unionByName(odd.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))

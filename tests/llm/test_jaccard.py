@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from folioframe.llm import jaccard
 from folioframe.llm.graph import components
@@ -99,3 +100,20 @@ def test_many_near_copies_link(spark):
         rows.append((d, " ".join(w)))
     got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.component_id for r in got} == {0} and len(got) == 300
+
+
+@pytest.mark.parametrize("least, most", [(1, 9), (1, 2**63 - 1)])
+def test_one_row_of_each_group(spark, least, most):
+    """Repeated and null doc_ids; their numbers go above the doc_ids, or all rows are numbered."""
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef")
+    near = a.replace("a39", "other")
+    rows = [(least, a), (2, near), (7, a), (7, b), (8, c), (8, c), (None, a), (None, d), (None, d), (4, f), (5, f), (6, e), (6, e + " more"), (most, " "), (3, ""), (3, ""), (None, None), (None, None)]
+    df = spark.createDataFrame([(x, t, "n") for x, t in rows], "doc_id bigint, text string, component_id string")
+    got = jaccard.first_of_groups(df, 4, 80, 100)
+    assert got.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    sixes = [r for r in got if r[0] == 6]
+    assert len(sixes) == 1
+    want = [(least, a), (7, b), (8, c), (None, d), (4, f), (most, " "), (3, ""), (3, ""), (None, None), (None, None)]
+    assert got == sorted(want + sixes, key=str)
+    assert jaccard.first_of_groups(df.limit(0)).collect() == []
