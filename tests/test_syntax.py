@@ -29,7 +29,7 @@ def test_table_rows_of_other_forms():
 
 
 def test_reading_and_writing_are_quick():
-    """Building and loading a file took about 20 such loops a 50 files before tokens were matched, and takes about 5."""
+    """Building and loading a file took about 15 such loops for 50 files before tokens were matched, and takes about 5."""
     specs = [filecat.customer_file(k, f"Customer#{k:09d}", k % 25, 100.0 * k, "AUTOMOBILE") for k in range(50)]
     loop = min(_seconds(lambda: sum(i * i for i in range(200_000))) for _ in range(3))
     took = min(_seconds(lambda: [load(builder.Builder(s).build()) for s in specs]) for _ in range(3))
