@@ -125,11 +125,13 @@ def explode_ranges(ranges: DataFrame, start: str, end: str, name: str) -> DataFr
     return ranges.withColumn(name, F.explode(F.sequence(start, end)))
 
 
-def best_match(left: DataFrame, right: DataFrame, on: Column, left_key: str, score: Column, order: list[str], pick: list[str]) -> DataFrame:
-    """For each left row the right row of highest score, ties by `order`; rows without a match are left out."""
-    rank = F.struct((-score).alias("s"), *[right[c].alias(f"o{i}") for i, c in enumerate(order)])
-    joined = left.join(right, on).select(left[left_key], rank.alias("r"), F.struct(*[right[c].alias(c) for c in pick]).alias("m"), score.alias("score"))
-    best = joined.groupBy(left_key).agg(F.min_by(F.struct("m", "score"), "r").alias("b"))
+def best_match(left: DataFrame, right: DataFrame, left_on: Column, right_on: Column, left_key: str, score: Column, order: list[str], pick: list[str]) -> DataFrame:
+    """For each left row the right row of highest score among those of its join value, ties by `order`; rows without a
+    match are left out. The score is of right columns, so that each join value keeps its best row before the join."""
+    rank = F.struct((-score).alias("s"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    best = right.groupBy(right_on.alias("__on")).agg(F.min_by(F.struct(rank.alias("r"), F.struct(*pick).alias("m"), score.alias("score")), rank).alias("b"))
+    joined = left.select(left_key, left_on.alias("__on")).join(best, "__on")
+    best = joined.groupBy(left_key).agg(F.min_by("b", "b.r").alias("b"))
     return best.select(left_key, *[F.col("b")["m"][c].alias(c) for c in pick], F.col("b")["score"].alias("score"))
 
 

@@ -164,7 +164,7 @@ def range_explode(t):
 def best_face(t):
     s, p = t.supplier.select("s_suppkey"), t.part
     score = (F.col("p_size") + F.when(F.col("p_brand").like("%1"), 7).otherwise(0)).cast("int")
-    return rel.best_match(s, p, F.col("s_suppkey") % 25 == F.col("p_partkey") % 25, "s_suppkey", score, ["p_name", "p_partkey"], ["p_partkey", "p_name"])
+    return rel.best_match(s, p, F.col("s_suppkey") % 25, F.col("p_partkey") % 25, "s_suppkey", score, ["p_name", "p_partkey"], ["p_partkey", "p_name"])
 
 
 @query("SELECT doc_id FROM documents WHERE n_chars > 3000 UNION SELECT doc_id FROM labels WHERE quality = 1")
