@@ -111,13 +111,13 @@ def file_cross_references(t):
   {{'type': 'StructElem', 'n': np + 9 + (nk BETWEEN 16 AND 20)::INT - (nk = 23)::INT - (nk = 22)::INT}}, {{'type': 'Filespec', 'n': (bal > 8000)::INT}}]) AS x FROM c)
   SELECT k, x.type AS type, x.n::BIGINT AS n FROM n WHERE x.n > 0""")
 def file_objects_by_type(t):
-    o = relations(t).obj.where(F.col("type").isin("Page", "Font", "Annot", "OCG", "Action", "StructElem", "Filespec"))
+    o = relations(t).of(obj=("doc_id", "type")).obj.where(F.col("type").isin("Page", "Font", "Annot", "OCG", "Action", "StructElem", "Filespec"))
     return _k(o.groupBy("doc_id", "type").agg(F.count("*").alias("n")))
 
 
 @query(f"WITH {_C} SELECT k, x.path AS path, x.type AS type FROM (SELECT k, unnest([{{'path': '/Pages', 'type': 'Pages'}}, {{'path': '/Metadata', 'type': 'Metadata'}}, {{'path': '/StructTreeRoot', 'type': 'StructTreeRoot'}}, {{'path': '/Outlines', 'type': 'Outlines'}}]) AS x FROM c) z")
 def file_references(t):
-    r = relations(t).together(["obj", "ref_edge"])
+    r = relations(t)
     return _k(r.referenced().where("src = 1").where(F.col("path").isin("/Pages", "/Metadata", "/StructTreeRoot", "/Outlines")).select("doc_id", "path", "type"))
 
 
@@ -182,7 +182,7 @@ def file_role_maps(t):
   SELECT k, 'ABCDEF+Sans' AS base_font, 'ABCDEF' AS subset_tag, seg <> 'HOUSEHOLD' AS is_embedded, nk % 2 = 0 AS has_to_unicode, array_to_string(codes, ',') AS used_codes, array_to_string(range(0, np), ',') AS pages_used_on FROM c JOIN u USING (k)
   UNION ALL SELECT k, 'Serif', NULL, false, false, '', '' FROM c WHERE nk = 16""")
 def file_font_inventory(t):
-    r = relations(t).together(["font", "font_use"])
+    r = relations(t)
     return _k(r.font_inventory().select("doc_id", "base_font", "subset_tag", "is_embedded", "has_to_unicode", F.array_join("used_codes", ",").alias("used_codes"), F.array_join("pages_used_on", ",").alias("pages_used_on")))
 
 
@@ -210,7 +210,7 @@ def file_metadata(t):
 
 @query(f"WITH {_C}, {_PAGES} SELECT k, i AS page_idx, CASE WHEN i = 0 THEN 'i' ELSE 'A-' || (4 + i) END AS label FROM p")
 def file_page_labels(t):
-    r = relations(t).together(["page", "page_label"])
+    r = relations(t).of(page=("doc_id", "page_idx")).together(["page", "page_label"])
     return _k(corpus.page_labels(r.page.select("doc_id", "page_idx"), r.page_label))
 
 
@@ -260,10 +260,8 @@ def file_content_use(t):
 
 @query(f"WITH {_C} SELECT k, 0::BIGINT AS n_dead FROM c")
 def file_live_objects(t):
-    r = relations(t).together(["obj", "live"])
-    inner = r.obj.where("type IS NULL OR type NOT IN ('ObjStm', 'XRef')")
-    dead = inner.join(r.live_objects(), ["doc_id", "obj_num"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("dead"))
-    return _k(r.obj.select("doc_id").distinct().join(dead, "doc_id", "left").select("doc_id", F.coalesce("dead", F.lit(0).cast("bigint")).alias("n_dead")))
+    dead = F.expr("NOT live AND (type IS NULL OR type NOT IN ('ObjStm', 'XRef'))")
+    return _k(relations(t).object_use.groupBy("doc_id").agg(F.count_if(dead).alias("n_dead")))
 
 
 @query(f"WITH {_C} SELECT k, true AS headings_ok, true AS ends_ok, CASE WHEN packed AND bal <= 5000 THEN 0 WHEN NOT packed AND bal > 5000 THEN 2 ELSE 1 END::BIGINT AS n_tables FROM c")
@@ -326,7 +324,7 @@ def file_extracted(t):
 
 @query(f"WITH {_C}, {_PAGES} SELECT k, i AS page_idx, CASE WHEN i = 1 THEN 180 ELSE 90 END AS rotate FROM p")
 def file_rotated(t):
-    return _k(pdf.Relations(pdf.rotated(customer_files(t), 90)).page.select("doc_id", "page_idx", "rotate"))
+    return _k(pdf.Relations(pdf.rotated(customer_files(t), 90)).of(page=("doc_id", "page_idx", "rotate")).page.select("doc_id", "page_idx", "rotate"))
 
 
 @query(f"WITH {_C}, {_PAGES} SELECT seg, count(*) AS n_pages, md5(string_agg(name || ' page ' || i || chr(10) || seg, chr(10) || chr(10) ORDER BY k, i)) AS text_md5 FROM p GROUP BY seg")
@@ -355,7 +353,7 @@ def file_metadata_written(t):
 
 @query(f"WITH {_C}, {_PAGES} SELECT k, i AS page_idx, 'P-' || CASE i WHEN 0 THEN 'I' WHEN 1 THEN 'II' ELSE 'III' END AS label FROM p")
 def file_relabelled(t):
-    r = pdf.Relations(editing.with_labels(customer_files(t), [(0, "R", "P-", None)])).together(["page", "page_label"])
+    r = pdf.Relations(editing.with_labels(customer_files(t), [(0, "R", "P-", None)])).of(page=("doc_id", "page_idx")).together(["page", "page_label"])
     return _k(corpus.page_labels(r.page.select("doc_id", "page_idx"), r.page_label))
 
 
