@@ -101,10 +101,7 @@ def file_documents(t):
 
 @query(f"WITH {_C} SELECT k, CASE WHEN packed THEN 'packed' ELSE 'used' END AS catalog_kind, CASE WHEN bal > 5000 THEN 1 ELSE 0 END AS sections_before FROM c WHERE nk <> 7 OR packed")
 def file_cross_references(t):
-    r = relations(t)
-    sound = r.doc.where("NOT rebuilt").select("doc_id")
-    x = r.xref.join(sound, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.when(F.col("obj_num") == 1, F.col("kind"))).alias("catalog_kind"), F.max("depth").alias("sections_before"))
-    return _k(x)
+    return _k(relations(t).xref_use.where("NOT rebuilt").select("doc_id", "catalog_kind", F.col("depth").alias("sections_before")))
 
 
 @query(f"""WITH {_C}, n AS (SELECT k, unnest([{{'type': 'Page', 'n': np}}, {{'type': 'Font', 'n': 1 + (nk = 16)::INT}}, {{'type': 'Annot', 'n': 1}}, {{'type': 'OCG', 'n': 1}}, {{'type': 'Action', 'n': 2}},

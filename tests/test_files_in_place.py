@@ -30,3 +30,9 @@ def test_a_kept_object_is_written_under_each_number():
     page = docs[2].objects[docs[2].pages()[0][0]]
     for num in (5, 7, 5):
         assert b"\n%d 0 obj\n<</Type /Page " % num in serialise({num: page}, {})
+
+
+def test_queries_parse_each_file_once_and_join_nothing(spark, name):
+    df = filecat.QUERIES[name](spark, DATA)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "folioframe-" not in plan
