@@ -185,7 +185,7 @@ def file_font_inventory(t):
 
 @query(f"WITH {_C} SELECT k, 95::BIGINT AS n_codes, 32 AS first, 126 AS last, bool_and(true) AS same FROM c WHERE nk % 2 = 0 GROUP BY k")
 def file_code_maps(t):
-    return _k(relations(t).code_map.groupBy("doc_id").agg(F.count("*").alias("n_codes"), F.min("code").alias("first"), F.max("code").alias("last"), F.bool_and(F.char("code") == F.col("text")).alias("same")))
+    return _k(relations(t).code_map_use.groupBy("doc_id").agg(F.sum("n_codes").alias("n_codes"), F.min("first").alias("first"), F.max("last").alias("last"), F.bool_and("same").alias("same")))
 
 
 @query(f"WITH {_C} SELECT k, name || '.txt' AS name, 'text/plain' AS mime, 'Data' AS relationship, md5(seg) AS content_md5 FROM c WHERE bal > 8000")
