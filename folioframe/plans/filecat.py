@@ -229,9 +229,7 @@ def file_form_fields(t):
 
 @query(f"WITH {_C} SELECT k, seg AS name, bal >= 0 AS visible, bal >= 0 AS annot_visible FROM c")
 def file_layers(t):
-    r = relations(t).together(["layer", "layered"])
-    held = r.layered.where("kind = 'annot'").select("doc_id", F.col("visible").alias("annot_visible"))
-    return _k(r.layer.select("doc_id", "name", "visible").join(held, "doc_id"))
+    return _k(relations(t).layer_use.select("doc_id", "name", "visible", F.explode("annots").alias("annot_visible")))
 
 
 @query(f"""WITH {_C} SELECT k, 'open' AS origin, 0 AS depth, 'GoTo' AS s, NULL AS n FROM c UNION ALL SELECT k, 'open', 1, 'Named', CASE WHEN nk = 1 THEN 'Print' ELSE 'NextPage' END FROM c
