@@ -359,9 +359,7 @@ def file_reversed(t):
 
 @query(f"WITH {_C} SELECT k, 0::BIGINT AS n_fields FROM c")
 def file_flattened(t):
-    r = pdf.Relations(editing.flattened(customer_files(t))).together(["doc", "form_field"])
-    left = r.form_field.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return _k(r.doc.select("doc_id").join(left, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_fields")))
+    return _k(pdf.Relations(editing.flattened(customer_files(t))).form_use)
 
 
 @query(f"WITH {_C}, {_PAGES} SELECT k, md5(string_agg(name || ' page ' || i || chr(10) || seg, chr(10) || chr(10) ORDER BY i)) AS text_md5, true AS not_larger FROM p GROUP BY k")
