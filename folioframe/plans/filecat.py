@@ -95,8 +95,8 @@ def _k(df: DataFrame) -> DataFrame:
 @query(f"""WITH {_C} SELECT k, '1.' || (4 + nk % 4) AS version, nk = 7 AND NOT packed AS rebuilt, np AS n_pages, CASE WHEN nk = 3 THEN 4 ELSE 0 END AS tail,
   CASE WHEN bal > 5000 THEN 'Revised ' ELSE '' END || name AS title, nk <> 11 AS has_lang FROM c""")
 def file_documents(t):
-    d = relations(t).doc
-    return _k(d).select("k", "version", "rebuilt", "n_pages", F.greatest(F.col("bytes_after_eof") - 1, F.lit(0)).alias("tail"), F.substr(rules.val("info", "$.Title"), F.lit(3)).alias("title"), rules.has("catalog", "$.Lang").alias("has_lang"))
+    d = relations(t).of(doc=("doc_id", "version", "rebuilt", "n_pages", "bytes_after_eof", "title", "has_lang")).doc
+    return _k(d).select("k", "version", "rebuilt", "n_pages", F.greatest(F.col("bytes_after_eof") - 1, F.lit(0)).alias("tail"), "title", "has_lang")
 
 
 @query(f"WITH {_C} SELECT k, CASE WHEN packed THEN 'packed' ELSE 'used' END AS catalog_kind, CASE WHEN bal > 5000 THEN 1 ELSE 0 END AS sections_before FROM c WHERE nk <> 7 OR packed")

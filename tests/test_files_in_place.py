@@ -36,3 +36,20 @@ def test_queries_parse_each_file_once_and_join_nothing(spark, name):
     df = filecat.QUERIES[name](spark, DATA)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Join" not in plan and "folioframe-" not in plan
+
+
+def test_facts_of_a_file_equal_its_rows():
+    doc = load(builder.Builder(SPEC | {"layers": [{"name": "a"}, {"name": "b", "visible": False}], "fields": [[None, "f", "Tx", "v", 1], [0, "x", None, None, None]], "update": "new", "info": {"title": "old"}}).build())
+    codes = list(pdf.READERS["code_map"]("d", doc))
+    assert [x[3:] for x in pdf.READERS["code_map_use"]("d", doc)] == [(len(codes), 32, 126, True)]
+    assert content.map_span(b"1 beginbfchar <01> <0041> endbfchar") == (1, 1, 1, False) and content.map_span(b"") is None
+    assert list(pdf.READERS["xref_use"]("d", doc)) == [("d", False, "used", max(e.depth for e in doc.xref.values()))] == [("d", False, "used", 1)]
+    assert list(interactive.layer_uses("d", doc)) == [(*x, []) for x in interactive.layers("d", doc)] and len(doc.get(doc.catalog, "OCProperties", "OCGs")) == 2
+    assert interactive.field_count("d", doc) == len(list(interactive.fields("d", doc))) == 2
+
+
+def test_files_that_cannot_be_read_have_rows_of_doc_and_forms(spark):
+    rows = spark.createDataFrame([("a", b"no file"), ("b", builder.Builder(SPEC | {"info": {"title": "t"}, "lang": "en"}).build())], "doc_id string, data binary")
+    r = pdf.Relations(rows)
+    assert sorted(map(tuple, r.form_use.collect())) == [("a", 0), ("b", 0)]
+    assert sorted(map(tuple, r.of(doc=("doc_id", "title", "has_lang", "catalog")).doc.select("doc_id", "title", "has_lang").collect())) == [("a", None, False), ("b", "t", True)]
