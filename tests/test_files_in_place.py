@@ -32,6 +32,7 @@ def test_a_kept_object_is_written_under_each_number():
         assert b"\n%d 0 obj\n<</Type /Page " % num in serialise({num: page}, {})
 
 
+@pytest.mark.parametrize("name", ["file_code_maps", "file_cross_references", "file_documents", "file_flattened", "file_layers"])
 def test_queries_parse_each_file_once_and_join_nothing(spark, name):
     df = filecat.QUERIES[name](spark, DATA)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
